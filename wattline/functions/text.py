@@ -36,40 +36,48 @@ def normalize_key(c) -> Column:
     return F.lower(strip_space(c))
 
 
-def is_energy(metric) -> Column:
-    return normalize_key(metric).isin(ENERGY_ALIASES)
+def _key(c, keyed: bool) -> Column:
+    return _c(c) if keyed else normalize_key(c)
 
 
-def canonical_metric(metric) -> Column:
-    """Energy aliases -> ``energy_kwh_total``; anything else normalised."""
-    m = normalize_key(metric)
+def is_energy(metric, keyed: bool = False) -> Column:
+    return _key(metric, keyed).isin(ENERGY_ALIASES)
+
+
+def canonical_metric(metric, keyed: bool = False) -> Column:
+    """Energy aliases -> ``energy_kwh_total``; anything else normalised.
+
+    ``keyed=True`` means the argument already went through ``normalize_key``.
+    """
+    m = _key(metric, keyed)
     return F.when(m.isin(ENERGY_ALIASES), F.lit(ENERGY_METRIC)).otherwise(m)
 
 
-def canonical_unit(metric, unit) -> Column:
+def canonical_unit(metric, unit, keyed: bool = False, raw_unit=None) -> Column:
     """Energy in kWh/Wh -> ``kWh``; energy in another unit keeps the unit as
     sent; other metrics get the normalised unit."""
-    u = normalize_key(unit)
-    return (F.when(is_energy(metric) & u.isin(UNIT_KWH, UNIT_WH), F.lit(KWH_UNIT))
-            .when(is_energy(metric), _c(unit))
+    u = _key(unit, keyed)
+    sent = _c(raw_unit) if raw_unit is not None else _c(unit)
+    e = is_energy(metric, keyed)
+    return (F.when(e & u.isin(UNIT_KWH, UNIT_WH), F.lit(KWH_UNIT))
+            .when(e, sent)
             .otherwise(u))
 
 
-def canonical_value(metric, unit, value) -> Column:
+def canonical_value(metric, unit, value, keyed: bool = False) -> Column:
     """C4: energy in Wh is divided by 1000; everything else unchanged."""
-    u = normalize_key(unit)
     v = _c(value).cast("double")
-    return F.when(is_energy(metric) & (u == UNIT_WH), v / F.lit(1000.0)).otherwise(v)
+    return F.when(is_energy(metric, keyed) & (_key(unit, keyed) == UNIT_WH), v / F.lit(1000.0)).otherwise(v)
 
 
-def is_normal_flag(metric, unit) -> Column:
+def is_normal_flag(metric, unit, keyed: bool = False) -> Column:
     """True only when the value was converted from Wh."""
-    return is_energy(metric) & (normalize_key(unit) == UNIT_WH)
+    return is_energy(metric, keyed) & (_key(unit, keyed) == UNIT_WH)
 
 
-def is_bad_flag(metric, unit) -> Column:
+def is_bad_flag(metric, unit, keyed: bool = False) -> Column:
     """True only for energy in a unit other than kWh/Wh."""
-    return is_energy(metric) & ~normalize_key(unit).isin(UNIT_KWH, UNIT_WH)
+    return is_energy(metric, keyed) & ~_key(unit, keyed).isin(UNIT_KWH, UNIT_WH)
 
 
 def payload_json(col: Column, dtype) -> Column:

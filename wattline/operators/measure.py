@@ -29,9 +29,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import building_key, device_key
+from ..functions.keys import with_keys
 from ..functions.text import (canonical_metric, canonical_unit, canonical_value,
-                              is_bad_flag, is_normal_flag)
+                              is_bad_flag, is_normal_flag, normalize_key)
 from ..schemas import MEASUREMENT_COLUMNS, SERIES
 from .dominance import dominance_lookup, series_rank
 from .scan import Scan, sliced_scan
@@ -52,15 +52,15 @@ def normalize(readings: DataFrame) -> DataFrame:
         df = df.withColumn("device_name", F.lit(None).cast("string"))
     if "ingest_time" not in cols:
         df = df.withColumn("ingest_time", F.lit(None).cast("timestamp"))
+    df = df.withColumn("_mk", normalize_key("metric")).withColumn("_uk", normalize_key("unit"))
+    df = with_keys(df)
     return df.select(
-        *[c for c in df.columns if c not in ("metric", "unit", "value")],
-        building_key("building_name").alias("building_id"),
-        device_key("device_external_id").alias("device_id"),
-        canonical_metric("metric").alias("metric"),
-        canonical_unit("metric", "unit").alias("unit"),
-        canonical_value("metric", "unit", "value").alias("value"),
-        is_normal_flag("metric", "unit").alias("is_normal"),
-        is_bad_flag("metric", "unit").alias("is_bad"),
+        *[c for c in df.columns if c not in ("metric", "unit", "value", "_mk", "_uk")],
+        canonical_metric("_mk", keyed=True).alias("metric"),
+        canonical_unit("_mk", "_uk", keyed=True, raw_unit="unit").alias("unit"),
+        canonical_value("_mk", "_uk", "value", keyed=True).alias("value"),
+        is_normal_flag("_mk", "_uk", keyed=True).alias("is_normal"),
+        is_bad_flag("_mk", "_uk", keyed=True).alias("is_bad"),
     )
 
 
