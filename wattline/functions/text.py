@@ -15,11 +15,11 @@ KWH_UNIT = "kWh"
 UNIT_KWH = "kwh"
 UNIT_WH = "wh"
 
-# Every character Python's str.strip() removes (str.isspace() is true).  Java's
-# \s only covers ASCII, so the class is spelled out.
-_PY_SPACE = ("\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a"
-             "\\u2028\\u2029\\u202f\\u205f\\u3000")
-_STRIP_RE = f"^[{_PY_SPACE}]+|[{_PY_SPACE}]+$"
+# Every character Python's str.strip() removes (str.isspace() is true); Java's
+# \s and Spark's plain trim only cover ASCII / spaces, so the set is spelled out.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:
@@ -27,8 +27,9 @@ def _c(c) -> Column:
 
 
 def strip_space(c) -> Column:
-    """Remove surrounding whitespace the way Python's ``str.strip`` does."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    """Remove surrounding whitespace the way Python's ``str.strip`` does
+    (a character-set trim, no regular expression)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def normalize_key(c) -> Column:

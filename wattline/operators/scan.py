@@ -43,18 +43,17 @@ class Scan:
     side: str
 
 
-def _within_frame(w, side: str, frame: str):
-    if frame == "range":
-        if side == "before":
-            return w.rangeBetween(Window.unboundedPreceding, -1)
-        if side == "after":
-            return w.rangeBetween(1, Window.unboundedFollowing)
-        return w.rangeBetween(Window.unboundedPreceding, 0)
-    if side == "before":
-        return w.rowsBetween(Window.unboundedPreceding, -1)
+def _within_frame(part, order_cols, side: str, frame: str):
+    """Growing frames only: Spark evaluates ``unboundedPreceding`` frames
+    incrementally, but re-aggregates an ``unboundedFollowing`` frame for every
+    row.  A suffix ("after") is therefore a prefix of the descending order."""
     if side == "after":
-        return w.rowsBetween(1, Window.unboundedFollowing)
-    return w.rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order_cols])
+    else:
+        w = Window.partitionBy(*part).orderBy(*order_cols)
+    if frame == "range":
+        return w.rangeBetween(Window.unboundedPreceding, 0 if side == "upto" else -1)
+    return w.rowsBetween(Window.unboundedPreceding, 0 if side == "upto" else -1)
 
 
 def _combine(how: str, within: Column, carry: Column) -> Column:
@@ -86,18 +85,15 @@ def sliced_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str,
     for c, _, _, _, s in tmp:
         base = base.withColumn(c, s.contrib)
 
-    w = Window.partitionBy(*part).orderBy(*order_cols)
     within = base
     for c, wc, _, _, s in tmp:
-        within = within.withColumn(wc, _AGG[s.how](c).over(_within_frame(w, s.side, frame)))
+        within = within.withColumn(wc, _AGG[s.how](c).over(_within_frame(part, order_cols, s.side, frame)))
 
     summary = base.groupBy(*part).agg(*[_AGG[s.how](c).alias(sc) for c, _, sc, _, s in tmp])
-    cw = Window.partitionBy(*keys).orderBy(slice_col)
     carry_cols = []
     for _, _, sc, kc, s in tmp:
-        fr = (cw.rowsBetween(1, Window.unboundedFollowing) if s.side == "after"
-              else cw.rowsBetween(Window.unboundedPreceding, -1))
-        carry_cols.append(_AGG[s.how](sc).over(fr).alias(kc))
+        cw = Window.partitionBy(*keys).orderBy(F.col(slice_col).desc() if s.side == "after" else F.col(slice_col))
+        carry_cols.append(_AGG[s.how](sc).over(cw.rowsBetween(Window.unboundedPreceding, -1)).alias(kc))
     for _, _, sc, _, s in tmp:
         if s.name in totals:
             carry_cols.append(F.sum(sc).over(Window.partitionBy(*keys)).alias(f"{s.name}_total"))
