@@ -34,6 +34,7 @@ from ..functions.text import (canonical_metric, canonical_unit, canonical_value,
                               is_bad_flag, is_normal_flag, normalize_key)
 from ..schemas import MEASUREMENT_COLUMNS, SERIES
 from .dominance import dominance_lookup, series_rank
+from ..session import materialize
 from .scan import Scan, sliced_scan
 
 DEFAULT_SLICE_SECONDS = 3600
@@ -102,9 +103,15 @@ def _time_groups(n: DataFrame, slice_seconds: int, arrival: bool) -> DataFrame:
 
 def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
                         slice_seconds: int = DEFAULT_SLICE_SECONDS,
-                        arrival_slice_bits: int = DEFAULT_ARRIVAL_SLICE_BITS) -> DataFrame:
+                        arrival_slice_bits: int = DEFAULT_ARRIVAL_SLICE_BITS,
+                        materialize_steps: bool = True) -> DataFrame:
     """Readings -> one measurement row per reading (MEASUREMENT schema).
 
+    Arrival mode fans one intermediate result out to several branches; with
+    ``materialize_steps`` (default) those points are written once under the
+    session's checkpoint folder (two eager jobs) instead of being recomputed
+    from the input by every branch.
+
     ``readings`` needs ``reading_id, arrival_seq, building_name,
     device_external_id, ts, metric, value, unit`` (optional ``device_name``,
     ``ingest_time``).  Arrival order is ``(arrival_seq, reading_id)``.
@@ -128,7 +135,11 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
         # (ts, arrival) good reading with an earlier ts that arrived earlier.
         has_writer = (~F.col("is_duplicate")) & F.col("writer").isNotNull()
         m = m.withColumn("needs_lookup", ~has_writer)
+        if materialize_steps:
+            m = materialize(m, "flags")
         m = series_rank(m, SERIES, ["arrival_seq", "reading_id"], arrival_slice_bits)
+        if materialize_steps:
+            m = materialize(m, "ranked")
         found = dominance_lookup(
             m, SERIES, slice_seconds,
             candidate=~F.col("is_bad"), query=F.col("needs_lookup"),

@@ -81,15 +81,15 @@ def sliced_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str,
     part = keys + [slice_col]
     tmp = [(f"__c{i}", f"__w{i}", f"__s{i}", f"__k{i}", s) for i, s in enumerate(scans)]
 
-    base = df
-    for c, _, _, _, s in tmp:
-        base = base.withColumn(c, s.contrib)
-
-    within = base
-    for c, wc, _, _, s in tmp:
-        within = within.withColumn(wc, _AGG[s.how](c).over(_within_frame(part, order_cols, s.side, frame)))
-
-    summary = base.groupBy(*part).agg(*[_AGG[s.how](c).alias(sc) for c, _, sc, _, s in tmp])
+    base = df.select("*", *[s.contrib.alias(c) for c, _, _, _, s in tmp])
+    within = base.select("*", *[_AGG[s.how](c).over(_within_frame(part, order_cols, s.side, frame)).alias(wc)
+                                for c, wc, _, _, s in tmp])
+
+    # Summary per (key, slice), aggregated from the window's output: that is
+    # already partitioned by (key, slice), so no exchange is added and the
+    # input upstream of the window's shuffle is read once (the shuffle is
+    # reused by both consumers).
+    summary = within.groupBy(*part).agg(*[_AGG[s.how](c).alias(sc) for c, _, sc, _, s in tmp])
     carry_cols = []
     for _, _, sc, kc, s in tmp:
         cw = Window.partitionBy(*keys).orderBy(F.col(slice_col).desc() if s.side == "after" else F.col(slice_col))
@@ -99,7 +99,8 @@ def sliced_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str,
             carry_cols.append(F.sum(sc).over(Window.partitionBy(*keys)).alias(f"{s.name}_total"))
     carry = summary.select(*part, *carry_cols)
 
-    out = within.join(carry, on=part, how="left")
-    for c, wc, _, kc, s in tmp:
-        out = out.withColumn(s.name, _combine(s.how, F.col(wc), F.col(kc)))
-    return out.drop(*[x for c, wc, sc, kc, _ in tmp for x in (c, wc, kc)])
+    joined = within.join(carry, on=part, how="left")
+    drop = {x for c, wc, sc, kc, _ in tmp for x in (c, wc, kc)}
+    out = joined.select(*[F.col(c) for c in joined.columns if c not in drop],
+                        *[_combine(s.how, F.col(wc), F.col(kc)).alias(s.name) for c, wc, _, kc, s in tmp])
+    return out

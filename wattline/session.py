@@ -57,3 +57,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table under the session's checkpoint folder and
+    return a DataFrame reading it back.
+
+    Used where one intermediate result feeds several branches: each branch
+    then reads the stored table (with its own column pruning) instead of
+    recomputing it from the input, and the lineage is cut, so a lost executor
+    does not recompute the chain before this point.  The folder is the shared
+    ``spark.checkpoint.dir`` of the cluster (a scratch folder only when unset).
+    """
+    import uuid as _uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/wattline-tables/{name}-{_uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread_input(df):
+    """Spread an under-split input over the cluster's default parallelism.
+
+    A scan of a few large unsplittable files (one row group, gzip JSON) yields
+    fewer tasks than there are cores, and every per-row expression before the
+    first shuffle then runs in those few tasks.  Only in that case the rows are
+    redistributed round-robin; a normally split input is returned unchanged.
+    Checking the partition count plans the scan but runs no job.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread_input
+
 # Fixed values of the derivation (shared with the SQL oracle).
 BUILDINGS = 5
 LATE_EVERY = 13
@@ -25,7 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat readings (``schemas.READINGS`` columns) from ``events``."""
-    ev = table(spark, sf_dir, "events")
+    ev = spread_input(table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value", "props"))
     uid = F.col("user_id").cast("string")
     return ev.select(
         F.col("event_id").alias("reading_id"),
