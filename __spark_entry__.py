@@ -24,7 +24,10 @@ from wattline.operators.pivot import overlay_bad, pivot_labels
 from wattline.operators.rolling import rolling
 from wattline.plans import charts, queries as q
 from wattline.plans.oracle import bucket as sql_bucket, iso as sql_iso, uuid5_sql, with_m
+from wattline.session import ensure_checkpoint_dir
+from wattline.sources.batches import load_measurements, read_batches, write_batches
 from wattline.sources.tables import readings_from_events, table
+from wattline.streaming.ingest import events_as_batches, ingest_stream
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -232,8 +235,39 @@ def _j5(spark, sf):
     return resolve_dimension(known, incoming, "building").select("id", "name", "is_new")
 
 
+def _scratch(spark, kind: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wattline-{kind}/{uuid.uuid4().hex}"
+
+
+def _batch_files(spark, sf) -> str:
+    """Readings of the whole ``events`` table as request-shaped JSON batch
+    files (one file per arrival block, one batch per device in it)."""
+    path = _scratch(spark, "batches")
+    write_batches(events_as_batches(readings_from_events(spark, sf)), path)
+    return path
+
+
+def _reading_rows(m):
+    return m.select("device_external_id", iso_utc("ts").alias("ts"), _r("value").alias("value"), *FLAGS,
+                    _r("delta").alias("delta"))
+
+
+def _s1(spark, sf):
+    return _reading_rows(derive_measurements(read_batches(spark, _batch_files(spark, sf))))
+
+
+def _r1(spark, sf):
+    src = _batch_files(spark, sf)
+    root = _scratch(spark, "stream")
+    ingest_stream(spark, src, f"{root}/log", f"{root}/checkpoint", out_path=f"{root}/measurements",
+                  raw_path=f"{root}/raw").awaitTermination()
+    return _reading_rows(load_measurements(spark, f"{root}/measurements"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "s1_read_batches": _s1,
+        "r1_ingest_stream": _r1,
         "w12_measurements": _w12,
         "w7_arrival_measurements": _w7,
         "c_normalize_keys": _normalize,
@@ -350,7 +384,11 @@ def _oracle_sql() -> dict[str, str]:
     a1 = _sql_a1_raw()
     a3 = _sql_a3_raw()
     h3_roll = _sql_rolling("a1", "avg(value)", "label", ROLL_MIN)
+    reading_rows = (f"SELECT device_external_id, {sql_iso('ts')} AS ts, round(value, 6) AS value, {FLAG_SQL}, "
+                    "round(delta, 6) AS delta FROM m")
     return {
+        "s1_read_batches": with_m(reading_rows),
+        "r1_ingest_stream": with_m(reading_rows),
         "w12_measurements": with_m(
             f"SELECT arrival_seq, reading_id, building_id, building_name, device_id, device_external_id, "
             f"device_name, {sql_iso('ts')} AS ts, metric, round(value, 6) AS value, unit, {FLAG_SQL}, raw_event_id, "

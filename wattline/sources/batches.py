@@ -69,12 +69,21 @@ def read_batches(spark: SparkSession, path: str, batch_id=None) -> DataFrame:
     if batch_id is None:
         if "batch_id" not in df.columns:
             raise ValueError("files need batch_id=<n> directories or an explicit batch_id")
-        batch_id = F.col("batch_id")
         df = df.withColumnRenamed("batch_id", "_bid")
         batch_id = F.col("_bid")
     return parse_batches(df, batch_id)
 
 
+def write_batches(batches: DataFrame, path: str, batch_col: str = "block") -> None:
+    """Write nested batches as JSON Lines, one ``batch_id=<n>`` folder and file
+    per batch number (a device appears at most once per batch number).  The
+    number is zero-padded so file paths sort in batch order; partition
+    discovery still reads it back as a number."""
+    (batches.withColumn("batch_id", F.lpad(F.col(batch_col).cast("string"), 12, "0")).drop(batch_col)
+     .repartition("batch_id")
+     .write.mode("overwrite").partitionBy("batch_id").json(path))
+
+
 def raw_events(readings: DataFrame) -> DataFrame:
     """One raw row per reading (bad and duplicate ones too); payload as JSON text."""
     return readings.select(F.col("reading_id").alias("id"), "raw_payload",

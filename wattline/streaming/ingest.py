@@ -43,11 +43,32 @@ def refresh(spark: SparkSession, log_path: str, out_path: str, touched_buckets,
     write_measurements(m, out_path, buckets)
 
 
+FILE_BITS = 20
+
+
+def order_files(spark: SparkSession, batch: DataFrame, epoch: int) -> DataFrame:
+    """Batch order inside a micro-batch: files by name.  Adds ``_batch`` =
+    ``epoch << 20 | rank of the file``.  A file holds request bodies of
+    different devices (at most one per device), so lines need no order.
+
+    The file list is bounded by ``maxFilesPerTrigger``; it is joined back as a
+    broadcast of that proven-small table.
+    """
+    with_file = batch.withColumn("_file", F.input_file_name())
+    files = sorted(r[0] for r in with_file.select("_file").distinct().collect())
+    if len(files) > MAX_FILES_PER_TRIGGER:
+        raise ValueError("more files in one trigger than maxFilesPerTrigger")
+    ranks = spark.createDataFrame([(f, (int(epoch) << FILE_BITS) | i) for i, f in enumerate(files)],
+                                  "_file string, _batch long")
+    return with_file.join(F.broadcast(ranks), on="_file", how="inner")
+
+
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, log_path: str,
                   out_path: str | None, raw_path: str | None, delta_mode: str,
                   buckets: int) -> None:
     """Body of ``foreachBatch``: S1 -> S2/S3 -> R2 for one micro-batch."""
-    readings = parse_batches(batch, int(batch_id))
+    ordered = order_files(spark, batch, batch_id)
+    readings = parse_batches(ordered, F.col("_batch")).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
     if raw_path:
         append_raw(readings, raw_path)
     append_log(readings, log_path, buckets)
