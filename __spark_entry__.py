@@ -214,9 +214,10 @@ def _j1(spark, sf):
 
 def _asof(fn):
     def run(spark, sf):
-        m = _m(spark, sf)
-        probes = m.select("reading_id", "device_id", "metric", "ts")
-        return fn(probes, m).select("reading_id", "match_id", _r("match_value").alias("match_value"))
+        # Probes are the normalised readings themselves (same keys as the
+        # measurement rows) so the derivation is planned once.
+        probes = normalize(readings_from_events(spark, sf)).select("reading_id", "device_id", "metric", "ts")
+        return fn(probes, _m(spark, sf)).select("reading_id", "match_id", _r("match_value").alias("match_value"))
     return run
 
 
