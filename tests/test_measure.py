@@ -111,3 +111,15 @@ def test_sample_bad_overlay(sample):
     got = [(r.label, r.ts.hour, r.value, r.delta) for r in q.bad_points(sample).collect()]
     assert got == [("East Campus", 10, 999.0, 991.0), ("North Campus", 11, 100.0, 78.0)]
     assert q.bad_points(sample, building="x").count() == 0
+
+
+def test_unplaceable_readings_are_quarantined_not_lost(spark):
+    import datetime as dt
+    rows = [(0, 0, "B", "d", None, dt.datetime(2024, 3, 1, 8), "energy", 1.0, "kWh", None),
+            (1, 1, "B", "d", None, None, "energy", 2.0, "kWh", None),
+            (2, 2, "B", "d", None, dt.datetime(2024, 3, 1, 9), None, 3.0, "kWh", None)]
+    r = spark.createDataFrame(rows, fx.SCHEMA)
+    from wattline.operators.measure import invalid_readings
+    assert derive_measurements(r).count() == 1
+    bad = {x.reading_id: x.reason for x in invalid_readings(r).collect()}
+    assert bad == {1: "timestamp", 2: "metric"}

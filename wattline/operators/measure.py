@@ -65,6 +65,22 @@ def normalize(readings: DataFrame) -> DataFrame:
     )
 
 
+def placeable(n: DataFrame):
+    """A reading can be placed in a series only with a timestamp, a metric and a
+    value; the rest is quarantined (``invalid_readings``), never dropped silently."""
+    return F.col("ts").isNotNull() & F.col("metric").isNotNull() & F.col("value").isNotNull()
+
+
+def invalid_readings(readings: DataFrame) -> DataFrame:
+    """Readings that ``derive_measurements`` cannot place (null timestamp --
+    e.g. text that did not parse --, metric or value), with a reason."""
+    n = normalize(readings)
+    reason = (F.when(F.col("ts").isNull(), F.lit("timestamp"))
+              .when(F.col("metric").isNull(), F.lit("metric"))
+              .otherwise(F.lit("value")))
+    return n.where(~placeable(n)).withColumn("reason", reason)
+
+
 def _time_groups(n: DataFrame, slice_seconds: int, arrival: bool) -> DataFrame:
     """One row per (series, ts): the first arrival (the original) and the
     running aggregates over event time that every reading of the group shares."""
@@ -115,11 +131,14 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
     ``readings`` needs ``reading_id, arrival_seq, building_name,
     device_external_id, ts, metric, value, unit`` (optional ``device_name``,
     ``ingest_time``).  Arrival order is ``(arrival_seq, reading_id)``.
+    Readings without timestamp, metric or value cannot be placed in a series;
+    they are listed by ``invalid_readings`` instead.
     """
     if delta_mode not in ("event_time", "arrival"):
         raise ValueError(f"unknown delta_mode {delta_mode!r}")
     arrival = delta_mode == "arrival"
-    n = normalize(readings).withColumn("ord", F.struct("arrival_seq", "reading_id"))
+    n = normalize(readings)
+    n = n.where(placeable(n)).withColumn("ord", F.struct("arrival_seq", "reading_id"))
     tgs = _time_groups(n, slice_seconds, arrival)
     keep = [*SERIES, "ts", "o_ord", "prev", "late_min"] + (["writer"] if arrival else [])
     m = n.join(tgs.select(*keep), on=SERIES + ["ts"], how="inner")

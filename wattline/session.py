@@ -87,7 +87,9 @@ def spread_input(df):
     Checking the partition count plans the scan but runs no job.
     """
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave as is
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
