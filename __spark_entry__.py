@@ -56,6 +56,7 @@ def _m(spark: SparkSession, sf: str, mode: str = "event_time") -> DataFrame:
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: measurements derived from sf0.001 events, then bucketed per
     building (A1)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return _a1(spark, SMOKE_DIR)
 
 
@@ -265,7 +266,21 @@ def _r1(spark, sf):
     return _reading_rows(load_measurements(spark, f"{root}/measurements"))
 
 
+def _utc(fn):
+    """Timestamps in the tables are ``timestamp_ntz`` read as UTC, and results
+    render ISO-UTC: pin the session time zone before planning."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf)
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _utc(fn) for name, fn in _queries().items()}
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "s1_read_batches": _s1,
         "r1_ingest_stream": _r1,
