@@ -87,3 +87,10 @@ def test_dedupe_key(spark):
     got = [r[0] for r in df.select(dedupe_key("k", "e", "me", "t", "v")).collect()]
     h = hashlib.sha256(b"m|energy|t|1.0").hexdigest()
     assert got == ["k1", h, h]
+
+
+def test_display_rounding(spark):
+    from wattline.functions.display import display, round_total
+    df = spark.createDataFrame([(1234.56789, 529.98999)], "v double, t double")
+    r = df.select(display("v", 3), round_total("t")).first()
+    assert tuple(r) == ("1,234.568", 529.99)
