@@ -124,9 +124,9 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
     """Readings -> one measurement row per reading (MEASUREMENT schema).
 
     Arrival mode fans one intermediate result out to several branches; with
-    ``materialize_steps`` (default) those points are written once under the
-    session's checkpoint folder (two eager jobs) instead of being recomputed
-    from the input by every branch.
+    ``materialize_steps`` (default) it is written once under the session's
+    checkpoint folder (one eager job) instead of being recomputed from the
+    input by every branch.
 
     ``readings`` needs ``reading_id, arrival_seq, building_name,
     device_external_id, ts, metric, value, unit`` (optional ``device_name``,
@@ -141,7 +141,13 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
     n = n.where(placeable(n)).withColumn("ord", F.struct("arrival_seq", "reading_id"))
     tgs = _time_groups(n, slice_seconds, arrival)
     keep = [*SERIES, "ts", "o_ord", "prev", "late_min"] + (["writer"] if arrival else [])
-    m = n.join(tgs.select(*keep), on=SERIES + ["ts"], how="inner")
+    rows = n
+    if arrival:
+        # The per-series arrival rank (for the dominance lookup) depends only
+        # on the readings, so it is computed on this branch, in parallel with
+        # the time groups, before the join.
+        rows = series_rank(n, SERIES, ["arrival_seq", "reading_id"], arrival_slice_bits)
+    m = rows.join(tgs.select(*keep), on=SERIES + ["ts"], how="inner")
     m = (m.withColumn("is_duplicate", F.col("ord") != F.col("o_ord"))
           .withColumn("is_late", F.coalesce(F.col("late_min") < F.col("ord"), F.lit(False))))
 
@@ -156,9 +162,6 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
         m = m.withColumn("needs_lookup", ~has_writer)
         if materialize_steps:
             m = materialize(m, "flags")
-        m = series_rank(m, SERIES, ["arrival_seq", "reading_id"], arrival_slice_bits)
-        if materialize_steps:
-            m = materialize(m, "ranked")
         found = dominance_lookup(
             m, SERIES, slice_seconds,
             candidate=~F.col("is_bad"), query=F.col("needs_lookup"),
