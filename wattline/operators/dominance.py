@@ -26,13 +26,14 @@ from .scan import Scan, sliced_scan
 
 
 def series_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                slice_bits: int) -> DataFrame:
+                slice_bits: int, extra: Sequence[Scan] = ()) -> DataFrame:
     """Add ``y`` (0-based rank in ``order`` within ``keys``) and ``y_total``
-    (rows per key).  ``order[0]`` must be a long; slices are blocks of
+    (rows per key), plus any ``extra`` running aggregates over the same
+    arrival order.  ``order[0]`` must be a long; slices are blocks of
     ``2**slice_bits`` consecutive values of it, so no task sees a whole series."""
     sliced = df.withColumn("_aslice", F.floor(F.col(order[0]) / F.lit(2 ** slice_bits)))
     out = sliced_scan(sliced, keys, list(order), "_aslice",
-                      [Scan("y", F.lit(1).cast("long"), "sum", "before")],
+                      [Scan("y", F.lit(1).cast("long"), "sum", "before"), *extra],
                       frame="rows", totals=["y"])
     return out.drop("_aslice")
 

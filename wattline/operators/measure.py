@@ -146,7 +146,13 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
         # The per-series arrival rank (for the dominance lookup) depends only
         # on the readings, so it is computed on this branch, in parallel with
         # the time groups, before the join.
-        rows = series_rank(n, SERIES, ["arrival_seq", "reading_id"], arrival_slice_bits)
+        # Same pass: the greatest (ts, arrival) good reading that arrived
+        # earlier.  When its ts is below the reading's own ts it *is* the
+        # insert-time predecessor, so only the other readings (late ones and
+        # copies) need the two-dimensional lookup.
+        arrived_before = Scan("_pmax", F.when(~F.col("is_bad"), F.struct(
+            F.unix_micros("ts").alias("tmic"), F.col("ord"), F.col("value"))), "max", "before")
+        rows = series_rank(n, SERIES, ["arrival_seq", "reading_id"], arrival_slice_bits, [arrived_before])
     m = rows.join(tgs.select(*keep), on=SERIES + ["ts"], how="inner")
     m = (m.withColumn("is_duplicate", F.col("ord") != F.col("o_ord"))
           .withColumn("is_late", F.coalesce(F.col("late_min") < F.col("ord"), F.lit(False))))
@@ -159,7 +165,8 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
         # reading uses the value it saw at insert time (W4): the greatest
         # (ts, arrival) good reading with an earlier ts that arrived earlier.
         has_writer = (~F.col("is_duplicate")) & F.col("writer").isNotNull()
-        m = m.withColumn("needs_lookup", ~has_writer)
+        easy = F.col("_pmax").isNull() | (F.col("_pmax.tmic") < F.unix_micros("ts"))
+        m = m.withColumn("needs_lookup", ~has_writer & ~easy).withColumn("_easy", easy)
         if materialize_steps:
             m = materialize(m, "flags")
         found = dominance_lookup(
@@ -167,7 +174,9 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
             candidate=~F.col("is_bad"), query=F.col("needs_lookup"),
             payload=F.col("value"))
         m = m.join(found, on=SERIES + ["y"], how="left")
-        prev_value = F.when(has_writer, F.col("writer.w_value")).otherwise(F.col("found.payload"))
+        prev_value = (F.when(has_writer, F.col("writer.w_value"))
+                      .when(F.col("_easy"), F.col("_pmax.value"))
+                      .otherwise(F.col("found.payload")))
         delta_raw = F.when(prev_value.isNotNull(), F.greatest(F.lit(0.0), F.col("value") - prev_value))
 
     m = m.withColumn("_delta_raw", delta_raw)
