@@ -65,6 +65,17 @@ def normalize(readings: DataFrame) -> DataFrame:
     )
 
 
+def arrival_key(arrival_seq: str, reading_id: str):
+    """Arrival order ``(arrival_seq, reading_id)`` as one ``decimal(38,0)``:
+    ``arrival_seq * 10^19 + reading_id`` orders exactly like the pair for any
+    long ``arrival_seq`` and non-negative ``reading_id``.  A single decimal
+    keeps ``min``/``min_by`` hash-aggregatable (a struct key forces Spark's
+    sort-based aggregation on the largest aggregate of the pipeline)."""
+    shift = F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (F.col(arrival_seq).cast("decimal(38,0)") * shift
+            + F.col(reading_id).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
 def placeable(n: DataFrame):
     """A reading can be placed in a series only with a timestamp, a metric and a
     value; the rest is quarantined (``invalid_readings``), never dropped silently."""
@@ -85,10 +96,9 @@ def _time_groups(n: DataFrame, slice_seconds: int, arrival: bool) -> DataFrame:
     """One row per (series, ts): the first arrival (the original) and the
     running aggregates over event time that every reading of the group shares."""
     tg = (n.groupBy(*SERIES, "ts")
-          .agg(F.min(F.struct("ord", "value", "is_bad")).alias("o"))
-          .select(*SERIES, "ts",
-                  F.col("o.ord").alias("o_ord"), F.col("o.value").alias("o_value"),
-                  (~F.col("o.is_bad")).alias("o_good"))
+          .agg(F.min("ord").alias("o_ord"), F.min_by("value", "ord").alias("o_value"),
+               F.min_by("is_bad", "ord").alias("o_bad"))
+          .select(*SERIES, "ts", "o_ord", "o_value", (~F.col("o_bad")).alias("o_good"))
           .withColumn("tmic", F.unix_micros("ts"))
           .withColumn("tslice", F.floor(F.col("tmic") / F.lit(slice_seconds * 1_000_000))))
     scans = [
@@ -138,7 +148,7 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
         raise ValueError(f"unknown delta_mode {delta_mode!r}")
     arrival = delta_mode == "arrival"
     n = normalize(readings)
-    n = n.where(placeable(n)).withColumn("ord", F.struct("arrival_seq", "reading_id"))
+    n = n.where(placeable(n)).withColumn("ord", arrival_key("arrival_seq", "reading_id"))
     tgs = _time_groups(n, slice_seconds, arrival)
     keep = [*SERIES, "ts", "o_ord", "prev", "late_min"] + (["writer"] if arrival else [])
     rows = n
