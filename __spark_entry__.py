@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions.display import quality_label
 from wattline.functions.keys import dedupe_key
-from wattline.functions.time import date_time_label, iso_utc, time_label
+from wattline.functions.time import calendar_range, date_time_label, iso_utc, time_label
 from wattline.operators.asof import asof_backward, asof_forward, existing
 from wattline.operators.dims import resolve_dimension
 from wattline.operators.measure import derive_measurements, normalize
@@ -201,6 +201,38 @@ def _h3(spark, sf):
     return _wide_out(c, LABELS, bad=True).withColumn("tsLabel", F.substring("ts", 12, 8))
 
 
+# a viewer's calendar range (UTC), inclusive at both ends.
+RANGE_START, RANGE_END = calendar_range("2024-01-10", "2024-01-20", "06:00", "18:00")
+
+
+def _f6(spark, sf):
+    return _row_out(q.series(_m(spark, sf), DEVICE, start=RANGE_START, end=RANGE_END))
+
+
+def _a1_range(spark, sf):
+    return _agg_out(q.aggregated(_m(spark, sf), start=RANGE_START, end=RANGE_END, minutes=30))
+
+
+def _a4_range(spark, sf):
+    return q.sum_deltas(_m(spark, sf), start=RANGE_START, end=RANGE_END).select(_r("sum_delta").alias("sum_delta"))
+
+
+def _o1_offset(spark, sf):
+    return _row_out(q.recent(_m(spark, sf), DEVICE, limit=10, offset=20))
+
+
+def _h1_avg(spark, sf):
+    c = charts.device_chart(_m(spark, sf), DEVICE, mode="rolling_avg", rolling_minutes=120, show_bad=False,
+                            start=RANGE_START, end=RANGE_END)
+    return c.select("id", iso_utc("ts").alias("ts"), _r("value").alias("value"),
+                    _r("mainValue").alias("mainValue"), _r("lateValue").alias("lateValue"))
+
+
+def _h4_raw(spark, sf):
+    s = charts.series_per_building(_m(spark, sf), mode="raw")
+    return s.select("building", iso_utc("ts").alias("ts"), _r("value").alias("value"))
+
+
 def _h4(spark, sf):
     s = charts.series_per_building(_m(spark, sf), mode="delta")
     return s.select("building", iso_utc("ts").alias("ts"), "tsLabel", _r("delta").alias("delta"))
@@ -315,6 +347,12 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "j3_asof_forward": _asof(asof_forward),
         "j4_overlay": _j4,
         "j5_resolve_buildings": _j5,
+        "f6_device_series_range": _f6,
+        "a1_bucketed_range_30min": _a1_range,
+        "a4_total_range": _a4_range,
+        "o1_recent_offset": _o1_offset,
+        "h1_device_chart_rolling_avg": _h1_avg,
+        "h4_series_per_building_raw": _h4_raw,
     }
 
 
@@ -396,6 +434,8 @@ def _oracle_sql() -> dict[str, str]:
     series_where = f"device_id = '{DEVICE}' AND metric = 'energy_kwh_total' AND NOT is_duplicate"
     bseries = f"building_id = '{BUILDING}' AND metric = 'energy_kwh_total' AND NOT is_bad AND NOT is_duplicate"
     recent_order = "ORDER BY ts DESC, arrival_seq, reading_id"
+    rng = (f"ts >= TIMESTAMP '{RANGE_START:%Y-%m-%d %H:%M:%S.%f}' "
+           f"AND ts <= TIMESTAMP '{RANGE_END:%Y-%m-%d %H:%M:%S.%f}'")
     label = "coalesce(device_external_id, device_name, device_id)"
     a1 = _sql_a1_raw()
     a3 = _sql_a3_raw()
@@ -503,6 +543,25 @@ def _oracle_sql() -> dict[str, str]:
             f"b AS (SELECT ts, {_sql_pivot('a3', 'bad_', True)} FROM a3 GROUP BY ts) "
             f"SELECT {sql_iso('w.ts')} AS ts, {_sql_round_labels()}, {_sql_round_labels('bad_')} "
             "FROM w LEFT JOIN b ON w.ts = b.ts"),
+        "f6_device_series_range": with_m(
+            f"SELECT {row_cols} FROM m WHERE {series_where} AND NOT is_bad AND {rng}"),
+        "a1_bucketed_range_30min": with_m(
+            f"SELECT {sql_iso('b')} AS ts, building_name AS label, round(avg(value), 6) AS value, "
+            f"round(sum(coalesce(delta, 0)), 6) AS delta FROM (SELECT *, {sql_bucket('ts', 30)} AS b FROM m "
+            f"WHERE {GOOD} AND {rng}) GROUP BY b, building_id, building_name"),
+        "a4_total_range": with_m(
+            f"SELECT round(coalesce(sum(delta), 0), 6) AS sum_delta FROM m WHERE {GOOD} AND {rng}"),
+        "o1_recent_offset": with_m(
+            f"SELECT {row_cols} FROM m WHERE device_id = '{DEVICE}' AND metric = 'energy_kwh_total' AND NOT is_bad "
+            f"{recent_order} LIMIT 10 OFFSET 20"),
+        "h1_device_chart_rolling_avg": with_m(
+            f"SELECT id, {sql_iso('ts')} AS ts, round(v, 6) AS value, round(CASE WHEN NOT is_bad THEN v END, 6) "
+            "AS mainValue, round(CASE WHEN is_late THEN v END, 6) AS lateValue "
+            f"FROM (SELECT reading_id AS id, ts, is_bad, is_late, "
+            f"{_sql_rolling('m', 'avg(value)', 'device_id', 120)} AS v FROM m "
+            f"WHERE {series_where} AND NOT is_bad AND {rng})"),
+        "h4_series_per_building_raw": with_m(
+            f", {a1} SELECT label AS building, {sql_iso('ts')} AS ts, round(coalesce(value, 0), 6) AS value FROM a1"),
         "j5_resolve_buildings": with_m(
             ", kn AS (SELECT DISTINCT building_id AS id, building_name AS name FROM m), "
             "inc AS (SELECT upper(building_name) AS name FROM r UNION ALL SELECT n_name AS name FROM nation), "
