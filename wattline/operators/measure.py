@@ -38,7 +38,7 @@ from ..session import materialize
 from .scan import Scan, sliced_scan
 
 DEFAULT_SLICE_SECONDS = 3600
-DEFAULT_ARRIVAL_SLICE_BITS = 16
+DEFAULT_ARRIVAL_SLICE_BITS = 20  # 2^20 arrival positions per slice: ~sqrt of a 2^40 arrival range
 
 
 def normalize(readings: DataFrame) -> DataFrame:
