@@ -123,3 +123,14 @@ def test_unplaceable_readings_are_quarantined_not_lost(spark):
     assert derive_measurements(r).count() == 1
     bad = {x.reading_id: x.reason for x in invalid_readings(r).collect()}
     assert bad == {1: "timestamp", 2: "metric"}
+
+
+def test_materialized_tables_can_be_dropped(spark):
+    import os
+    from wattline.session import drop_materialized, materialized_root
+    m = derive_measurements(fx.series_rows(spark, [(0, 1, "kWh"), (5, 2, "kWh")]), "arrival")
+    assert m.count() == 2
+    root = materialized_root(spark)
+    assert os.path.isdir(root.replace("file:", ""))
+    assert drop_materialized(spark)
+    assert not os.path.exists(root.replace("file:", ""))

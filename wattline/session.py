@@ -71,12 +71,29 @@ def materialize(df, name: str):
     """
     import uuid as _uuid
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/wattline-tables/{name}-{_uuid.uuid4().hex}"
+    path = f"{materialized_root(spark)}/{name}-{_uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def materialized_root(spark) -> str:
+    """Folder of this application's materialised tables (one per application,
+    under the shared checkpoint folder)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/wattline-tables/{spark.sparkContext.applicationId}"
+
+
+def drop_materialized(spark) -> bool:
+    """Delete this application's materialised tables once their results have
+    been consumed (DataFrames built on them can no longer be read after it).
+    Uses the Hadoop FileSystem of the folder, so it works on any shared store."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(materialized_root(spark))
+    fs = path.getFileSystem(conf)
+    return bool(fs.exists(path) and fs.delete(path, True))
+
+
 def spread_input(df):
     """Spread an under-split input over the cluster's default parallelism.
 
