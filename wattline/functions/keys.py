@@ -17,7 +17,10 @@ DEVICE_PREFIX = "device:"
 def uuid5_digest(name: Column, namespace: str = KEY_NAMESPACE) -> Column:
     """SHA-1 hex digest of namespace bytes + UTF-8 name (first step of a v5 UUID)."""
     ns = F.unhex(F.lit(namespace.replace("-", "")))
-    return F.sha1(F.concat(ns, F.encode(F.coalesce(name, F.lit("")), "UTF-8")))
+    # string -> binary is the UTF-8 encoding; unlike encode() it keeps the
+    # expression non-nullable, so Catalyst does not infer (and push below the
+    # input) an "is not null" test that would re-evaluate the whole digest.
+    return F.sha1(F.concat(ns, F.coalesce(name, F.lit("")).cast("binary")))
 
 
 def uuid5_format(digest: Column) -> Column:
