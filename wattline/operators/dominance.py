@@ -50,7 +50,14 @@ def dominance_lookup(df: DataFrame, keys: Sequence[str], slice_seconds: int,
                    F.unix_micros("ts").alias("tmic"),
                    candidate.alias("_is_c"), query.alias("_is_q"), payload.alias("_pl"))
          .withColumn("_H", F.length(F.bin(F.greatest(F.col("y_total") - 1, F.lit(1))))))
-    cands = (d.where("_is_c")
+    # Only candidates that can answer some query are exploded: same series,
+    # earlier ts and earlier arrival than the series' latest query.  With late
+    # readings rare, this makes the lookup's cost follow the queries, not the
+    # log.  One row per series with queries; AQE broadcasts it when small.
+    reach = (d.where("_is_q").groupBy(*keys)
+             .agg(F.max("tmic").alias("_qt"), F.max("y").alias("_qy")))
+    cands = (d.where("_is_c").join(reach, on=keys, how="inner")
+             .where((F.col("tmic") < F.col("_qt")) & (F.col("y") < F.col("_qy")))
              .select(*keys, "y", "tmic",
                      F.explode(F.expr("filter(sequence(0, _H - 1), l -> shiftright(y, l) & 1 = 0)")).alias("L"),
                      F.struct("tmic", "y", F.col("_pl").alias("payload")).alias("_contrib"),
