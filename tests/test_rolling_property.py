@@ -31,9 +31,9 @@ row = st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 6 * 3600),
                 st.one_of(st.none(), st.integers(0, 9).map(float)))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=st.lists(row, min_size=1, max_size=40), mode=st.sampled_from(["rolling_avg", "rolling_sum"]),
-       width=st.sampled_from([1, 30, 90]))
+       width=st.sampled_from([1, 30, 90, 200]))
 def test_rolling_matches_queue(spark, rows, mode, width):
     rows = [(lab, sec - sec % 60 if i % 3 else sec, v, d, i) for i, (lab, sec, v, d) in enumerate(rows)]
     df = spark.createDataFrame([(lab, T0 + dt.timedelta(seconds=sec), v, d, rid) for lab, sec, v, d, rid in rows],

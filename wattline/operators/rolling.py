@@ -6,8 +6,9 @@ peers that come after it.  That is ``RANGE`` minus the later peers, both
 computed by windows on one partitioning.
 
 Skew: a label can be one huge series, so rows are cut into time slices; each
-row also lands, as a read-only *halo* copy, in the next slice when it lies
-within ``width`` of that slice's start.  Every frame is then complete inside
+row also lands, as a read-only *halo* copy, in each following slice whose
+start lies within ``width`` after it (the next slice only, with the default
+slice width of at least eight windows).  Every frame is then complete inside
 one ``(label, slice)`` partition and no task holds more than a slice plus its
 halo.
 """
@@ -46,8 +47,13 @@ def rolling(df: DataFrame, mode: str, minutes=DEFAULT_MINUTES, by: Sequence[str]
     t = (df.withColumn("_t", F.unix_micros(F.col(ts_col)))
            .withColumn("_b", base)
            .withColumn("_s0", F.floor(F.col("_t") / F.lit(slice_w))))
-    halo = F.col("_t") >= (F.col("_s0") + 1) * F.lit(slice_w) - F.lit(width)
-    t = (t.withColumn("_off", F.explode(F.when(halo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    # Halo: a row is also needed by every later slice whose first frame
+    # reaches back to it -- one slice when slices are wider than the window,
+    # ceil(width / slice) of them otherwise.
+    reach = -(-width // slice_w)
+    offsets = F.sequence(F.lit(0), F.lit(reach))
+    needed = F.filter(offsets, lambda j: (j == 0) | (F.col("_t") >= (F.col("_s0") + j) * F.lit(slice_w) - F.lit(width)))
+    t = (t.withColumn("_off", F.explode(needed))
           .withColumn("_slice", F.col("_s0") + F.col("_off")))
 
     part = by + ["_slice"]
