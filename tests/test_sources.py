@@ -104,3 +104,23 @@ def test_refresh_rewrites_only_touched_buckets(spark):
     expected = derive_measurements(fx.readings(spark, fx.SAMPLE))
     key = lambda df: sorted((r.device_external_id, r.ts, r.is_duplicate, r.is_late, r.delta) for r in df.collect())
     assert key(got) == key(expected)
+
+
+def test_unparseable_timestamp_is_quarantined(spark):
+    from wattline.operators.measure import invalid_readings
+    folder = tempfile.mkdtemp(prefix="wl-badts-")
+    d = os.path.join(folder, "batch_id=0")
+    os.makedirs(d)
+    body = {"building": {"name": "B"}, "device": {"external_id": "d1"},
+            "readings": [{"timestamp": "2024-03-01T08:00:00+02:00", "metric": "energy", "value": 1, "unit": "kWh"},
+                         {"timestamp": "not-a-time", "metric": "energy", "value": 2, "unit": "kWh"},
+                         {"timestamp": "2024-03-01T06:00:00Z", "metric": "energy", "value": 3, "unit": "kWh"}]}
+    with open(os.path.join(d, "part.json"), "w") as f:
+        f.write(json.dumps(body) + "\n")
+    r = read_batches(spark, folder)
+    m = derive_measurements(r).collect()
+    assert len(m) == 2
+    # +02:00 and Z are the same instant: the second arrival is a duplicate
+    assert sorted(x.is_duplicate for x in m) == [False, True]
+    bad = invalid_readings(r).collect()
+    assert [(x.value, x.reason) for x in bad] == [(2.0, "timestamp")]
