@@ -5,7 +5,8 @@ insert.  Here every output is a function of the whole append-only reading log
 and its arrival order, computed set-based:
 
 * readings are collapsed to one row per ``(series, ts)`` ("time groups") with a
-  partial+final aggregate, so a hot group of copies never lands in one task;
+  partial+final hash aggregate over one decimal arrival key, so a hot group of
+  copies is combined map side and never lands in one task;
 * running aggregates over event time use ``sliced_scan`` (hour slices with a
   carried-in summary), so a hot series is split across many tasks;
 * the per-group results are joined back onto the readings (AQE splits a hot
@@ -21,7 +22,9 @@ Two delta definitions:
   time, clamped at 0; null without a predecessor and for duplicates.
 * ``arrival``: exact parity with the sequential loop including its repair of the
   successor of every late reading (good or bad).  Computed from interval rules
-  plus an exact two-dimensional dominance lookup (``dominance.py``).
+  (the last "writer" of each good original), an arrival-ordered prefix maximum
+  that answers every reading not preceded by a later-ts arrival, and an exact
+  two-dimensional dominance lookup (``dominance.py``) for the rest.
 """
 
 from __future__ import annotations
