@@ -2,7 +2,7 @@
 ``events`` are remapped so one device holds a third of all readings and one
 (device, ts) copy group a sixth; the event-time derivation runs with an event
 log, and the largest single task's share of each shuffle stage's records is
-printed.  Usage: python scripts/skew_check.py [sf_dir]"""
+printed.  Usage: python scripts/skew_check.py [sf_dir] [event_time|arrival] [arrival_slice_bits]"""
 
 import glob
 import io
@@ -22,6 +22,8 @@ from wattline.sources.tables import readings_from_events  # noqa: E402
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    mode = sys.argv[2] if len(sys.argv) > 2 else "event_time"
+    bits = int(sys.argv[3]) if len(sys.argv) > 3 else 20
     log_dir = tempfile.mkdtemp(prefix="wattline-skew-")
     # No broadcasts and no partition coalescing, so every shuffle shows its
     # real key distribution; AQE's skew-join thresholds are scaled down from
@@ -39,7 +41,7 @@ def main():
     r = (r.withColumn("device_external_id", F.when(hot, F.lit("meter-hot")).otherwise(F.col("device_external_id")))
           .withColumn("ts", F.when(copies, F.lit("2024-01-15 00:00:00").cast("timestamp")).otherwise(F.col("ts"))))
     total = r.count()
-    derive_measurements(r).write.format("noop").mode("overwrite").save()
+    derive_measurements(r, mode, arrival_slice_bits=bits).write.format("noop").mode("overwrite").save()
     spark.stop()
     stages = {}
     for path in glob.glob(f"{log_dir}/*/events*") + glob.glob(f"{log_dir}/events*"):
@@ -56,7 +58,7 @@ def main():
             m = e.get("Task Metrics") or {}
             n = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
             stages.setdefault(e["Stage ID"], []).append(n)
-    print(f"readings: {total}; hot device: 1/3 of them; one copy group: 1/6")
+    print(f"{mode}: readings: {total}; hot device: 1/3 of them; one copy group: 1/6")
     print("| stage | tasks | shuffle records read | largest task | share |")
     print("|---|---|---|---|---|")
     for sid in sorted(stages):
