@@ -308,8 +308,22 @@ def _utc(fn):
     return run
 
 
+def _training_data():
+    """Queries and pipeline of the training-data operators; None where they are not installed."""
+    try:
+        import corpus_pipeline
+        from wattline.llm import queries as llm
+    except ModuleNotFoundError as e:
+        if e.name in ("corpus_pipeline", "wattline.llm"):
+            return None
+        raise
+    return llm, corpus_pipeline
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _utc(fn) for name, fn in _queries().items()}
+    found = _training_data()
+    more = {} if found is None else {**found[0].queries(), "pipeline": found[1].run}
+    return {name: _utc(fn) for name, fn in {**_queries(), **more}.items()}
 
 
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -425,7 +439,11 @@ def _guard_rounding(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _guard_rounding(v) for k, v in _oracle_sql().items()}
+    found = _training_data()
+    more = {} if found is None else dict(found[0].oracle_sql())
+    if found is not None and found[1].ORACLE_SQL:
+        more["pipeline"] = found[1].ORACLE_SQL
+    return {**{k: _guard_rounding(v) for k, v in _oracle_sql().items()}, **more}
 
 
 def _oracle_sql() -> dict[str, str]:
