@@ -35,6 +35,36 @@ _SEPARATOR = "\x01"       # one id; a text that holds it is encoded whole
 _REMEMBERED = 1_000_000   # pieces a worker remembers
 
 
+class _Known(dict):
+    """Numbers of pieces; a new piece is noted, to be encoded with the batch's others.
+
+    A piece of ASCII letters in another case has the lower-cased piece's ids (the
+    tokenizer lower-cases), and letters followed by one mark have the letters' ids
+    and the mark's (its splitter parts them), so those need no encoding of their own."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []                      # pieces to encode
+        self.joined: list[tuple[int, int, int]] = []    # number, of letters, of mark
+        self.numbers: list[int] = []                    # of the pieces to encode
+        self.count = 1                                  # 0 is the end of a text
+
+    def __missing__(self, p: bytes) -> int:
+        if p.isascii() and (low := p.lower()) != p:
+            k = self[p] = self[low]
+            return k
+        if len(p) > 1 and p[-1] in b".,;:!?|" and (p[:-1].isalpha() or (not p.isascii() and p[:-1].decode().isalpha())):
+            a, b = self[p[:-1]], self[p[-1:]]
+            k = self[p] = self.count
+            self.joined.append((k, a, b))
+        else:
+            k = self[p] = self.count
+            self.new.append(p)
+            self.numbers.append(k)
+        self.count += 1
+        return k
+
+
 class Encoder:
     """Text to numpy ids through the tokenizers library, remembering pieces."""
 
@@ -51,55 +81,72 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _reset(self):
-        self.known: dict[bytes, int] = {}
-        self.size, self.used = np.zeros(1 << 16, np.int64), 0
-        self.first = np.zeros(1 << 16, np.int64)
+        self.known = _Known()
+        self.size, self.first = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.int32)
+        self.ids[0], self.size[0], self.used = END_ID, 1, 1
 
-    def _learn(self, pieces: list[bytes]):
-        for k in range(0, len(pieces), 512):
-            part = pieces[k:k + 512]
+    def _room(self, ids: int):
+        if self.known.count > len(self.size):
+            self.size, self.first = (np.concatenate([x, np.zeros(self.known.count, np.int32)]) for x in (self.size, self.first))
+        if self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + ids, np.int32)])
+
+    def _learn(self):
+        known = self.known
+        for k in range(0, len(known.new), 512):
+            part, numbers = known.new[k:k + 512], np.array(known.numbers[k:k + 512])
             got = np.array(self._ids(f" {_SEPARATOR} ".join(p.decode() for p in part)), np.int32)
             cut = np.flatnonzero(got == self.separator)
             if len(cut) != len(part) - 1:
                 raise ValueError("the separator's id occurs inside a piece")
-            ends = np.append(cut, len(got))
-            begins = np.insert(cut + 1, 0, 0)
-            n, have = len(part), len(self.known)
-            if have + n > len(self.size):
-                self.size, self.first = (np.concatenate([x, np.zeros(len(x) + n, np.int64)]) for x in (self.size, self.first))
-            if self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(got), np.int32)])
+            ends, begins = np.append(cut, len(got)), np.insert(cut + 1, 0, 0)
+            self._room(len(got))
             self.ids[self.used:self.used + len(got)] = got
-            self.first[have:have + n] = self.used + begins
-            self.size[have:have + n] = ends - begins
+            self.first[numbers], self.size[numbers] = self.used + begins, ends - begins
             self.used += len(got)
-            for i, p in enumerate(part):
-                self.known[p] = have + i
-
-    def encode(self, rows: list[str]) -> list[np.ndarray]:
-        """Ids of every text, the end id appended."""
+        if known.joined:
+            self._room(0)
+            j = np.array(known.joined)
+            n = self.size[j[:, 1:]].sum(1)
+            got = self._gather(j[:, 1:].ravel())
+            self._room(len(got))
+            self.ids[self.used:self.used + len(got)] = got
+            self.first[j[:, 0]], self.size[j[:, 0]] = self.used + np.cumsum(n) - n, n
+            self.used += len(got)
+        known.new, known.numbers, known.joined = [], [], []
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the numbered pieces, one after another."""
+        n = self.size[at]
+        upto = np.cumsum(n, dtype=np.int64)
+        take = np.repeat(self.first[at] - (upto - n).astype(np.int32), n)
+        take += np.arange(len(take), dtype=np.int32)
+        return self.ids[take]
+
+    def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, each with its end id, and their numbers of ids."""
         if len(self.known) > _REMEMBERED:
             self._reset()
-        end = np.array([END_ID], np.int32)
-        pieces = [None if self.separator is None or _SEPARATOR in t else t.encode().split() for t in rows]
-        known = self.known
-        new = {p for x in pieces if x for p in x if p not in known}
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for text, x in zip(rows, pieces):
-            if x is None:
-                out.append(np.append(np.array(self._ids(text), np.int32), end))
-            elif not x:
-                out.append(end)
-            else:
-                at = np.fromiter(map(known.__getitem__, x), np.int64, len(x))
-                n = self.size[at]
-                upto = np.cumsum(n)
-                take = np.arange(upto[-1]) + np.repeat(self.first[at] - upto + n, n)
-                out.append(np.append(self.ids[take], end))
-        return out
+        whole = [i for i, t in enumerate(rows) if self.separator is None or _SEPARATOR in t]
+        skip = set(whole)
+        number, counts, at = self.known.__getitem__, [], []
+        for i, t in enumerate(rows):
+            pieces = [] if i in skip else t.encode().split()
+            counts.append(len(pieces) + 1)
+            at += map(number, pieces)
+            at.append(0)
+        self._learn()
+        at, counts = np.array(at, np.int32), np.array(counts)
+        n = np.add.reduceat(self.size[at], np.cumsum(counts) - counts, dtype=np.int64)
+        ids = self._gather(at)
+        if whole:
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in whole:
+                parts[i] = np.append(np.array(self._ids(rows[i]), np.int32), np.int32(END_ID))
+                n[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, n
 
 
 def encoder(path: str) -> Encoder:
@@ -133,10 +180,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, encoding: str
         enc = encoder(tokenizer)
         for ids, rows, part in batches_of(batches, "doc_id", "text", "part"):
             for a, b in _pieces_of(rows):
-                got = enc.encode(rows[a:b])
-                n = np.array([len(x) for x in got], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()),
-                                                 pa.array(np.concatenate(got)))
+                got, n = enc.encode(rows[a:b])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(got))
                 yield record(schema, [ids[a:b], n, lists, part[a:b]])
 
     (texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
