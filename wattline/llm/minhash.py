@@ -8,13 +8,13 @@ signatures are compared by bit counts, corrected for chance collisions, and
 candidates clearly below the threshold go.  What remains is confirmed on the
 full sets.
 
-Large groups never become all pairs:
+Large groups never become rows of pairs:
 
-1. In every band bucket each class meets only the bucket's smallest one.  The
-   confirmed links give components.
-2. Buckets that still hold several components are searched again, between
-   members of different components only, in blocks of bounded size; no member
-   is left out.
+1. Inside every band bucket (large ones in blocks of bounded size) the estimates
+   join members to regions; a spanning forest of them is all that leaves the task.
+2. Regions are cut into blocks; two blocks meet in one task, which compares the full
+   sets of promising pairs that nothing has linked yet, and again only a spanning
+   forest of the confirmed links leaves.  No member is left out.
 
 At the threshold 0.8 a linked pair shares no band with probability below 4e-6.
 The result's components are those of the graph of all confirmed links.
@@ -38,7 +38,8 @@ from .components import components
 BANDS, ROWS = 32, 5
 K = 256            # minima in all; the first BANDS * ROWS serve as bands too
 BITS = 4
-BLOCK = 1024       # classes compared at once in the second search
+BLOCK = 1024              # classes in a block
+BLOCK_SHINGLES = 1_000_000  # shingles in a block of full sets, about
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -151,40 +152,87 @@ def _words(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1)
 
 
-def _promising(cut: float):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                e = estimate(_words(b.column(b.schema.get_field_index("sig_a")).to_pylist()),
-                             _words(b.column(b.schema.get_field_index("sig_b")).to_pylist()))
-                yield b.select(["a", "b"]).filter(pa.array(e >= cut))
-    return run
+def _blocks(rows: DataFrame, group: str, blocks) -> DataFrame:
+    """Deal the rows of each group to units (group, i, j) of two of its blocks; every
+    two rows of a group meet in a unit."""
+    rows = rows.withColumn("_t", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_t")).cast("int"))
+    units = F.expr("transform(sequence(0, _t - 1), k -> struct(least(k, _own) as i, greatest(k, _own) as j))")
+    return (rows.withColumn("_u", F.explode(units)).withColumn("i", F.col("_u.i")).withColumn("j", F.col("_u.j"))
+            .drop("_t", "_own", "_u").repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "rep"))
+
+
+def _forest(n: int, linked) -> list[tuple[int, int]]:
+    """Spanning forest of positions 0..n-1; ``linked(i, others)`` masks those joined to i."""
+    out, fresh = [], np.arange(n)
+    while len(fresh):
+        todo, fresh = [fresh[0]], fresh[1:]
+        while todo and len(fresh):
+            i = todo.pop()
+            hit = linked(i, fresh)
+            todo += fresh[hit].tolist()
+            out += [(i, k) for k in fresh[hit]]
+            fresh = fresh[~hit]
+    return out
 
 
-def _confirm(percent: int):
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keep = []
-            for x, y in zip(b.column(b.schema.get_field_index("set_a")).to_pylist(), b.column(b.schema.get_field_index("set_b")).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
+def _units(batches, columns, edges_of):
+    """Edges (a, b) of every unit of consecutive equal first three columns."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    unit, rows, out = None, [], []
+    for batch in batches_of(batches, *columns):
+        for r in zip(*batch):
+            if r[:3] != unit:
+                out += edges_of(rows)
+                unit, rows = r[:3], []
+            rows.append(r[3:])
+        yield record(schema, [[min(x) for x in out], [max(x) for x in out]])
+        out = []
+    out += edges_of(rows)
+    yield record(schema, [[min(x) for x in out], [max(x) for x in out]])
+
 
+def _regions(cut: float):
+    """Pairs that share a bucket and whose estimate reaches ``cut``: a spanning forest of each unit."""
+    def edges_of(rows):
+        if len(rows) < 2:
+            return []
+        sig = _words([r[1] for r in rows])
+        return [(rows[i][0], rows[k][0]) for i, k in _forest(len(rows), lambda i, others: estimate(sig[others], sig[i]) >= cut)]
+    return lambda batches: _units(batches, ("key", "i", "j", "rep", "sig"), edges_of)
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b of class representatives) whose full sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
+def _confirmed(cut: float, percent: int):
+    """Pairs of a region whose full sets reach the threshold: a spanning forest of each unit."""
+    def edges_of(rows):
+        if len(rows) < 2:
+            return []
+        sig, sets = _words([r[1] for r in rows]), [np.frombuffer(r[2], "<u8") for r in rows]
+        n = np.array([len(s) for s in sets])
+        starts = np.cumsum(n) - n
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(flat.max() + 1, bool)
+
+        def linked(i, others):
+            out = np.zeros(len(others), bool)
+            some = np.flatnonzero((estimate(sig[others], sig[i]) >= cut) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])))
+            if len(some):
+                own = flat[starts[i]:starts[i] + n[i]]
+                mark[own] = True
+                for k in some:
+                    o = others[k]
+                    both = int(np.count_nonzero(mark[flat[starts[o]:starts[o] + n[o]]]))
+                    out[k] = 100 * both >= percent * (n[i] + n[o] - both)
+                mark[own] = False
+            return out
+        return [(rows[i][0], rows[k][0]) for i, k in _forest(len(rows), linked)]
+    return lambda batches: _units(batches, ("region", "i", "j", "rep", "sig", "set"), edges_of)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """rep, sig, set of the classes in ``wanted`` (rep, set_key, ...), from the representatives' texts."""
     def sets(batches):
         from xxhash import xxh3_128_digest
-        schema = pa.schema([("rep", pa.int64()), ("key", pa.binary()), ("set", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("set", pa.binary())])
         hashes = _Hashes()
         for ids, rows in batches_of(batches, "doc_id", "text"):
             for a in range(0, len(ids), 500):
@@ -193,85 +241,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
             if len(hashes) > 1_000_000:
                 hashes.clear()
 
-    full = stored(texts(docs).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(sets, "rep long, key binary, set binary")
-                  .join(classes.select("rep", F.col("set_key").alias("key")), ["rep", "key"], "left_semi")
-                  .dropDuplicates(["rep"]), "minhash-sets")
-    return (pairs.join(full.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(full.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-            .mapInArrow(_confirm(percent), "a long, b long"))
-
-
-def _estimated(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
-    sig = classes.select("rep", "sig")
-    return (pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-            .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-            .mapInArrow(_promising(cut), "a long, b long"))
-
-
-def _between(cut: float):
-    """Pairs of different components inside each unit (rows sorted by unit)."""
-    def pairs_of(unit, rows):
-        if not rows:
-            return []
-        same = unit[1] == -1 - unit[2]  # a minor block with itself
-        rep = np.array([r[0] for r in rows], np.int64)
-        comp = np.array([r[1] for r in rows], np.int64)
-        side = np.array([r[2] for r in rows], np.int64)
-        sig = _words([r[3] for r in rows])
-        out = []
-        left = np.flatnonzero(side == 0)
-        for i in left:
-            other = np.flatnonzero((comp != comp[i]) & ((rep > rep[i]) if same else (side != 0)))
-            if len(other):
-                good = other[estimate(sig[other], sig[i]) >= cut]
-                out += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in good]
-        return out
-
-    def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        unit, rows, out = None, [], set()
-        for *keys, rep, comp, side, sig in batches_of(batches, "key", "s", "t", "rep", "comp", "side", "sig"):
-            for k, r in zip(zip(*keys), zip(rep, comp, side, sig)):
-                if k != unit:
-                    out.update(pairs_of(unit, rows))
-                    unit, rows = k, []
-                    if len(out) > 100_000:
-                        yield record(schema, [[x[0] for x in out], [x[1] for x in out]])
-                        out = set()
-                rows.append(r)
-        out.update(pairs_of(unit, rows))
-        yield record(schema, [[x[0] for x in out], [x[1] for x in out]])
-    return run
-
-
-def _second_search(buckets: DataFrame, classes: DataFrame, comp: DataFrame, cut: float) -> DataFrame:
-    """Candidates between different components of one bucket.
-
-    A bucket's most common component is its major side, all other members the
-    minor one; minor members meet the major ones and each other.  Sides are cut
-    into blocks of about BLOCK classes; a unit is a minor block with a major block
-    (s >= 0) or with another minor block (s < 0)."""
-    rows = (buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("key", "rep", F.coalesce("component", "rep").alias("comp")))
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    per = (sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts"))
-           .where("parts > 1 AND all > 2")  # a bucket of two was settled by the first search
-           .select("key", F.col("top.comp").alias("major"),
-                   F.ceil(F.col("top.n") / BLOCK).cast("int").alias("blocks"),
-                   F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minor_blocks")))
-    rows = rows.join(per, "key").join(classes.select("rep", "sig"), "rep")
-    own = F.when(F.col("comp") == F.col("major"), F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(
-        F.pmod(F.xxhash64("rep"), F.col("minor_blocks"))).cast("int")
-    unit = "struct<s:int,t:int,side:int>"
-    major = f"transform(sequence(0, minor_blocks - 1), t -> cast(struct(own, t, 1) as {unit}))"
-    minor = (f"concat(transform(sequence(0, blocks - 1), s -> cast(struct(s, own, 0) as {unit})),"
-             f" transform(sequence(0, own), t -> cast(struct(-1 - t, own, 0) as {unit})),"
-             f" transform(filter(sequence(0, minor_blocks - 1), t -> t > own), t -> cast(struct(-1 - own, t, 1) as {unit})))")
-    units = (rows.withColumn("own", own)
-             .select("key", "rep", "comp", "sig", F.explode(F.expr(f"CASE WHEN comp = major THEN {major} ELSE {minor} END")).alias("u"))
-             .select("key", "u.s", "u.t", "rep", "comp", "u.side", "sig"))
-    return (units.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t")
-            .mapInArrow(_between(cut), "a long, b long").distinct())
+    full = (texts(docs).join(wanted.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+            .mapInArrow(sets, "doc_id long, key binary, set binary"))
+    # rows that repeat a representative give equal sets: they link to themselves, which changes nothing
+    return full.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("set_key"))).drop("doc_id", "key", "set_key")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -279,27 +252,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     cut = cut_for(percent / 100)
     signed = stored(texts(docs).mapInArrow(_sign(size), "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"), "minhash")
     classes = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
-                     .agg(F.min(F.struct("doc_id", "sig", "bands")).alias("m"))
-                     .select("set_key", F.col("m.doc_id").alias("rep"), "m.sig", "m.bands"), "minhash-classes")
+                     .agg(F.min(F.struct("doc_id", "sig", "bands", "n_shingles")).alias("m"))
+                     .select("set_key", F.col("m.doc_id").alias("rep"), "m.sig", "m.bands", "m.n_shingles"), "minhash-classes")
     band = classes.select("rep", F.explode("bands").alias("key"))
-    shared = band.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = stored(band.join(shared, "key").select("key", "rep", "first"), "minhash-buckets")
-
-    tested = buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_linked(stored(_estimated(tested, classes, cut), "minhash-pairs"), docs, classes, size, percent), "minhash-links")
-    comp = stored(components(links), "minhash-components")
-
-    more = _second_search(buckets.select("key", "rep"), classes, comp, cut).join(tested, ["a", "b"], "left_anti")
-    links2 = _linked(stored(more, "minhash-pairs"), docs, classes, size, percent)
-    named = comp.select("node", "component")
-    lifted = (links2.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-              .join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-              .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    top = components(lifted)
-
-    of_rep = (classes.select("set_key", "rep").join(named, F.col("rep") == F.col("node"), "left")
-              .select("set_key", F.coalesce("component", "rep").alias("c"))
-              .join(top, F.col("c") == F.col("node"), "left").select("set_key", F.coalesce("component", "c").alias("component_id")))
+    shared = band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = stored(band.join(shared, "key").select("key", "rep", "n"), "minhash-buckets")
+
+    near = _blocks(buckets.join(classes.select("rep", "sig"), "rep"), "key", F.ceil(F.col("n") / BLOCK).cast("int"))
+    regions = stored(components(near.select("key", "i", "j", "rep", "sig").mapInArrow(_regions(cut), "a long, b long")), "minhash-regions")
+    members = stored(classes.join(regions, F.col("rep") == F.col("node")).select(
+        "rep", "set_key", "sig", "n_shingles", F.col("component").alias("region")), "minhash-members")
+    sizes = members.groupBy("region").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("t"))
+    met = _blocks(_sets(docs, members.drop("n_shingles").join(sizes, "region"), size), "region", F.col("t"))
+    top = components(met.select("region", "i", "j", "rep", "sig", "set").mapInArrow(_confirmed(cut, percent), "a long, b long"))
+
+    of_rep = (classes.select("set_key", "rep").join(top, F.col("rep") == F.col("node"), "left")
+              .select("set_key", F.coalesce("component", "rep").alias("component_id")))
     return (signed.select("doc_id", "n_shingles", "set_key").join(of_rep, "set_key", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
