@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, record, stored, texts
+from .common import batches_of, broadcast_if_small, record, stored, texts
 from .components import components
 
 BANDS, ROWS = 32, 5
 K = 256            # minima in all; the first BANDS * ROWS serve as bands too
 BITS = 4
 BLOCK = 1024              # classes in a block
+BROADCAST_IDS = 4_000_000   # numbers of documents to broadcast; more are joined by a shuffle
 BLOCK_SHINGLES = 1_000_000  # shingles in a block of full sets, about
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -241,7 +242,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             if len(hashes) > 1_000_000:
                 hashes.clear()
 
-    full = (texts(docs).join(wanted.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    ids = broadcast_if_small(wanted.select("rep"), wanted.count(), BROADCAST_IDS)
+    full = (texts(docs).join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
             .mapInArrow(sets, "doc_id long, key binary, set binary"))
     # rows that repeat a representative give equal sets: they link to themselves, which changes nothing
     return full.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("set_key"))).drop("doc_id", "key", "set_key")
