@@ -31,7 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, crc_mod, record, stored, texts
@@ -41,7 +41,7 @@ OWN = 2048        # words with a class of their own
 SHARED = 2048     # classes of all other words
 CLASSES = OWN + SHARED
 ITERATIONS = 3
-CHUNK = 24_000_000      # bytes of text in a chunk
+CHUNK = 12_000_000      # bytes of text in a chunk
 END = b"\n"             # no word holds white space
 _LOCKSTEP = 1_000_000   # tokens that move through the recursion together
 
@@ -60,8 +60,8 @@ def word_class(word: bytes, own: dict[bytes, int]) -> int:
 
 # -- chunks ----------------------------------------------------------------
 
-_CHUNK_SCHEMA = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                           ("sizes", pa.list_(pa.int32())), ("at", pa.large_binary()), ("words", pa.list_(
+_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+                           ("sizes", pa.list_(pa.int32())), ("at", pa.binary()), ("words", pa.list_(
                                pa.struct([("w", pa.binary()), ("n", pa.int64())])))])
 
 
@@ -71,6 +71,16 @@ class _Numbers(dict):
         return k
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Four-byte numbers, byte plane by byte plane, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _chunk_rows(batches):
     numbers, ids, held, at, sizes, size = _Numbers(), [], [], [], [], 0
 
@@ -80,7 +90,7 @@ def _chunk_rows(batches):
         n = np.bincount(flat[learned], minlength=len(numbers))
         words = pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), pa.StructArray.from_arrays(
             [pa.array(list(numbers), pa.binary()), pa.array(n, pa.int64())], fields=list(_CHUNK_SCHEMA.field("words").type.value_type)))
-        return record(_CHUNK_SCHEMA, [[uuid.uuid4().hex], [ids], [held], [sizes], [flat.astype("<i4").tobytes()], words])
+        return record(_CHUNK_SCHEMA, [[uuid.uuid4().int >> 65], [ids], [held], [sizes], [_squeezed(flat)], words])
 
     for docs, rows, out in batches_of(batches, "doc_id", "text", "held_out"):
         for doc, text, h in zip(docs, rows, out):
@@ -97,7 +107,7 @@ def _chunk_rows(batches):
 
 def chunked(docs: DataFrame, held_out) -> DataFrame:
     rows = texts(docs, held_out.alias("held_out"))
-    return stored(rows.mapInArrow(_chunk_rows, "chunk string, doc_ids array<long>, held array<boolean>, sizes array<int>, "
+    return stored(rows.mapInArrow(_chunk_rows, "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, "
                                                "at binary, words array<struct<w:binary,n:long>>"), "hmm-chunks")
 
 
@@ -249,7 +259,11 @@ def score_documents(docs: DataFrame, held_out, states: int = STATES, iterations:
     """Learn from the rows where ``held_out`` (a boolean column) is false, score all."""
     chunks = chunked(docs, held_out)
     pairs = chunks.select("chunk", F.posexplode("words").alias("pos", "x")).select("chunk", "pos", "x.w", "x.n")
-    counts = stored(pairs.groupBy("w").agg(F.sum("n").alias("c")), "hmm-counts")
+    # one shuffle by word: each entry of a chunk's list gets the word's count over all chunks
+    word = Window.partitionBy("w")
+    counted = stored(pairs.select("w", "chunk", "pos", F.sum("n").over(word).alias("c"),
+                                  F.row_number().over(word.orderBy("chunk")).alias("k")), "hmm-counts")
+    counts = counted.where("k = 1").select("w", "c")
     learned = counts.where("c > 0")
     n_all, v_all = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
@@ -277,7 +291,7 @@ def score_documents(docs: DataFrame, held_out, states: int = STATES, iterations:
             return pa.Table.from_batches([], out)
         get = lambda c: left.column(c)[0]
         held, sizes = np.array(get("held").as_py(), bool), np.array(get("sizes").as_py(), np.int64)
-        at = np.frombuffer(get("at").as_py(), "<i4")
+        at = _unsqueezed(get("at").as_py(), int(sizes.sum()))
         words = get("words").values.field("w").to_pylist()
         c = np.zeros(len(words), np.int64)
         c[right.column("pos").to_numpy()] = right.column("c").to_numpy()
@@ -291,8 +305,8 @@ def score_documents(docs: DataFrame, held_out, states: int = STATES, iterations:
             get("doc_ids").values, held, sizes, total((c > 0).astype(np.int64)), total(base), total(inner),
             [seq[s:s + n].tobytes() for s, n in zip(starts, sizes)]])])
 
-    counted = pairs.select("chunk", "pos", "w").join(counts, "w").select(F.col("chunk").alias("of_chunk"), "pos", "c")
-    known = stored(chunks.groupBy("chunk").cogroup(counted.groupBy("of_chunk")).applyInArrow(
+    found = counted.select(F.col("chunk").alias("of_chunk"), "pos", "c")
+    known = stored(chunks.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(
         look_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, word_score double, cls binary"),
         "hmm-known")
     model = baum_welch(known.where("not held_out"), class_share, states, iterations)
