@@ -140,9 +140,9 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS k, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM documents),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM benchmark),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
 w AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[a:a + 12], ' ') AS t
     FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS a FROM i WHERE len(ws) > 0)),
 p AS (SELECT k, n, a, array_to_string(ws[a:a + n - 1], ' ') AS t FROM (SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS a
