@@ -192,8 +192,7 @@ def _h1(spark, sf):
 
 def _h2(spark, sf):
     c = charts.building_chart(_m(spark, sf), BUILDING, mode="delta", show_bad=False)
-    labels = [x for x in c.columns if x not in ("ts", "tsLabel") and not x.startswith("bad_")]
-    return c.select(iso_utc("ts").alias("ts"), *[_r(F.col(f"`{x}`")).alias(x) for x in labels])
+    return c.select(iso_utc("ts").alias("ts"), "label", _r("value").alias("value"))
 
 
 def _h3(spark, sf):
@@ -580,11 +579,9 @@ def _oracle_sql() -> dict[str, str]:
             f"WHERE {series_where} AND NOT is_bad AND {rng})"),
         "h4_series_per_building_raw": with_m(
             f", {a1} SELECT label AS building, {sql_iso('ts')} AS ts, round(coalesce(value, 0), 6) AS value FROM a1"),
-        # Pivot columns are the building's device labels: DuckDB's PIVOT derives
-        # them from the data, as the Spark side does.
         "h2_building_chart": with_m(
-            f"SELECT * FROM (PIVOT (SELECT {sql_iso('ts')} AS ts, {label} AS label, round(delta, 6) AS v "
-            f"FROM m WHERE {bseries}) ON label USING max(v) GROUP BY ts)"),
+            f"SELECT {sql_iso('ts')} AS ts, {label} AS label, round(arg_max(delta, arrival_seq), 6) AS value "
+            f"FROM m WHERE {bseries} GROUP BY ts, {label}"),
         "j5_resolve_buildings": with_m(
             ", kn AS (SELECT DISTINCT building_id AS id, building_name AS name FROM m), "
             "inc AS (SELECT upper(building_name) AS name FROM r UNION ALL SELECT n_name AS name FROM nation), "

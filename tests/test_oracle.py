@@ -30,7 +30,8 @@ def test_entry_smoke(spark):
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     s_rows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[name])
+    con.execute(f"CREATE OR REPLACE VIEW oracle_{name} AS {E.oracle_sql()[name]}")  # an oracle must work as a view
+    res = con.execute(f"SELECT * FROM oracle_{name}")
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)

@@ -124,15 +124,32 @@ def test_pivot_last_wins_and_overlay(spark):
     assert [tuple(r) for r in out.collect()] == [(t(0), 2.0, 5.0, 0.0, None), (t(60), None, 6.0, None, None)]
 
 
+def test_labels_with_dots_and_backticks(spark):
+    rows = spark.createDataFrame([(t(0), "Bldg. 3", 1.0, 1), (t(0), "a`b", 2.0, 2)], "ts timestamp, label string, value double, k long")
+    wide = pivot_labels(rows, ["Bldg. 3", "a`b"], order=["k"])
+    out = overlay_bad(wide, rows, ["Bldg. 3", "a`b"], order=["k"])
+    assert [tuple(r) for r in out.collect()] == [(t(0), 1.0, 2.0, 1.0, 2.0)]
+
+
+def test_bad_points_bounds(spark):
+    m = derive_measurements(fx.readings(spark, fx.SAMPLE))
+    for minutes in (0, -5, 1441, 100000):
+        with pytest.raises(ValueError):
+            q.bad_points(m, minutes=minutes)
+
+
 def test_charts(spark):
     m = derive_measurements(fx.readings(spark, fx.SAMPLE))
-    h3 = charts.all_buildings_chart(m, show_bad=True)
+    h3 = charts.all_buildings_chart(m, show_bad=True, labels=["North Campus", "South Campus", "East Campus"])
     assert h3.columns[:4] == ["ts", "East Campus", "North Campus", "South Campus"]
     r = {x.ts.hour: x for x in h3.collect()}
     assert r[11]["bad_North Campus"] == 100.0 and r[10]["bad_East Campus"] == 999.0
     bid = [x.id for x in q.buildings(m).collect() if x.name == "North Campus"][0]
-    h2 = charts.building_chart(m, bid, mode="delta")
+    h2 = charts.building_chart(m, bid, mode="delta", labels=["meter-n1", "meter-n2"])
     assert set(h2.columns) >= {"meter-n1", "meter-n2", "bad_meter-n1"}
+    long = charts.building_chart(m, bid, mode="delta")
+    assert {x.label for x in long.collect()} == {"meter-n1", "meter-n2"}
+    assert charts.all_buildings_chart(m, show_bad=True).columns == ["ts", "label", "value", "tsLabel", "bad_value"]
     dev = m.where("device_external_id = 'meter-n2'").first()["device_id"]
     h1 = charts.device_chart(m, dev, mode="raw", show_bad=True).collect()
     assert sum(x.badValue is not None for x in h1) == 1 and len(h1) == 10

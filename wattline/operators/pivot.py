@@ -7,28 +7,28 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELS = 1000
 BAD_PREFIX = "bad_"
 
 
-def distinct_labels(df: DataFrame, col: str = "label", limit: int = MAX_LABELS) -> list[str]:
-    """Sorted distinct labels of a result, for the pivot columns.
+def _quoted(name: str):
+    """A column by its exact name (labels may hold dots or backticks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-    This is the one bounded driver read of the library (as Spark's own pivot
-    does without explicit values); it refuses more than ``limit`` labels.
-    """
-    rows = df.select(col).distinct().orderBy(col).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} labels: pass labels explicitly")
-    return [r[0] for r in rows if r[0] is not None]
+
+def long_table(df: DataFrame, value_col: str = "value", order: Sequence[str] = (), ts_col: str = "ts") -> DataFrame:
+    """A11 without naming labels: one row (ts, label, value) each, the last row in
+    ``order`` wins.  Any number of labels, none read on the driver."""
+    key = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
+    return (df.where(F.col("label").isNotNull()).groupBy(ts_col, "label")
+              .agg(F.max_by(F.col(value_col), key).alias(value_col)).orderBy(ts_col, "label"))
 
 
-def pivot_labels(df: DataFrame, labels: Sequence[str] | None = None, value_col: str = "value",
+def pivot_labels(df: DataFrame, labels: Sequence[str], value_col: str = "value",
                  order: Sequence[str] = (), ts_col: str = "ts") -> DataFrame:
     """Rows (ts, label, value) -> one row per ts, one column per label
     (sorted), null when absent; on a repeated (ts, label) the last row in
     ``order`` wins."""
-    labels = sorted(labels) if labels is not None else distinct_labels(df)
+    labels = sorted(labels)
     key = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
     return (df.withColumn("_k", key)
               .groupBy(ts_col).pivot("label", list(labels))
@@ -48,18 +48,13 @@ def overlay_bad(wide: DataFrame, bad: DataFrame, labels: Sequence[str], value_co
             .withColumn("_k", key)
             .groupBy(ts_col).pivot("label", list(labels))
             .agg(F.max_by(F.col("_v"), F.col("_k"))))
-    for lab in labels:
-        b = b.withColumnRenamed(lab, BAD_PREFIX + lab)
-    out = wide.join(b, on=ts_col, how="left")
-    for lab in labels:
-        if BAD_PREFIX + lab not in out.columns:
-            out = out.withColumn(BAD_PREFIX + lab, F.lit(None).cast("double"))
-    return out.select(*wide.columns, *[BAD_PREFIX + lab for lab in labels]).orderBy(ts_col)
+    have = set(b.columns)
+    b = b.select(F.col(ts_col).alias("_bad_ts"),
+                 *[(_quoted(lab) if lab in have else F.lit(None).cast("double")).alias(BAD_PREFIX + lab) for lab in labels])
+    out = wide.join(b, F.col(ts_col) == F.col("_bad_ts"), "left")
+    return out.select(*map(_quoted, wide.columns), *[_quoted(BAD_PREFIX + lab) for lab in labels]).orderBy(ts_col)
 
 
 def empty_overlay(wide: DataFrame, labels: Sequence[str]) -> DataFrame:
     """J4 without bad points: every ``bad_<label>`` is null."""
-    out = wide
-    for lab in sorted(labels):
-        out = out.withColumn(BAD_PREFIX + lab, F.lit(None).cast("double"))
-    return out
+    return wide.select("*", *[F.lit(None).cast("double").alias(BAD_PREFIX + lab) for lab in sorted(labels)])

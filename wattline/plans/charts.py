@@ -1,6 +1,6 @@
 """Chart data products (H1-H4): compositions of series reads, rolling windows,
-pivot and overlay.  Everything stays a DataFrame; only the sorted label list of
-a pivot is read on the driver when not passed in (bounded, see ``pivot.py``).
+pivot and overlay.  Everything stays a DataFrame: wide tables have the labels
+that the caller names, otherwise the rows stay long.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import parse_exclude_bad
 from ..functions.text import ENERGY_METRIC
 from ..functions.time import time_label
-from ..operators.pivot import distinct_labels, empty_overlay, overlay_bad, pivot_labels
+from ..operators.pivot import empty_overlay, long_table, overlay_bad, pivot_labels
 from ..operators.rolling import DEFAULT_MINUTES, mode_value, rolling, split_points
 from . import queries as q
 
@@ -36,13 +36,16 @@ def building_chart(m: DataFrame, building: str, metric: str = ENERGY_METRIC, sta
                    mode: str = "raw", rolling_minutes=DEFAULT_MINUTES, show_bad: bool = False,
                    labels: Sequence[str] | None = None) -> DataFrame:
     """H2: every device of a building -> per-label rolling -> pivot.
-    No overlay for a single building: every ``bad_<label>`` is null."""
+    Long rows (ts, tsLabel, label, value) for any number of devices; one column
+    per label when the caller names ``labels`` (no overlay for a single building:
+    every ``bad_<label>`` is null)."""
     rows = q.building_series(m, building, metric, start, end, exclude_bad=not show_bad)
     if not show_bad:
         rows = rows.where(~F.col("is_bad"))
     rolled = rolling(rows, mode, rolling_minutes, by=["label"], order=["device_id", "arrival_seq", "id"])
     plotted = rolled.withColumn("value", mode_value(mode))
-    labels = sorted(labels) if labels is not None else distinct_labels(plotted)
+    if labels is None:
+        return long_table(plotted, "value", order=["device_id", "arrival_seq", "id"]).withColumn("tsLabel", time_label("ts"))
     wide = pivot_labels(plotted, labels, "value", order=["device_id", "arrival_seq", "id"])
     return empty_overlay(wide.withColumn("tsLabel", time_label("ts")), labels).orderBy("ts")
 
@@ -54,7 +57,13 @@ def all_buildings_chart(m: DataFrame, metric: str = ENERGY_METRIC, start=None, e
     average -> pivot -> bad overlay (A3 via J4) when bad points are shown."""
     agg = q.aggregated(m, q.ALL, q.ALL, metric, start, end, minutes)
     rolled = rolling(agg, "rolling_avg", rolling_minutes, by=["label"], order=["building_id"])
-    labels = sorted(labels) if labels is not None else distinct_labels(agg)
+    if labels is None:
+        out = long_table(rolled, "value", order=["building_id"]).withColumn("tsLabel", time_label("ts"))
+        if not show_bad:
+            return out
+        bad = long_table(q.bad_points(m, q.ALL, metric, start, end, minutes).withColumn("value", F.coalesce("value", F.lit(0.0))),
+                         "value", order=["building_id", "label"]).withColumnRenamed("value", "bad_value")
+        return out.join(bad, ["ts", "label"], "left").orderBy("ts", "label")
     wide = pivot_labels(rolled, labels, "value", order=["building_id"])
     wide = wide.withColumn("tsLabel", time_label("ts"))
     if show_bad:

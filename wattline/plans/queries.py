@@ -85,7 +85,9 @@ def aggregated(m: DataFrame, building: str = ALL, device: str = ALL,
 def bad_points(m: DataFrame, building: str = ALL, metric: str = ENERGY_METRIC,
                start=None, end=None, minutes: int = 60) -> DataFrame:
     """A3: bucketed bad originals per building (F5, F9, F6); empty unless
-    ``building == "all"``."""
+    ``building == "all"``.  ``minutes`` 1..1440, as in ``aggregated``."""
+    if not 1 <= int(minutes) <= 1440:
+        raise ValueError("minutes must be 1..1440")
     out = (m.where(bad_filter(metric, start, end))
            .groupBy(bucket("ts", int(minutes)).alias("ts"), F.col("building_id"),
                     F.col("building_name").alias("label"))
@@ -153,7 +155,7 @@ def recent(m: DataFrame, device: str, metric: str = ENERGY_METRIC, limit: int =
         rows = rows.offset(offset)
     return rows.limit(limit).select(
         "id", "ts", "metric", "value", "unit", "delta", *FLAGS,
-        "raw_event_id", "created_at", "updated_at")
+        "raw_event_id", "created_at", "updated_at", "arrival_seq")
 
 
 def series(m: DataFrame, device: str, metric: str = ENERGY_METRIC, start=None, end=None,
@@ -182,7 +184,7 @@ def paged(rows: DataFrame, size: int = 5, order: list | None = None) -> DataFram
     """Page number per row of a bounded list (<= 100 rows, e.g. ``recent``),
     plus the page count (at least 1)."""
     from pyspark.sql import Window
-    order = order or [F.col("ts").desc(), F.col("id").asc()]
+    order = order or [F.col("ts").desc(), *(["arrival_seq"] if "arrival_seq" in rows.columns else []), F.col("id").asc()]
     w = Window.orderBy(*order)
     n = F.count(F.lit(1)).over(Window.partitionBy())
     return (rows.withColumn("_rn", F.row_number().over(w))
