@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if not nt or not nc:
         return model
 
-    prior = (F.col("t") + F.col("c")) * F.lit(PRIOR / (nt + nc))
+    prior = F.greatest(F.lit(0.5), (F.col("t") + F.col("c")) * F.lit(PRIOR / (nt + nc)))  # half a document at least
     t, c = F.col("t") + prior, F.col("c") + prior
     odds = F.log(t / (nt + PRIOR - t)) - F.log(c / (nc + PRIOR - c))
     sig = (counts.where(~F.col("feature").isin(bytearray(b"#types"), bytearray(b"#tokens")))
