@@ -124,3 +124,63 @@ def test_unparseable_timestamp_is_quarantined(spark):
     assert sorted(x.is_duplicate for x in m) == [False, True]
     bad = invalid_readings(r).collect()
     assert [(x.value, x.reason) for x in bad] == [(2.0, "timestamp")]
+
+
+def _bodies():
+    good = {"building": {"name": "B"}, "device": {"external_id": "d1"},
+            "readings": [{"timestamp": "2024-03-01T08:00:00Z", "metric": "energy", "value": 1, "unit": "kWh"}]}
+    text_value = {**good, "readings": good["readings"] + [{"timestamp": "2024-03-01T09:00:00Z", "metric": "energy", "value": "x", "unit": "kWh"}]}
+    no_list = {"building": {"name": "B"}, "device": {"external_id": "d2"}}
+    no_device = {**good, "device": {"name": "n"}}
+    no_building = {**good, "building": {}, "device": {"external_id": "d3"}}
+    return good, text_value, no_list, no_device, no_building
+
+
+def test_rejected_bodies_and_missing_ids_are_visible(spark):
+    from wattline.operators.measure import invalid_readings
+    from wattline.sources.batches import read_bodies, rejected_bodies
+    folder = tempfile.mkdtemp(prefix="wl-rejected-")
+    for i, body in enumerate(_bodies()):
+        d = os.path.join(folder, f"batch_id={i}")
+        os.makedirs(d)
+        with open(os.path.join(d, "part.json"), "w") as f:
+            f.write(json.dumps(body) + "\n")
+    got = {r.reason: (r.body, r.file) for r in rejected_bodies(read_bodies(spark, folder)).collect()}
+    assert set(got) == {"malformed", "no readings"}
+    assert json.loads(got["malformed"][0]) == _bodies()[1] and "batch_id=1" in got["malformed"][1]
+    r = read_batches(spark, folder)
+    assert sorted(x.reason for x in invalid_readings(r).collect()) == ["building", "device"]
+    m = derive_measurements(r).collect()
+    assert [(x.device_external_id, x.delta) for x in m] == [("d1", None)]
+    # the time of ingest is the file's, so a second read repeats it
+    assert r.select("ingest_time").collect() == read_batches(spark, folder).select("ingest_time").collect()
+
+
+def test_stream_writes_rejected_bodies(spark):
+    root = tempfile.mkdtemp(prefix="wl-stream-rejected-")
+    inbox, log, out, ck, bad = (os.path.join(root, x) for x in ("in", "log", "out", "ck", "bad"))
+    os.makedirs(inbox)
+    for i, body in enumerate(_bodies()):
+        with open(os.path.join(inbox, f"{i}.json"), "w") as f:
+            f.write(json.dumps(body) + "\n")
+    ingest_stream(spark, inbox, log, ck, out_path=out, rejected_path=bad, max_files=2).awaitTermination()
+    assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == ["malformed", "no readings"]
+    assert [r.device_external_id for r in load_measurements(spark, out).collect()] == ["d1"]
+
+
+def test_batch_numbers_out_of_range_fail(spark):
+    import pytest
+    folder = tempfile.mkdtemp(prefix="wl-range-")
+    write_batch(folder, 0, fx.SAMPLE[0])
+    assert read_batches(spark, folder, (1 << 39) - 1).where("arrival_seq < 0").count() == 0
+    with pytest.raises(Exception, match="out of range"):
+        read_batches(spark, folder, 1 << 39).select("arrival_seq").collect()
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    import pytest
+    from types import SimpleNamespace as N
+    from wattline.session import ensure_checkpoint_dir
+    unset = N(conf=N(get=lambda key, default: default), sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(unset)

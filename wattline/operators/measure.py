@@ -80,17 +80,20 @@ def arrival_key(arrival_seq: str, reading_id: str):
 
 
 def placeable(n: DataFrame):
-    """A reading can be placed in a series only with a timestamp, a metric and a
-    value; the rest is quarantined (``invalid_readings``), never dropped silently."""
-    return F.col("ts").isNotNull() & F.col("metric").isNotNull() & F.col("value").isNotNull()
+    """A reading can be placed in a series only with a timestamp, a metric, a
+    value, a device id and a building; ``invalid_readings`` gives the rest."""
+    return (F.col("ts").isNotNull() & F.col("metric").isNotNull() & F.col("value").isNotNull()
+            & F.col("device_external_id").isNotNull() & F.col("building_name").isNotNull())
 
 
 def invalid_readings(readings: DataFrame) -> DataFrame:
     """Readings that ``derive_measurements`` cannot place (null timestamp --
-    e.g. text that did not parse --, metric or value), with a reason."""
+    e.g. text that did not parse --, metric, device id, building or value), with a reason."""
     n = normalize(readings)
     reason = (F.when(F.col("ts").isNull(), F.lit("timestamp"))
               .when(F.col("metric").isNull(), F.lit("metric"))
+              .when(F.col("device_external_id").isNull(), F.lit("device"))
+              .when(F.col("building_name").isNull(), F.lit("building"))
               .otherwise(F.lit("value")))
     return n.where(~placeable(n)).withColumn("reason", reason)
 

@@ -37,16 +37,22 @@ def parse_batches(batches: DataFrame, batch_id) -> DataFrame:
 
     ``batch_id`` (column or int) orders batches; inside a batch the position in
     the readings list orders readings: ``arrival_seq = batch_id << 24 | pos``.
-    A malformed batch (``_corrupt_record``) yields no readings; timestamps that
-    do not parse come out null so callers can quarantine them.
+    A malformed batch (``_corrupt_record``) yields no readings and is given by
+    ``rejected_bodies``; timestamps that do not parse come out null so callers
+    can quarantine them.  ``ingest_time`` is the file's time (``_arrived``) where
+    the source has one, so a replay repeats it.  Numbers beyond the bounds of
+    ``arrival_seq`` fail the job, since a wrapped number would sort wrongly.
     """
     bid = F.lit(batch_id) if isinstance(batch_id, int) else batch_id
     cols = batches.columns
     corrupt = F.col("_corrupt_record").isNull() if "_corrupt_record" in cols else F.lit(True)
     flat = (batches.where(corrupt)
             .withColumn("batch_id", bid.cast("long"))
-            .select("batch_id", "building", "device", F.posexplode("readings").alias("pos", "r")))
-    seq = F.shiftleft(F.col("batch_id"), POSITION_BITS) + F.col("pos")
+            .withColumn("ingest_time", F.col("_arrived") if "_arrived" in cols else F.current_timestamp())
+            .select("batch_id", "ingest_time", "building", "device", F.posexplode("readings").alias("pos", "r")))
+    fits = (F.col("pos") < 1 << POSITION_BITS) & (F.col("batch_id") >= 0) & (F.col("batch_id") < 1 << (63 - POSITION_BITS))
+    seq = (F.when(fits, F.shiftleft(F.col("batch_id"), POSITION_BITS) + F.col("pos"))
+           .otherwise(F.raise_error(F.lit("batch number or position out of range")).cast("long")))
     return flat.select(
         seq.alias("reading_id"), seq.alias("arrival_seq"), "batch_id",
         F.col("building.name").alias("building_name"),
@@ -55,17 +61,33 @@ def parse_batches(batches: DataFrame, batch_id) -> DataFrame:
         parse_ts(F.col("r.timestamp")).alias("ts"),
         F.col("r.metric").alias("metric"), F.col("r.value").alias("value"), F.col("r.unit").alias("unit"),
         F.col("r.dedupe_key").alias("dedupe_key"), F.col("r.raw_payload").alias("raw_payload"),
-        F.current_timestamp().alias("ingest_time"),
+        "ingest_time",
     )
 
 
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Request bodies of JSON Lines files (one per line, explicit schema, PERMISSIVE),
+    malformed ones in ``_corrupt_record``, with the file's time as ``_arrived``."""
+    return (spark.read.schema(BATCH)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+            .json(path).select("*", F.col("_metadata.file_modification_time").alias("_arrived")))
+
+
+def rejected_bodies(batches: DataFrame) -> DataFrame:
+    """Bodies that ``parse_batches`` takes no reading from because they break the
+    schema (their text as read) or have no readings list: file, body, reason."""
+    broken = F.col("_corrupt_record").isNotNull()
+    return (batches.where(broken | F.col("readings").isNull())
+            .select(F.input_file_name().alias("file"),
+                    F.coalesce("_corrupt_record", F.to_json(F.struct("building", "device"))).alias("body"),
+                    F.when(broken, "malformed").otherwise("no readings").alias("reason")))
+
+
 def read_batches(spark: SparkSession, path: str, batch_id=None) -> DataFrame:
     """S1 over files: JSON Lines, one batch object per line, explicit schema,
     PERMISSIVE mode.  Without ``batch_id`` the batch order is the numeric
     ``batch_id=<n>`` directory of each file (partition discovery)."""
-    df = (spark.read.schema(BATCH)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-          .json(path))
+    df = read_bodies(spark, path)
     if batch_id is None:
         if "batch_id" not in df.columns:
             raise ValueError("files need batch_id=<n> directories or an explicit batch_id")
@@ -96,6 +118,12 @@ def append_raw(readings: DataFrame, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
+def append_rejected(batches: DataFrame, batch_id: int, path: str) -> None:
+    """Write the rejected bodies of one batch (idempotent per batch)."""
+    (rejected_bodies(batches).withColumn("batch_id", F.lit(int(batch_id)).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
 def append_log(readings: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> None:
     """S3: append flat readings to the log, partitioned by series bucket and
     batch; a replayed batch overwrites its own partitions."""

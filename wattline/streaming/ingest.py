@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.measure import derive_measurements
 from ..schemas import BATCH
-from ..sources.batches import (DEFAULT_BUCKETS, append_log, append_raw, load_log, parse_batches,
+from ..sources.batches import (DEFAULT_BUCKETS, append_log, append_raw, append_rejected, load_log, parse_batches,
                                series_bucket, write_measurements)
 
 MAX_FILES_PER_TRIGGER = 1000
@@ -56,8 +56,8 @@ def order_files(spark: SparkSession, batch: DataFrame, epoch: int) -> DataFrame:
     """
     with_file = batch.withColumn("_file", F.input_file_name())
     files = sorted(r[0] for r in with_file.select("_file").distinct().collect())
-    if len(files) > MAX_FILES_PER_TRIGGER:
-        raise ValueError("more files in one trigger than maxFilesPerTrigger")
+    if len(files) >= 1 << FILE_BITS:
+        raise ValueError("more files in one trigger than a batch number holds")
     ranks = spark.createDataFrame([(f, (int(epoch) << FILE_BITS) | i) for i, f in enumerate(files)],
                                   "_file string, _batch long")
     return with_file.join(F.broadcast(ranks), on="_file", how="inner")
@@ -65,8 +65,10 @@ def order_files(spark: SparkSession, batch: DataFrame, epoch: int) -> DataFrame:
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, log_path: str,
                   out_path: str | None, raw_path: str | None, delta_mode: str,
-                  buckets: int) -> None:
+                  buckets: int, rejected_path: str | None = None) -> None:
     """Body of ``foreachBatch``: S1 -> S2/S3 -> R2 for one micro-batch."""
+    if rejected_path:
+        append_rejected(batch, batch_id, rejected_path)
     ordered = order_files(spark, batch, batch_id)
     readings = parse_batches(ordered, F.col("_batch")).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
     if raw_path:
@@ -81,20 +83,24 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, log_path
 def ingest_stream(spark: SparkSession, in_path: str, log_path: str, checkpoint: str,
                   out_path: str | None = None, raw_path: str | None = None,
                   delta_mode: str = "event_time", buckets: int = DEFAULT_BUCKETS,
-                  available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+                  available_now: bool = True, processing_time: str | None = None,
+                  rejected_path: str | None = None, max_files: int = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
     """Start the ingest stream over JSON-Lines batch files in ``in_path``.
 
     ``checkpoint`` must be a shared folder (pass one under the session's
     ``spark.checkpoint.dir`` on a cluster).  ``available_now`` processes what
-    is there and stops; otherwise ``processing_time`` sets the trigger.
+    is there and stops; otherwise ``processing_time`` sets the trigger, which
+    takes up to ``max_files`` files.  Bodies that are rejected go to
+    ``rejected_path``; readings that cannot be placed stay in the log
+    (``invalid_readings`` of it gives them).
     """
     src = (spark.readStream.schema(BATCH)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-           .option("maxFilesPerTrigger", MAX_FILES_PER_TRIGGER)
-           .json(in_path))
+           .option("maxFilesPerTrigger", max_files)
+           .json(in_path).select("*", F.col("_metadata.file_modification_time").alias("_arrived")))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(spark, batch, batch_id, log_path, out_path, raw_path, delta_mode, buckets)
+        process_batch(spark, batch, batch_id, log_path, out_path, raw_path, delta_mode, buckets, rejected_path)
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
