@@ -24,8 +24,8 @@ from wattline.operators.pivot import overlay_bad, pivot_labels
 from wattline.operators.rolling import rolling
 from wattline.plans import charts, queries as q
 from wattline.plans.oracle import bucket as sql_bucket, iso as sql_iso, uuid5_sql, with_m
-from wattline.session import ensure_checkpoint_dir
-from wattline.sources.batches import load_measurements, read_batches, write_batches
+from wattline.session import ensure_checkpoint_dir, materialize
+from wattline.sources.batches import load_log, load_measurements, read_batches, read_bodies, rejected_bodies, write_batches
 from wattline.sources.tables import readings_from_events, table
 from wattline.streaming.ingest import events_as_batches, ingest_stream
 
@@ -272,29 +272,61 @@ def _scratch(spark, kind: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wattline-{kind}/{uuid.uuid4().hex}"
 
 
-def _batch_files(spark, sf) -> str:
-    """Readings of the whole ``events`` table as request-shaped JSON batch
-    files (one file per arrival block, one batch per device in it)."""
-    path = _scratch(spark, "batches")
-    write_batches(events_as_batches(readings_from_events(spark, sf)), path)
-    return path
+def _batches(spark, sf) -> DataFrame:
+    """Readings of the whole ``events`` table as request bodies, several per device and file."""
+    return events_as_batches(readings_from_events(spark, sf))
 
 
 def _reading_rows(m):
-    return m.select("device_external_id", iso_utc("ts").alias("ts"), _r("value").alias("value"), *FLAGS,
-                    _r("delta").alias("delta"))
+    return m.select("reading_id", "arrival_seq", "raw_event_id", "device_external_id", iso_utc("ts").alias("ts"),
+                    _r("value").alias("value"), *FLAGS, _r("delta").alias("delta"))
 
 
 def _s1(spark, sf):
-    return _reading_rows(derive_measurements(read_batches(spark, _batch_files(spark, sf))))
+    path = _scratch(spark, "batches")
+    write_batches(_batches(spark, sf), path)
+    return _reading_rows(derive_measurements(read_batches(spark, path)))
+
+
+def _s1_quarantine(spark, sf):
+    """Every error event as a broken body (cut off, or without readings) between good ones."""
+    path = _scratch(spark, "rejects")
+    ev = table(spark, sf, "events")
+    user = F.col("user_id").cast("string")
+    cut = F.concat(F.lit('{"device": {"external_id": "meter-'), user)
+    whole = F.concat(cut, F.lit('"}'))
+    reading = F.lit(', "readings": [{"timestamp": "2024-01-01T00:00:00Z", "metric": "energy", "value": 1.5, "unit": "kWh"}]}')
+    body = (F.when(F.col("event_type") != "error", F.concat(whole, reading))
+            .when(F.col("event_id") % 2 == 0, cut).otherwise(F.concat(whole, F.lit("}"))))
+    ev.select(body.alias("value")).write.text(path)
+    return rejected_bodies(read_bodies(spark, path)).select("body", "reason")
+
+
+TRIGGERS = 5
+
+
+def _ingested(spark, sf, measure=True):
+    """The batches of ``events`` delivered in five parts, one trigger each."""
+    src, root = _scratch(spark, "inbox"), _scratch(spark, "stream")
+    batches = materialize(_batches(spark, sf), "batches")
+    last = batches.agg(F.max("block")).first()[0]
+    for k in range(TRIGGERS):
+        write_batches(batches.where(F.floor(F.col("block") * TRIGGERS / (last + 1)) == k), src, mode="append")
+        ingest_stream(spark, src, f"{root}/log", f"{root}/checkpoint", raw_path=f"{root}/raw",
+                      out_path=f"{root}/measurements" if measure else None, max_files=last + 1).awaitTermination()
+    return root
 
 
 def _r1(spark, sf):
-    src = _batch_files(spark, sf)
-    root = _scratch(spark, "stream")
-    ingest_stream(spark, src, f"{root}/log", f"{root}/checkpoint", out_path=f"{root}/measurements",
-                  raw_path=f"{root}/raw").awaitTermination()
-    return _reading_rows(load_measurements(spark, f"{root}/measurements"))
+    return _reading_rows(load_measurements(spark, f"{_ingested(spark, sf)}/measurements"))
+
+
+def _s2(spark, sf):
+    """Raw rows of the stream with the logged reading each belongs to."""
+    root = _ingested(spark, sf, measure=False)
+    log = normalize(load_log(spark, f"{root}/log")).drop("batch_id")
+    return (spark.read.parquet(f"{root}/raw").select("id", "batch_id").join(log, F.col("id") == log["reading_id"])
+            .select("id", "batch_id", "device_external_id", iso_utc("ts").alias("ts"), _r("value").alias("value")))
 
 
 def _utc(fn):
@@ -328,6 +360,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "s1_read_batches": _s1,
+        "s1_quarantine": _s1_quarantine,
+        "s2_raw_events": _s2,
         "r1_ingest_stream": _r1,
         "w12_measurements": _w12,
         "w7_arrival_measurements": _w7,
@@ -457,10 +491,22 @@ def _oracle_sql() -> dict[str, str]:
     a1 = _sql_a1_raw()
     a3 = _sql_a3_raw()
     h3_roll = _sql_rolling("a1", "avg(value)", "label", ROLL_MIN)
-    reading_rows = (f"SELECT device_external_id, {sql_iso('ts')} AS ts, round(value, 6) AS value, {FLAG_SQL}, "
-                    "round(delta, 6) AS delta FROM m")
+    # Arrival numbers of the request bodies: block, device, then arrival in the body.
+    numbered = ("(SELECT m.*, row_number() OVER (ORDER BY arrival_seq // 1000, device_external_id, arrival_seq, reading_id) - 1 "
+                "AS num, arrival_seq // 1000 AS block FROM m)")
+    reading_rows = (f"SELECT num AS reading_id, num AS arrival_seq, num AS raw_event_id, device_external_id, "
+                    f"{sql_iso('ts')} AS ts, round(value, 6) AS value, {FLAG_SQL}, round(delta, 6) AS delta FROM {numbered}")
+    cut = "'{\"device\": {\"external_id\": \"meter-' || user_id"
+    no_list = "'{\"device\":{\"external_id\":\"meter-' || user_id || '\"}}'"
     return {
         "s1_read_batches": with_m(reading_rows),
+        "s1_quarantine": (
+            f"SELECT CASE WHEN event_id % 2 = 0 THEN {cut} ELSE {no_list} END AS body, "
+            "CASE WHEN event_id % 2 = 0 THEN 'malformed' ELSE 'no readings' END AS reason "
+            "FROM events WHERE event_type = 'error'"),
+        "s2_raw_events": with_m(
+            f"SELECT num AS id, block * {TRIGGERS} // ((SELECT max(arrival_seq) // 1000 FROM m) + 1) AS batch_id, "
+            f"device_external_id, {sql_iso('ts')} AS ts, round(value, 6) AS value FROM {numbered}"),
         "r1_ingest_stream": with_m(reading_rows),
         "w12_measurements": with_m(
             f"SELECT arrival_seq, reading_id, building_id, building_name, device_id, device_external_id, "

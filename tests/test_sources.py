@@ -83,7 +83,7 @@ def test_refresh_rewrites_only_touched_buckets(spark):
         from wattline.schemas import BATCH
         schema = BATCH["building"], BATCH["device"], BATCH["readings"]
         from pyspark.sql import types as T
-        return parse_batches(spark.createDataFrame(body, T.StructType(list(schema))), i)
+        return parse_batches(spark.createDataFrame(body, T.StructType(list(schema))), i, sum(len(x["rows"]) for x in fx.SAMPLE[:i]))
 
     first = fx.SAMPLE[:5]
     for i, b in enumerate(first):
@@ -168,13 +168,76 @@ def test_stream_writes_rejected_bodies(spark):
     assert [r.device_external_id for r in load_measurements(spark, out).collect()] == ["d1"]
 
 
-def test_batch_numbers_out_of_range_fail(spark):
+def _body(device, *readings):
+    return {"building": {"name": "B"}, "device": {"external_id": device},
+            "readings": [{"timestamp": f"2024-03-01T{hhmm}:00Z", "metric": "energy", "value": v, "unit": "kWh"}
+                         for hhmm, v in readings]}
+
+
+def _write_lines(path, *bodies):
+    with open(path, "w") as f:
+        f.writelines((b if isinstance(b, str) else json.dumps(b)) + "\n" for b in bodies)
+
+
+def test_bodies_of_one_device_in_one_file_keep_their_order(spark):
+    folder = tempfile.mkdtemp(prefix="wl-bodies-")
+    os.makedirs(os.path.join(folder, "batch_id=10"))
+    os.makedirs(os.path.join(folder, "batch_id=9"))
+    _write_lines(os.path.join(folder, "batch_id=10", "a.json"), _body("d2", ("08:00", 9.0)))
+    _write_lines(os.path.join(folder, "batch_id=9", "a.json"), _body("d1", ("08:00", 1.0)), "{not json",
+                 _body("d1", ("08:00", 2.0), ("08:10", 5.0)))
+    m = derive_measurements(read_batches(spark, folder)).orderBy("arrival_seq").collect()
+    assert [(r.reading_id, r.device_external_id, r.value, r.is_duplicate, r.delta) for r in m] == [
+        (0, "d1", 1.0, False, None), (1, "d1", 2.0, True, None), (2, "d1", 5.0, False, 4.0), (3, "d2", 9.0, False, None)]
+
+
+def test_order_holds_over_many_splits_of_a_file(spark):
+    folder = tempfile.mkdtemp(prefix="wl-splits-")
+    os.makedirs(os.path.join(folder, "batch_id=0"))
+    _write_lines(os.path.join(folder, "batch_id=0", "a.json"), *[_body(f"d{i}", ("08:00", float(i))) for i in range(500)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        r = read_batches(spark, folder)
+        assert [(x.reading_id, x.value) for x in r.orderBy("reading_id").collect()] == [(i, float(i)) for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_triggers_number_on_and_a_replay_repeats(spark):
+    from wattline.sources.batches import load_log, read_bodies
+    from wattline.streaming.ingest import process_batch
+    root = tempfile.mkdtemp(prefix="wl-triggers-")
+    files = [os.path.join(root, f"{i}.json") for i in range(3)]
+    _write_lines(files[0], _body("d1", ("08:00", 1.0), ("08:20", 3.0)))
+    _write_lines(files[1], "{not json")  # a trigger without a reading
+    _write_lines(files[2], _body("d1", ("08:10", 2.0)), _body("d1", ("08:10", 7.0)))
+    log, out, raw = (os.path.join(root, x) for x in ("log", "out", "raw"))
+    start = (1 << 19) - 1
+
+    def trigger(k):
+        process_batch(spark, read_bodies(spark, files[k]), start + k, log, out, raw, "event_time", 4)
+
+    def state():
+        return sorted((r.reading_id, r.value, r.is_duplicate, r.is_late, r.delta) for r in load_measurements(spark, out).collect())
+
+    for k in range(3):
+        trigger(k)
+    expected = [(0, 1.0, False, False, None), (1, 3.0, False, False, 1.0), (2, 2.0, False, True, 1.0), (3, 7.0, True, True, None)]
+    assert state() == expected
+    for k in (0, 2):
+        trigger(k)
+    assert state() == expected
+    assert sorted(r.id for r in spark.read.parquet(raw).collect()) == [0, 1, 2, 3]
+    assert load_log(spark, log).count() == 4
+
+
+def test_batch_without_a_number_fails(spark):
     import pytest
-    folder = tempfile.mkdtemp(prefix="wl-range-")
-    write_batch(folder, 0, fx.SAMPLE[0])
-    assert read_batches(spark, folder, (1 << 39) - 1).where("arrival_seq < 0").count() == 0
-    with pytest.raises(Exception, match="out of range"):
-        read_batches(spark, folder, 1 << 39).select("arrival_seq").collect()
+    folder = tempfile.mkdtemp(prefix="wl-null-batch-")
+    _write_lines(os.path.join(folder, "a.json"), _body("d1", ("08:00", 1.0)))
+    with pytest.raises(Exception, match="batch without a number"):
+        read_batches(spark, folder, F.lit(None)).collect()
 
 
 def test_checkpoint_folder_is_required_on_a_cluster():

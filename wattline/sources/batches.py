@@ -14,16 +14,14 @@ appending twice, and a refresh (S5/R2) rewrites only the buckets it touched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import device_key
 from ..functions.text import canonical_metric
 from ..functions.time import parse_ts
-from ..schemas import BATCH
+from ..schemas import BATCH, LOG
 
-# Readings per batch are numbered below this bound inside ``arrival_seq``.
-POSITION_BITS = 24
 DEFAULT_BUCKETS = 64
 
 
@@ -32,27 +30,51 @@ def series_bucket(buckets: int = DEFAULT_BUCKETS):
     return F.pmod(F.xxhash64(device_key("device_external_id"), canonical_metric("metric")), F.lit(buckets))
 
 
-def parse_batches(batches: DataFrame, batch_id) -> DataFrame:
+def number_bodies(bodies: DataFrame) -> DataFrame:
+    """Add ``_first``: how many readings all earlier bodies hold, in the order
+    (``batch_id``, file, position of the body in the file).
+
+    ``_file`` and ``_block`` (start of the input split) come from ``read_bodies``;
+    a DataFrame without files is taken in the order of its partitions.  Lines of
+    one split are read by one task in file order, so ``_line`` orders them.  Bodies
+    are summed inside their split; only one row per split -- no more than the
+    driver lists to plan the scan -- goes through the window over all splits.
+    """
+    b = bodies.withColumn("_line", F.monotonically_increasing_id())
+    if "_file" not in b.columns:
+        b = b.withColumn("_file", F.lit("")).withColumn("_block", F.spark_partition_id().cast("long"))
+    b = b.withColumn("_n", F.when(F.col("readings").isNull(), 0).otherwise(F.size("readings")).cast("long"))
+    split = ["batch_id", "_file", "_block"]
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*split).orderBy("_line").rowsBetween(*earlier)
+    b = b.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    starts = (b.groupBy(*split).agg(F.sum("_n").alias("_t"))
+              .select(*split, F.coalesce(F.sum("_t").over(Window.orderBy(*split).rowsBetween(*earlier)), F.lit(0)).alias("_start")))
+    return b.join(starts, split).withColumn("_first", F.col("_start") + F.col("_inside"))
+
+
+def parse_batches(batches: DataFrame, batch_id, first_id: int = 0) -> DataFrame:
     """Nested batches -> one flat reading per list entry, list order kept.
 
-    ``batch_id`` (column or int) orders batches; inside a batch the position in
-    the readings list orders readings: ``arrival_seq = batch_id << 24 | pos``.
+    Readings are numbered without gaps from ``first_id`` in arrival order: batch
+    (``batch_id``, column or int), file name, position of the body in its file,
+    position in the readings list.  The number is both ``reading_id`` and
+    ``arrival_seq``, so ids are unique in any number of bodies, files and batches;
+    a caller that appends passes the count of readings taken before.
     A malformed batch (``_corrupt_record``) yields no readings and is given by
     ``rejected_bodies``; timestamps that do not parse come out null so callers
     can quarantine them.  ``ingest_time`` is the file's time (``_arrived``) where
-    the source has one, so a replay repeats it.  Numbers beyond the bounds of
-    ``arrival_seq`` fail the job, since a wrapped number would sort wrongly.
+    the source has one, so a replay repeats it.  A batch without a number fails.
     """
     bid = F.lit(batch_id) if isinstance(batch_id, int) else batch_id
+    bid = F.coalesce(bid.cast("long"), F.raise_error(F.lit("batch without a number")).cast("long"))
     cols = batches.columns
-    corrupt = F.col("_corrupt_record").isNull() if "_corrupt_record" in cols else F.lit(True)
-    flat = (batches.where(corrupt)
-            .withColumn("batch_id", bid.cast("long"))
-            .withColumn("ingest_time", F.col("_arrived") if "_arrived" in cols else F.current_timestamp())
-            .select("batch_id", "ingest_time", "building", "device", F.posexplode("readings").alias("pos", "r")))
-    fits = (F.col("pos") < 1 << POSITION_BITS) & (F.col("batch_id") >= 0) & (F.col("batch_id") < 1 << (63 - POSITION_BITS))
-    seq = (F.when(fits, F.shiftleft(F.col("batch_id"), POSITION_BITS) + F.col("pos"))
-           .otherwise(F.raise_error(F.lit("batch number or position out of range")).cast("long")))
+    bodies = number_bodies(batches.withColumn("batch_id", bid).withColumn(
+        "ingest_time", F.col("_arrived") if "_arrived" in cols else F.current_timestamp())
+        .withColumn("readings", F.when(F.col("_corrupt_record").isNull(), F.col("readings"))
+                    if "_corrupt_record" in cols else F.col("readings")))
+    flat = bodies.select("batch_id", "ingest_time", "building", "device", "_first", F.posexplode("readings").alias("pos", "r"))
+    seq = F.lit(int(first_id)).cast("long") + F.col("_first") + F.col("pos")
     return flat.select(
         seq.alias("reading_id"), seq.alias("arrival_seq"), "batch_id",
         F.col("building.name").alias("building_name"),
@@ -65,12 +87,18 @@ def parse_batches(batches: DataFrame, batch_id) -> DataFrame:
     )
 
 
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+def with_origin(bodies: DataFrame) -> DataFrame:
+    """Add the file's time, the file and the start of the split of every body."""
+    meta = {"_arrived": "file_modification_time", "_file": "file_path", "_block": "file_block_start"}
+    return bodies.select("*", *[F.col(f"_metadata.{field}").alias(name) for name, field in meta.items()])
+
+
+def read_bodies(spark: SparkSession, path) -> DataFrame:
     """Request bodies of JSON Lines files (one per line, explicit schema, PERMISSIVE),
-    malformed ones in ``_corrupt_record``, with the file's time as ``_arrived``."""
-    return (spark.read.schema(BATCH)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-            .json(path).select("*", F.col("_metadata.file_modification_time").alias("_arrived")))
+    malformed ones in ``_corrupt_record``, with their origin (``with_origin``)."""
+    return with_origin(spark.read.schema(BATCH)
+                       .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+                       .json(path))
 
 
 def rejected_bodies(batches: DataFrame) -> DataFrame:
@@ -78,7 +106,7 @@ def rejected_bodies(batches: DataFrame) -> DataFrame:
     schema (their text as read) or have no readings list: file, body, reason."""
     broken = F.col("_corrupt_record").isNotNull()
     return (batches.where(broken | F.col("readings").isNull())
-            .select(F.input_file_name().alias("file"),
+            .select(F.col("_file").alias("file"),
                     F.coalesce("_corrupt_record", F.to_json(F.struct("building", "device"))).alias("body"),
                     F.when(broken, "malformed").otherwise("no readings").alias("reason")))
 
@@ -96,14 +124,14 @@ def read_batches(spark: SparkSession, path: str, batch_id=None) -> DataFrame:
     return parse_batches(df, batch_id)
 
 
-def write_batches(batches: DataFrame, path: str, batch_col: str = "block") -> None:
+def write_batches(batches: DataFrame, path: str, batch_col: str = "block", order=("device.external_id", "part"),
+                  mode: str = "overwrite") -> None:
     """Write nested batches as JSON Lines, one ``batch_id=<n>`` folder and file
-    per batch number (a device appears at most once per batch number).  The
-    number is zero-padded so file paths sort in batch order; partition
-    discovery still reads it back as a number."""
+    per batch number, bodies of a file in ``order``.  The number is zero-padded so
+    file paths sort in batch order; partition discovery reads it back as a number."""
     (batches.withColumn("batch_id", F.lpad(F.col(batch_col).cast("string"), 12, "0")).drop(batch_col)
-     .repartition("batch_id")
-     .write.mode("overwrite").partitionBy("batch_id").json(path))
+     .repartition("batch_id").sortWithinPartitions("batch_id", *order)
+     .write.mode(mode).partitionBy("batch_id").json(path))
 
 
 def raw_events(readings: DataFrame) -> DataFrame:
@@ -133,8 +161,8 @@ def append_log(readings: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -
 
 
 def load_log(spark: SparkSession, path: str, buckets_filter=None) -> DataFrame:
-    """Scan the reading log; a bucket list prunes partitions."""
-    df = spark.read.parquet(path)
+    """Scan the reading log (empty when nothing was appended); a bucket list prunes partitions."""
+    df = spark.read.schema(LOG).parquet(path)
     if buckets_filter is not None:
         df = df.where(F.col("bucket").isin(list(buckets_filter)))
     return df

@@ -7,8 +7,9 @@ reading can change a delta computed long ago.  The streaming job therefore
 
 1. reads new batch files with an explicit schema (file source, exactly once
    through the checkpoint);
-2. in ``foreachBatch`` flattens them with the micro-batch id as batch order and
-   overwrites that batch's log partitions (a replay rewrites, never duplicates);
+2. in ``foreachBatch`` flattens them, numbers their readings on from the count of
+   the batches before and overwrites that batch's log partitions (a replay
+   rewrites with the same numbers, never duplicates);
 3. re-derives only the series buckets the micro-batch touched -- partition
    pruning on the log -- and overwrites those buckets of the measurement table.
 
@@ -26,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.measure import derive_measurements
 from ..schemas import BATCH
 from ..sources.batches import (DEFAULT_BUCKETS, append_log, append_raw, append_rejected, load_log, parse_batches,
-                               series_bucket, write_measurements)
+                               with_origin, write_measurements)
 
 MAX_FILES_PER_TRIGGER = 1000
 
@@ -43,41 +44,43 @@ def refresh(spark: SparkSession, log_path: str, out_path: str, touched_buckets,
     write_measurements(m, out_path, buckets)
 
 
-FILE_BITS = 20
+def numbers_path(log_path: str) -> str:
+    """Table with one row per micro-batch: the first number and count of its readings."""
+    return log_path.rstrip("/") + "_numbers"
 
 
-def order_files(spark: SparkSession, batch: DataFrame, epoch: int) -> DataFrame:
-    """Batch order inside a micro-batch: files by name.  Adds ``_batch`` =
-    ``epoch << 20 | rank of the file``.  A file holds request bodies of
-    different devices (at most one per device), so lines need no order.
-
-    The file list is bounded by ``maxFilesPerTrigger``; it is joined back as a
-    broadcast of that proven-small table.
-    """
-    with_file = batch.withColumn("_file", F.input_file_name())
-    files = sorted(r[0] for r in with_file.select("_file").distinct().collect())
-    if len(files) >= 1 << FILE_BITS:
-        raise ValueError("more files in one trigger than a batch number holds")
-    ranks = spark.createDataFrame([(f, (int(epoch) << FILE_BITS) | i) for i, f in enumerate(files)],
-                                  "_file string, _batch long")
-    return with_file.join(F.broadcast(ranks), on="_file", how="inner")
+def first_number(spark: SparkSession, log_path: str, batch_id: int) -> int:
+    """How many readings the micro-batches before ``batch_id`` took, read from the
+    row of the last of them, so a replay gets the same numbers."""
+    path = numbers_path(log_path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return 0
+    last = (spark.read.schema("first_id long, n long, batch_id long").parquet(path)
+            .where(F.col("batch_id") < int(batch_id)).agg(F.max_by(F.col("first_id") + F.col("n"), "batch_id"))).first()[0]
+    return last or 0
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, log_path: str,
                   out_path: str | None, raw_path: str | None, delta_mode: str,
                   buckets: int, rejected_path: str | None = None) -> None:
-    """Body of ``foreachBatch``: S1 -> S2/S3 -> R2 for one micro-batch."""
+    """Body of ``foreachBatch``: S1 -> S3 -> S2, R2 for one micro-batch.  Raw rows
+    and touched buckets come from the log partitions just written."""
+    batch_id = int(batch_id)
     if rejected_path:
         append_rejected(batch, batch_id, rejected_path)
-    ordered = order_files(spark, batch, batch_id)
-    readings = parse_batches(ordered, F.col("_batch")).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+    first = first_number(spark, log_path, batch_id)
+    append_log(parse_batches(batch, batch_id, first), log_path, buckets)
+    taken = load_log(spark, log_path).where(F.col("batch_id") == batch_id)
+    # Bounded driver read: at most ``buckets`` rows of two numbers.
+    per_bucket = taken.groupBy("bucket").count().collect()
+    (spark.createDataFrame([(first, sum(r["count"] for r in per_bucket), batch_id)], "first_id long, n long, batch_id long")
+     .coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(numbers_path(log_path)))
     if raw_path:
-        append_raw(readings, raw_path)
-    append_log(readings, log_path, buckets)
+        append_raw(taken, raw_path)
     if out_path:
-        # Bounded driver read: at most ``buckets`` small integers.
-        touched = [r[0] for r in readings.select(series_bucket(buckets).alias("b")).distinct().collect()]
-        refresh(spark, log_path, out_path, touched, delta_mode, buckets)
+        refresh(spark, log_path, out_path, [r["bucket"] for r in per_bucket], delta_mode, buckets)
 
 
 def ingest_stream(spark: SparkSession, in_path: str, log_path: str, checkpoint: str,
@@ -94,10 +97,9 @@ def ingest_stream(spark: SparkSession, in_path: str, log_path: str, checkpoint:
     ``rejected_path``; readings that cannot be placed stay in the log
     (``invalid_readings`` of it gives them).
     """
-    src = (spark.readStream.schema(BATCH)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-           .option("maxFilesPerTrigger", max_files)
-           .json(in_path).select("*", F.col("_metadata.file_modification_time").alias("_arrived")))
+    src = with_origin(spark.readStream.schema(BATCH)
+                      .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+                      .option("maxFilesPerTrigger", max_files).json(in_path))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         process_batch(spark, batch, batch_id, log_path, out_path, raw_path, delta_mode, buckets, rejected_path)
@@ -107,20 +109,22 @@ def ingest_stream(spark: SparkSession, in_path: str, log_path: str, checkpoint:
     return w.start()
 
 
-def events_as_batches(events: DataFrame) -> DataFrame:
-    """Shape derived readings as nested request bodies: one batch per device and
-    arrival block, readings in arrival order (used to feed R1 from the driver's
-    tables)."""
+def events_as_batches(events: DataFrame, block_size: int = 1000, body_size: int = 3) -> DataFrame:
+    """Shape derived readings as nested request bodies: per device and arrival block
+    bodies (numbered ``part``) of up to ``body_size`` readings in arrival order (used
+    to feed S1 and R1 from the driver's tables)."""
     r = events
-    block = F.floor(F.col("arrival_seq") / F.lit(1000))
+    block = F.floor(F.col("arrival_seq") / F.lit(block_size))
     return (r.groupBy(block.alias("block"), "building_name", "device_external_id")
             .agg(F.sort_array(F.collect_list(F.struct(
                 F.col("arrival_seq"), F.col("reading_id"),
                 F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
                 F.col("metric"), F.col("value"), F.col("unit")))).alias("rs"))
-            .select("block",
+            .withColumn("part", F.explode(F.expr(f"sequence(0, (size(rs) - 1) div {int(body_size)})")))
+            .select("block", "part",
                     F.struct(F.col("building_name").alias("name")).alias("building"),
                     F.struct(F.col("device_external_id").alias("external_id"),
                              F.lit(None).cast("string").alias("name")).alias("device"),
-                    F.expr("transform(rs, x -> named_struct('timestamp', x.timestamp, 'metric', x.metric, "
+                    F.expr(f"transform(slice(rs, cast(part * {int(body_size)} + 1 as int), {int(body_size)}), "
+                           "x -> named_struct('timestamp', x.timestamp, 'metric', x.metric, "
                            "'value', x.value, 'unit', x.unit))").alias("readings")))
