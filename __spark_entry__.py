@@ -10,20 +10,24 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions.display import quality_label
-from wattline.functions.keys import dedupe_key
+from wattline.functions.display import display, quality_label
+from wattline.functions.filters import aggregate_filter
+from wattline.functions.keys import KEY_NAMESPACE, dedupe_key
+from wattline.functions.text import (ENERGY_METRIC, canonical_metric, canonical_unit, canonical_value, is_bad_flag,
+                                     is_normal_flag, payload_json)
 from wattline.functions.time import calendar_range, date_time_label, iso_utc, time_label
 from wattline.operators.asof import asof_backward, asof_forward, existing
 from wattline.operators.dims import resolve_dimension
-from wattline.operators.measure import derive_measurements, normalize
+from wattline.operators.measure import derive_measurements, normalize, placeable
 from wattline.operators.pivot import overlay_bad, pivot_labels
 from wattline.operators.rolling import rolling
 from wattline.plans import charts, queries as q
-from wattline.plans.oracle import bucket as sql_bucket, iso as sql_iso, uuid5_sql, with_m
+from wattline.plans.oracle import ENERGY as SQL_ENERGY, bucket as sql_bucket, iso as sql_iso, uuid5_sql, with_m
 from wattline.session import ensure_checkpoint_dir, materialize
 from wattline.sources.batches import load_log, load_measurements, read_batches, read_bodies, rejected_bodies, write_batches
 from wattline.sources.tables import readings_from_events, table
@@ -32,13 +36,15 @@ from wattline.streaming.ingest import events_as_batches, ingest_stream
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Query parameters: one building and one device that exist at every scale.
-_NS = uuid.UUID("2f5d9c5d-6b32-4b6d-97aa-5f7c516f9833")
+_NS = uuid.UUID(KEY_NAMESPACE)
 BUILDING_NAME = "Building 1"
 DEVICE_EXT = "meter-7"
 BUILDING = str(uuid.uuid5(_NS, "building:" + BUILDING_NAME.lower()))
 DEVICE = str(uuid.uuid5(_NS, "device:" + DEVICE_EXT.lower()))
 LABELS = [f"Building {i}" for i in range(5)]
 ROLL_MIN = 180
+METRICS = ["energy", " Energy_Total ", "ENERGY_KWH_TOTAL", "Temperature "]
+UNITS = ["kWh", " WH", "wh", "MJ", " C "]
 FLAGS = ["is_normal", "is_reset", "is_duplicate", "is_late", "is_bad"]
 
 
@@ -49,6 +55,12 @@ def _r(c) -> F.Column:
     return F.round(c + F.signum(c) * F.lit(1e-9), 6)
 
 
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised readings with keys, for reads that need no flag of the history."""
+    n = normalize(readings_from_events(spark, sf))
+    return n.where(placeable(n))
+
+
 def _m(spark: SparkSession, sf: str, mode: str = "event_time") -> DataFrame:
     return derive_measurements(readings_from_events(spark, sf), mode)
 
@@ -119,11 +131,11 @@ def _a8(spark, sf):
 
 
 def _a9(spark, sf):
-    return q.buildings(_m(spark, sf))
+    return q.buildings(_placed(spark, sf))
 
 
 def _a10(spark, sf):
-    return q.devices(_m(spark, sf), BUILDING)
+    return q.devices(_placed(spark, sf), BUILDING)
 
 
 def _wide_out(df, labels, bad=False):
@@ -238,21 +250,94 @@ def _h4(spark, sf):
 
 
 def _j1(spark, sf):
-    m = _m(spark, sf)
-    slots = m.where(~F.col("is_bad") & ~F.col("is_duplicate"))
-    n = normalize(readings_from_events(spark, sf))
-    return existing(n, slots).select("reading_id")
+    """The readings that came late against everything stored before, of any quality."""
+    n = _placed(spark, sf)
+    came_late = F.col("arrival_seq") > F.col("reading_id")
+    return existing(n.where(came_late), n.where(~came_late)).select("reading_id")
 
 
-def _asof(fn):
+def _asof(fn, log):
     def run(spark, sf):
-        # Probes are the normalised readings themselves (same keys as the
-        # measurement rows) so the derivation is planned once.
         probes = normalize(readings_from_events(spark, sf)).select("reading_id", "device_id", "metric", "ts")
-        return fn(probes, _m(spark, sf)).select("reading_id", "match_id", _r("match_value").alias("match_value"))
+        return fn(probes, log(spark, sf)).select("reading_id", "match_id", _r("match_value").alias("match_value"))
     return run
 
 
+def _with_legacy(m: DataFrame) -> DataFrame:
+    """Measurements in which every third bad reading still has the metric name of old rows."""
+    old = F.col("is_bad") & (F.col("reading_id") % 3 == 0)
+    return m.withColumn("metric", F.when(old, F.lit("energy")).otherwise(F.col("metric")))
+
+
+def _f4(spark, sf):
+    return _row_out(q.series(_with_legacy(_m(spark, sf)), DEVICE, exclude_bad=False))
+
+
+def _f5(spark, sf):
+    return _agg_out(q.bad_points(_with_legacy(_m(spark, sf)), minutes=1440))
+
+
+def _f5b(spark, sf):
+    m = _with_legacy(_m(spark, sf))
+    return m.where(aggregate_filter(ENERGY_METRIC, exclude_bad=False, legacy_bad=True)).select("reading_id", "metric", "is_bad")
+
+
+def _a7(spark, sf):
+    """Rows that every scope gives; a device total ignores the building."""
+    m = _m(spark, sf)
+    scopes = {"aggregate all": q.aggregated(m), "aggregate building": q.aggregated(m, BUILDING),
+              "aggregate device": q.aggregated(m, BUILDING, DEVICE), "bad all": q.bad_points(m),
+              "bad building": q.bad_points(m, BUILDING)}
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("scope"), F.col("n").cast("double").alias("result"))
+              for k, df in scopes.items()]
+    totals = [q.sum_deltas(m, b, d).select(F.lit(f"total {k}").alias("scope"), _r("sum_delta").alias("result"))
+              for k, (b, d) in {"all wins": (q.ALL, DEVICE), "device": ("no building", DEVICE)}.items()]
+    return reduce(DataFrame.unionByName, counts + totals)
+
+
+def _c15(spark, sf):
+    m = _m(spark, sf)
+    return m.select("reading_id", display("value").alias("value"), display("delta").alias("delta"))
+
+
+def _c16(spark, sf):
+    ev = table(spark, sf, "events")
+    payload = F.when(F.col("event_type") != "error", F.struct("event_id", "event_type"))
+    r = ev.select("event_id", payload.alias("payload"), "props")
+    return r.select("event_id", payload_json(F.col("payload"), r.schema["payload"].dataType).alias("payload"),
+                    payload_json(F.col("props"), r.schema["props"].dataType).alias("props"))
+
+
+def _c2(spark, sf):
+    """Every event with a metric and unit spelling by its number: aliases, padding, other metrics."""
+    ev = table(spark, sf, "events")
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
+    r = ev.select("event_id", "value", pick(METRICS, F.col("event_id")).alias("metric"),
+                  pick(UNITS, F.floor(F.col("event_id") / len(METRICS))).alias("unit"),
+                  F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("k"), "event_id")).otherwise("").alias("given"))
+    return r.select("event_id", canonical_metric("metric").alias("metric"), canonical_unit("metric", "unit").alias("unit"),
+                    _r(canonical_value("metric", "unit", "value")).alias("value"),
+                    is_normal_flag("metric", "unit").alias("is_normal"), is_bad_flag("metric", "unit").alias("is_bad"),
+                    dedupe_key("given", "event_id", "metric", "unit", F.lit("x")).alias("dedupe"))
+
+
+def _p3(spark, sf):
+    """Labels of devices without external id or name, at every reading."""
+    m = _m(spark, sf)
+    ext = F.when(F.col("reading_id") % 3 == 0, F.col("device_external_id"))
+    name = F.when(F.col("reading_id") % 3 == 1, F.concat(F.lit("name "), "device_external_id"))
+    return (m.withColumn("device_name", name).withColumn("device_external_id", ext)
+            .select("reading_id", q.label_expr().alias("label")))
+
+
+def _j5_devices(spark, sf):
+    known = _placed(spark, sf).select(F.col("device_id").alias("id"), F.col("device_external_id").alias("external_id"),
+                                      F.col("device_name").alias("name")).distinct()
+    incoming = table(spark, sf, "customer").select(F.concat(F.lit(" METER-"), "c_custkey").alias("external_id"),
+                                                   F.col("c_name").alias("name"))
+    return resolve_dimension(known, incoming, "device").select("id", "external_id", "name", "is_new")
+
+
 def _j4(spark, sf):
     m = _m(spark, sf)
     wide = pivot_labels(q.aggregated(m), LABELS, "value", order=["building_id"])
@@ -261,8 +346,7 @@ def _j4(spark, sf):
 
 
 def _j5(spark, sf):
-    m = _m(spark, sf)
-    known = q.buildings(m)
+    known = q.buildings(_placed(spark, sf))
     incoming = (readings_from_events(spark, sf).select(F.upper("building_name").alias("name"))
                 .unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("name"))))
     return resolve_dimension(known, incoming, "building").select("id", "name", "is_new")
@@ -390,10 +474,19 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "h3_all_buildings_chart": _h3,
         "h4_series_per_building": _h4,
         "j1_existing": _j1,
-        "j2_asof_backward": _asof(asof_backward),
-        "j3_asof_forward": _asof(asof_forward),
+        "j2_asof_backward": _asof(asof_backward, _placed),
+        "j3_asof_forward": _asof(asof_forward, _m),
         "j4_overlay": _j4,
         "j5_resolve_buildings": _j5,
+        "f4_legacy_in_series": _f4,
+        "f5_legacy_in_overlay": _f5,
+        "f5b_legacy_in_aggregate": _f5b,
+        "a7_scopes": _a7,
+        "c2_spellings": _c2,
+        "c15_display": _c15,
+        "c16_payload_text": _c16,
+        "p3_labels": _p3,
+        "j5_resolve_devices": _j5_devices,
         "f6_device_series_range": _f6,
         "a1_bucketed_range_30min": _a1_range,
         "a4_total_range": _a4_range,
@@ -488,6 +581,8 @@ def _oracle_sql() -> dict[str, str]:
     rng = (f"ts >= TIMESTAMP '{RANGE_START:%Y-%m-%d %H:%M:%S.%f}' "
            f"AND ts <= TIMESTAMP '{RANGE_END:%Y-%m-%d %H:%M:%S.%f}'")
     label = "coalesce(device_external_id, device_name, device_id)"
+    legacy = ("lm AS (SELECT * REPLACE (CASE WHEN is_bad AND reading_id % 3 = 0 THEN 'energy' ELSE metric END AS metric) "
+              "FROM m)")
     a1 = _sql_a1_raw()
     a3 = _sql_a3_raw()
     h3_roll = _sql_rolling("a1", "avg(value)", "label", ROLL_MIN)
@@ -589,8 +684,8 @@ def _oracle_sql() -> dict[str, str]:
             f", {a1} SELECT label AS building, {sql_iso('ts')} AS ts, strftime(ts, '%H:%M:%S') AS tsLabel, "
             "round(coalesce(delta, 0), 6) AS delta FROM a1"),
         "j1_existing": with_m(
-            "SELECT reading_id FROM c WHERE EXISTS (SELECT 1 FROM m WHERE m.device_id = c.device_id "
-            "AND m.metric = c.metric AND m.ts = c.ts AND NOT m.is_bad AND NOT m.is_duplicate)"),
+            "SELECT reading_id FROM c WHERE arrival_seq > reading_id AND EXISTS (SELECT 1 FROM c s WHERE "
+            "s.arrival_seq = s.reading_id AND s.device_id = c.device_id AND s.metric = c.metric AND s.ts = c.ts)"),
         "j2_asof_backward": with_m(
             "SELECT p.reading_id, h.reading_id AS match_id, round(h.value, 6) AS match_value FROM m p "
             "LEFT JOIN LATERAL (SELECT reading_id, value FROM m g WHERE g.device_id = p.device_id "
@@ -606,6 +701,46 @@ def _oracle_sql() -> dict[str, str]:
             f"b AS (SELECT ts, {_sql_pivot('a3', 'bad_', True)} FROM a3 GROUP BY ts) "
             f"SELECT {sql_iso('w.ts')} AS ts, {_sql_round_labels()}, {_sql_round_labels('bad_')} "
             "FROM w LEFT JOIN b ON w.ts = b.ts"),
+        "f4_legacy_in_series": with_m(
+            f", {legacy} SELECT {row_cols} FROM lm WHERE device_id = '{DEVICE}' AND NOT is_duplicate "
+            "AND (metric = 'energy_kwh_total' OR metric = 'energy' AND is_bad)"),
+        "f5_legacy_in_overlay": with_m(
+            f", {legacy} SELECT {sql_iso('b')} AS ts, building_name AS label, round(avg(value), 6) AS value, "
+            f"round(sum(coalesce(delta, 0)), 6) AS delta FROM (SELECT *, {sql_bucket('ts', 1440)} AS b FROM lm "
+            "WHERE is_bad AND NOT is_duplicate AND metric IN ('energy', 'energy_kwh_total')) "
+            "GROUP BY b, building_id, building_name"),
+        "f5b_legacy_in_aggregate": with_m(
+            f", {legacy} SELECT reading_id, metric, is_bad FROM lm WHERE NOT is_duplicate "
+            "AND (metric = 'energy_kwh_total' OR metric = 'energy' AND is_bad)"),
+        "a7_scopes": with_m(
+            f", {a1}, {a3} SELECT 'aggregate all' AS scope, CAST(count(*) AS DOUBLE) AS result FROM a1 UNION ALL "
+            f"SELECT 'aggregate building', count(DISTINCT ts) FROM a1 WHERE building_id = '{BUILDING}' UNION ALL "
+            "SELECT 'aggregate device', 0 UNION ALL SELECT 'bad all', count(*) FROM a3 UNION ALL SELECT 'bad building', 0 "
+            f"UNION ALL SELECT 'total all wins', round(coalesce(sum(delta), 0), 6) FROM m WHERE {GOOD} UNION ALL "
+            f"SELECT 'total device', round(coalesce(sum(delta), 0), 6) FROM m WHERE {GOOD} AND device_id = '{DEVICE}'"),
+        "c2_spellings": (
+            "WITH s AS (SELECT event_id, value, lower(trim(mt)) AS mk, lower(trim(ut)) AS uk, mt, ut FROM (SELECT *, "
+            f"({METRICS})[event_id % {len(METRICS)} + 1] AS mt, ({UNITS})[event_id // {len(METRICS)} % {len(UNITS)} + 1] AS ut "
+            f"FROM events)), e AS (SELECT *, mk IN {SQL_ENERGY} AS en FROM s) "
+            "SELECT event_id, CASE WHEN en THEN 'energy_kwh_total' ELSE mk END AS metric, "
+            "CASE WHEN en AND uk IN ('kwh', 'wh') THEN 'kWh' WHEN en THEN ut ELSE uk END AS unit, "
+            "round(CASE WHEN en AND uk = 'wh' THEN value / 1000.0 ELSE value END, 6) AS value, en AND uk = 'wh' AS is_normal, "
+            "en AND uk NOT IN ('kwh', 'wh') AS is_bad, CASE WHEN event_id % 2 = 0 THEN 'k' || event_id "
+            "ELSE sha256(concat_ws('|', event_id, mt, ut, 'x')) END AS dedupe FROM e"),
+        "c15_display": with_m(
+            "SELECT reading_id, format('{:,.3f}', value) AS value, format('{:,.3f}', delta) AS delta FROM m"),
+        "c16_payload_text": (
+            "SELECT event_id, CASE WHEN event_type <> 'error' THEN '{\"event_id\":' || event_id || ',\"event_type\":\"' "
+            "|| event_type || '\"}' END AS payload, props FROM events"),
+        "p3_labels": with_m(
+            "SELECT reading_id, CASE reading_id % 3 WHEN 0 THEN device_external_id "
+            "WHEN 1 THEN 'name ' || device_external_id ELSE device_id END AS label FROM m"),
+        "j5_resolve_devices": with_m(
+            ", kn AS (SELECT DISTINCT device_id AS id, device_external_id AS external_id, device_name AS name FROM c), "
+            "nw AS (SELECT ' METER-' || c_custkey AS external_id, c_name AS name FROM customer "
+            "WHERE 'meter-' || c_custkey NOT IN (SELECT external_id FROM kn)) "
+            "SELECT id, external_id, name, false AS is_new FROM kn UNION ALL SELECT "
+            + uuid5_sql("'device:' || lower(trim(external_id))") + " AS id, external_id, name, true AS is_new FROM nw"),
         "f6_device_series_range": with_m(
             f"SELECT {row_cols} FROM m WHERE {series_where} AND NOT is_bad AND {rng}"),
         "a1_bucketed_range_30min": with_m(

@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from .scan import Scan, sliced_scan
 
-SALTS = 32
-
 
 def series_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 slice_bits: int, extra: Sequence[Scan] = ()) -> DataFrame:
@@ -52,23 +50,6 @@ def dominance_lookup(df: DataFrame, keys: Sequence[str], slice_seconds: int,
                    F.unix_micros("ts").alias("tmic"),
                    candidate.alias("_is_c"), query.alias("_is_q"), payload.alias("_pl"))
          .withColumn("_H", F.length(F.bin(F.greatest(F.col("y_total") - 1, F.lit(1))))))
-    # Only candidates that can answer some query are exploded: same series,
-    # earlier ts and earlier arrival than the series' latest query.  With late
-    # readings rare, this makes the lookup's cost follow the queries, not the
-    # log.  One row per series with queries; AQE broadcasts it when small.
-    # The bound is joined on (key, salt): each series' row is exploded into
-    # SALTS copies and candidates take ``y % SALTS``, so a hot series'
-    # candidates spread over SALTS partitions instead of one.
-    reach = (d.where("_is_q").groupBy(*keys)
-             .agg(F.max("tmic").alias("_qt"), F.max("y").alias("_qy"))
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    cands = (d.where("_is_c").withColumn("_salt", F.pmod(F.col("y"), F.lit(SALTS)))
-             .join(reach, on=keys + ["_salt"], how="inner")
-             .where((F.col("tmic") < F.col("_qt")) & (F.col("y") < F.col("_qy")))
-             .select(*keys, "y", "tmic",
-                     F.explode(F.expr("filter(sequence(0, _H - 1), l -> shiftright(y, l) & 1 = 0)")).alias("L"),
-                     F.struct("tmic", "y", F.col("_pl").alias("payload")).alias("_contrib"),
-                     F.lit(False).alias("_q")))
     queries = (d.where("_is_q")
                .select(*keys, "y", "tmic",
                        F.explode(F.expr("filter(sequence(0, _H - 1), l -> shiftright(y, l) & 1 = 1)")).alias("L"))
@@ -76,12 +57,21 @@ def dominance_lookup(df: DataFrame, keys: Sequence[str], slice_seconds: int,
     # A query's answer at a level depends only on (key, level, block, ts), so
     # copies at one timestamp -- a hot group -- are asked once: distinct probes
     # (partial+final aggregate, combined map side), answers joined back.
-    probes = (queries.select(*keys, "L", "blk", "tmic").distinct()
-              .select(*keys, "L", "blk", "tmic",
-                      F.lit(None).cast("long").alias("y"),
-                      F.lit(None).cast(cands.schema["_contrib"].dataType).alias("_contrib"),
-                      F.lit(True).alias("_q")))
-    u = (cands.withColumn("blk", F.expr("shiftright(y, L + 1)")).unionByName(probes)
+    probes = queries.select(*keys, "L", "blk", "tmic").distinct()
+    # A candidate is needed only in the blocks that some query asks, so the
+    # (level, block) pairs of a candidate are cut down to those before the scan:
+    # a semi-join against the distinct blocks, which AQE broadcasts while they
+    # are small and splits for a hot block otherwise.  A late reading near the end
+    # of a series so takes every earlier candidate once, not once per level.
+    asked = probes.select(*keys, "L", "blk").distinct()
+    cands = (d.where("_is_c")
+             .select(*keys, "y", "tmic",
+                     F.explode(F.expr("filter(sequence(0, _H - 1), l -> shiftright(y, l) & 1 = 0)")).alias("L"),
+                     F.struct("tmic", "y", F.col("_pl").alias("payload")).alias("_contrib"),
+                     F.lit(False).alias("_q"))
+             .withColumn("blk", F.expr("shiftright(y, L + 1)"))
+             .join(asked, on=keys + ["L", "blk"], how="left_semi"))
+    u = (cands.unionByName(probes.withColumn("_q", F.lit(True)), allowMissingColumns=True)
          .withColumn("_tslice", F.floor(F.col("tmic") / F.lit(slice_seconds * 1_000_000))))
     scanned = sliced_scan(u, keys + ["L", "blk"], "tmic", "_tslice",
                           [Scan("_ans", F.col("_contrib"), "max", "before")])

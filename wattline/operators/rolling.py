@@ -58,8 +58,10 @@ def rolling(df: DataFrame, mode: str, minutes=DEFAULT_MINUTES, by: Sequence[str]
 
     part = by + ["_slice"]
     frame = Window.partitionBy(*part).orderBy("_t").rangeBetween(-width, 0)
-    peers = (Window.partitionBy(*part, "_t").orderBy(*order, "_off")
-             .rowsBetween(1, Window.unboundedFollowing)) if order else None
+    # Later peers as a prefix of the descending order: a growing frame, which
+    # Spark evaluates in one pass (``unboundedFollowing`` is summed anew per row).
+    peers = (Window.partitionBy(*part, "_t").orderBy(*[F.col(c).desc() for c in (*order, "_off")])
+             .rowsBetween(Window.unboundedPreceding, -1)) if order else None
     t = t.withColumn("_sum", F.sum("_b").over(frame)).withColumn("_cnt", F.sum(cnt).over(frame))
     if peers is not None:
         t = (t.withColumn("_psum", F.sum("_b").over(peers))

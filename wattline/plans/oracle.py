@@ -7,6 +7,7 @@ arrival that ...").  It is only a checker for small scale factors.
 
 from __future__ import annotations
 
+# Fixed values that must equal the reference's: energy spellings, key namespace.
 ENERGY = "('energy','energy_total','energy_kwh_total')"
 NS_HEX = "2f5d9c5d6b324b6d97aa5f7c516f9833"
 
