@@ -29,7 +29,8 @@ from wattline.operators.rolling import rolling
 from wattline.plans import charts, queries as q
 from wattline.plans.oracle import ENERGY as SQL_ENERGY, bucket as sql_bucket, iso as sql_iso, uuid5_sql, with_m
 from wattline.session import ensure_checkpoint_dir, materialize
-from wattline.sources.batches import load_log, load_measurements, read_batches, read_bodies, rejected_bodies, write_batches
+from wattline.sources.batches import (load_log, load_measurements, read_batches, read_bodies, rejected_bodies,
+                                      write_batches, write_measurements)
 from wattline.sources.tables import readings_from_events, table
 from wattline.streaming.ingest import events_as_batches, ingest_stream
 
@@ -405,6 +406,14 @@ def _r1(spark, sf):
     return _reading_rows(load_measurements(spark, f"{_ingested(spark, sf)}/measurements"))
 
 
+def _s4(spark, sf):
+    """One device and range of the stored table (bucket and months pruned)."""
+    path = _scratch(spark, "measurements")
+    write_measurements(_m(spark, sf), path)
+    stored = load_measurements(spark, path, DEVICE, start=RANGE_START, end=RANGE_END)
+    return _row_out(q.series(stored, DEVICE, start=RANGE_START, end=RANGE_END))
+
+
 def _s2(spark, sf):
     """Raw rows of the stream with the logged reading each belongs to."""
     root = _ingested(spark, sf, measure=False)
@@ -446,6 +455,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s1_read_batches": _s1,
         "s1_quarantine": _s1_quarantine,
         "s2_raw_events": _s2,
+        "s4_device_range": _s4,
         "r1_ingest_stream": _r1,
         "w12_measurements": _w12,
         "w7_arrival_measurements": _w7,
@@ -581,6 +591,7 @@ def _oracle_sql() -> dict[str, str]:
     rng = (f"ts >= TIMESTAMP '{RANGE_START:%Y-%m-%d %H:%M:%S.%f}' "
            f"AND ts <= TIMESTAMP '{RANGE_END:%Y-%m-%d %H:%M:%S.%f}'")
     label = "coalesce(device_external_id, device_name, device_id)"
+    device_range = f"SELECT {row_cols} FROM m WHERE {series_where} AND NOT is_bad AND {rng}"
     legacy = ("lm AS (SELECT * REPLACE (CASE WHEN is_bad AND reading_id % 3 = 0 THEN 'energy' ELSE metric END AS metric) "
               "FROM m)")
     a1 = _sql_a1_raw()
@@ -741,8 +752,8 @@ def _oracle_sql() -> dict[str, str]:
             "WHERE 'meter-' || c_custkey NOT IN (SELECT external_id FROM kn)) "
             "SELECT id, external_id, name, false AS is_new FROM kn UNION ALL SELECT "
             + uuid5_sql("'device:' || lower(trim(external_id))") + " AS id, external_id, name, true AS is_new FROM nw"),
-        "f6_device_series_range": with_m(
-            f"SELECT {row_cols} FROM m WHERE {series_where} AND NOT is_bad AND {rng}"),
+        "f6_device_series_range": with_m(device_range),
+        "s4_device_range": with_m(device_range),
         "a1_bucketed_range_30min": with_m(
             f"SELECT {sql_iso('b')} AS ts, building_name AS label, round(avg(value), 6) AS value, "
             f"round(sum(coalesce(delta, 0)), 6) AS delta FROM (SELECT *, {sql_bucket('ts', 30)} AS b FROM m "

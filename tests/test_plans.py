@@ -4,6 +4,7 @@ over per-slice summaries, which are ordered by a slice column."""
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 
@@ -35,3 +36,39 @@ def test_time_groups_use_hash_aggregation(spark):
     plan = E.queries()["w12_measurements"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     agg = [line for line in plan.splitlines() if "min_by(value" in line]
     assert agg and all("HashAggregate" in line for line in agg)
+
+
+def test_stored_device_read_is_pruned(spark):
+    import glob
+    import tempfile
+
+    from wattline.sources.batches import load_measurements, write_measurements
+    path = tempfile.mkdtemp(prefix="wl-stored-")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    write_measurements(E._m(spark, SF), path, buckets=8)
+    df = load_measurements(spark, path, E.DEVICE, start=E.RANGE_START, end=E.RANGE_END, buckets=8)
+    plan = _plan(df)
+    scan = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
+    assert "bucket" in scan and "event_month" in scan
+    pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+    assert "device_id" in pushed and "ts" in pushed
+    assert len(df.inputFiles()) > 0
+    read = {r[0] for r in df.select("*").withColumn("f", F.input_file_name()).select("f").distinct().collect()}
+    assert 0 < len(read) <= 2 < len(glob.glob(f"{path}/bucket=*/event_month=*/*.parquet"))
+
+
+def test_chart_and_listing_shuffles(spark):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert _shuffles(E.queries()["h3_all_buildings_chart"](spark, SF)) <= 12
+    assert _shuffles(E.queries()["a9_buildings"](spark, SF)) <= 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def _shuffles(df):
+    """Shuffles of the plan that ran (reused ones count once)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum(line.lstrip(" :+-").startswith("Exchange ") for line in plan.splitlines())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,18 +57,10 @@ def date_time_label(c) -> Column:
     return F.date_format(_c(c), DATE_TIME)
 
 
-def _hhmm(text: str | None, default: str) -> tuple[int, int]:
-    t = (text or default).strip()
-    parts = t.split(":")
-
-    def num(s: str) -> int:
-        try:
-            return int(s)
-        except ValueError:
-            return 0
-    hh = num(parts[0]) if parts else 0
-    mm = num(parts[1]) if len(parts) > 1 else 0
-    return hh, mm
+def _clock(text: str) -> _dt.timedelta:
+    """``hh:mm`` as time since midnight; a part that is missing or no number counts as 0."""
+    hours, minutes = re.fullmatch(r"\s*(\d*)[^:]*:?\s*(\d*).*", text, re.DOTALL).groups()
+    return _dt.timedelta(hours=int(hours or 0), minutes=int(minutes or 0))
 
 
 def calendar_range(date_start: str | None, date_end: str | None,
@@ -81,14 +74,11 @@ def calendar_range(date_start: str | None, date_end: str | None,
     from zoneinfo import ZoneInfo
     zone = ZoneInfo(tz)
 
-    def build(d: str | None, t: str | None, default: str, end: bool):
-        if not d:
+    def instant(date: str | None, clock: str, extra: _dt.timedelta) -> _dt.datetime | None:
+        if not date:
             return None
-        hh, mm = _hhmm(t, default)
-        base = _dt.datetime.fromisoformat(d[:10])
-        local = base.replace(tzinfo=zone) + _dt.timedelta(hours=hh, minutes=mm)
-        if end:
-            local = local + _dt.timedelta(seconds=59, milliseconds=999)
-        return local.astimezone(_dt.timezone.utc).replace(tzinfo=None)
-
-    return build(date_start, time_start, "00:00", False), build(date_end, time_end, "23:59", True)
+        midnight = _dt.datetime.combine(_dt.date.fromisoformat(date[:10]), _dt.time(), zone)
+        return (midnight + _clock(clock) + extra).astimezone(_dt.timezone.utc).replace(tzinfo=None)
+
+    last = _dt.timedelta(seconds=59, milliseconds=999)
+    return instant(date_start, time_start or "00:00", _dt.timedelta()), instant(date_end, time_end or "23:59", last)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import parse_exclude_bad
 from ..functions.text import ENERGY_METRIC
-from ..functions.time import time_label
-from ..operators.pivot import empty_overlay, long_table, overlay_bad, pivot_labels
+from ..functions.time import bucket, time_label
+from ..operators.pivot import BAD_PREFIX, empty_overlay, long_table, pivot_labels
 from ..operators.rolling import DEFAULT_MINUTES, mode_value, rolling, split_points
 from . import queries as q
 
@@ -55,6 +55,8 @@ def all_buildings_chart(m: DataFrame, metric: str = ENERGY_METRIC, start=None, e
                         labels: Sequence[str] | None = None) -> DataFrame:
     """H3: buckets per building (A1) -> always the rolling average of the bucket
     average -> pivot -> bad overlay (A3 via J4) when bad points are shown."""
+    if show_bad and labels is not None:
+        return _buildings_with_bad(m, metric, start, end, minutes, rolling_minutes, labels)
     agg = q.aggregated(m, q.ALL, q.ALL, metric, start, end, minutes)
     rolled = rolling(agg, "rolling_avg", rolling_minutes, by=["label"], order=["building_id"])
     if labels is None:
@@ -64,14 +66,30 @@ def all_buildings_chart(m: DataFrame, metric: str = ENERGY_METRIC, start=None, e
         bad = long_table(q.bad_points(m, q.ALL, metric, start, end, minutes).withColumn("value", F.coalesce("value", F.lit(0.0))),
                          "value", order=["building_id", "label"]).withColumnRenamed("value", "bad_value")
         return out.join(bad, ["ts", "label"], "left").orderBy("ts", "label")
-    wide = pivot_labels(rolled, labels, "value", order=["building_id"])
-    wide = wide.withColumn("tsLabel", time_label("ts"))
-    if show_bad:
-        bad = q.bad_points(m, q.ALL, metric, start, end, minutes)
-        return overlay_bad(wide, bad, labels, "value", order=["building_id", "label"])
+    wide = pivot_labels(rolled, labels, "value", order=["building_id"]).withColumn("tsLabel", time_label("ts"))
     return empty_overlay(wide, labels).orderBy("ts")
 
 
+def _buildings_with_bad(m: DataFrame, metric: str, start, end, minutes: int, rolling_minutes,
+                        labels: Sequence[str]) -> DataFrame:
+    """H3 with shown bad points: one aggregate gives the good and the bad average of
+    every (bucket, building), one more lays out the named labels."""
+    good = q.aggregate_filter(metric, start, end, exclude_bad=True)
+    bad = q.bad_filter(metric, start, end)
+    points = (m.where(good | bad)
+              .groupBy(bucket("ts", q.checked_minutes(minutes)).alias("ts"), "building_id", F.col("building_name").alias("label"))
+              .agg(F.avg(F.when(good, F.col("value"))).alias("value"), F.max(good).alias("_good"),
+                   F.avg(F.when(bad, F.col("value"))).alias("_bad_value"), F.max(bad).alias("_bad")))
+    # A bucket without good readings adds nothing to the rolling average.
+    rolled = rolling(points, "rolling_avg", rolling_minutes, by=["label"], order=["building_id"])
+    cells = []
+    for prefix, here, value in (("", "_good", F.col("value")), (BAD_PREFIX, "_bad", F.coalesce("_bad_value", F.lit(0.0)))):
+        cells += [F.max_by(value, F.when(F.col(here) & (F.col("label") == lab), F.col("building_id"))).alias(prefix + lab)
+                  for lab in sorted(labels)]
+    out = rolled.groupBy("ts").agg(F.max("_good").alias("_any_good"), *cells).where("_any_good").drop("_any_good")
+    return out.withColumn("tsLabel", time_label("ts")).orderBy("ts")
+
+
 def series_per_building(m: DataFrame, metric: str = ENERGY_METRIC, start=None, end=None,
                         minutes: int = 60, mode: str = "raw") -> DataFrame:
     """H4: one ts-sorted series per building of value (or delta), null -> 0."""

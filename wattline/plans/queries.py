@@ -18,6 +18,8 @@ from ..functions.text import ENERGY_METRIC
 from ..functions.time import bucket
 from ..schemas import SERIES
 
+# Fixed values that must equal the reference's: scope word, label of a building's
+# total, greatest page, columns of a series row.
 ALL = "all"
 TOTAL_LABEL = "Total"
 RECENT_MAX = 100
@@ -55,6 +57,13 @@ def label_expr() -> Column:
 # Aggregates
 # --------------------------------------------------------------------------
 
+def checked_minutes(minutes) -> int:
+    """Width of a time bucket in minutes, 1..1440."""
+    if not 1 <= int(minutes) <= 1440:
+        raise ValueError("minutes must be within 1..1440")
+    return int(minutes)
+
+
 def aggregated(m: DataFrame, building: str = ALL, device: str = ALL,
                metric: str = ENERGY_METRIC, start=None, end=None, minutes: int = 60) -> DataFrame:
     """Bucketed average value and summed delta of good originals.
@@ -63,9 +72,7 @@ def aggregated(m: DataFrame, building: str = ALL, device: str = ALL,
     a building with ``device="all"``: one series labelled ``Total``; anything
     else: empty.  Columns: ts (bucket start), label, value, delta.
     """
-    minutes = int(minutes)
-    if not 1 <= minutes <= 1440:
-        raise ValueError("minutes must be within 1..1440")
+    minutes = checked_minutes(minutes)
     base = m.where(aggregate_filter(metric, start, end, exclude_bad=True))
     b = bucket("ts", minutes).alias("ts")
     if building == ALL:
@@ -86,10 +93,9 @@ def bad_points(m: DataFrame, building: str = ALL, metric: str = ENERGY_METRIC,
                start=None, end=None, minutes: int = 60) -> DataFrame:
     """A3: bucketed bad originals per building (F5, F9, F6); empty unless
     ``building == "all"``.  ``minutes`` 1..1440, as in ``aggregated``."""
-    if not 1 <= int(minutes) <= 1440:
-        raise ValueError("minutes must be 1..1440")
+    minutes = checked_minutes(minutes)
     out = (m.where(bad_filter(metric, start, end))
-           .groupBy(bucket("ts", int(minutes)).alias("ts"), F.col("building_id"),
+           .groupBy(bucket("ts", minutes).alias("ts"), F.col("building_id"),
                     F.col("building_name").alias("label"))
            .agg(F.avg("value").alias("value"), F.sum(F.coalesce("delta", F.lit(0.0))).alias("delta"))
            .orderBy("ts", "building_id", "label")

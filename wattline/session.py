@@ -96,21 +96,3 @@ def drop_materialized(spark) -> bool:
     path = jvm.org.apache.hadoop.fs.Path(materialized_root(spark))
     fs = path.getFileSystem(conf)
     return bool(fs.exists(path) and fs.delete(path, True))
-
-
-def spread_input(df):
-    """Spread an under-split input over the cluster's default parallelism.
-
-    A scan of a few large unsplittable files (one row group, gzip JSON) yields
-    fewer tasks than there are cores, and every per-row expression before the
-    first shuffle then runs in those few tasks.  Only in that case the rows are
-    redistributed round-robin; a normally split input is returned unchanged.
-    Checking the partition count plans the scan but runs no job.
-    """
-    spark = df.sparkSession
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave as is
-        return df
-    return df if have >= want else df.repartition(want)

@@ -5,7 +5,7 @@ Layout (all Parquet, no table format with MERGE needed):
 * ``raw``:  one row per reading (S2), partitioned by ``batch_id``;
 * ``log``:  flat readings with their arrival order (S3), partitioned by
   ``bucket`` (hash of the series key) and ``batch_id``;
-* ``measurements``: derived rows (W12), partitioned by ``bucket``.
+* ``measurements``: derived rows (W12), partitioned by ``bucket`` and month.
 
 Writes go to their own ``batch_id`` (or ``bucket``) partitions with dynamic
 partition overwrite, so replaying a batch rewrites the same files instead of
@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import device_key
-from ..functions.text import canonical_metric
+from ..functions.filters import time_range
+from ..functions.text import ENERGY_METRIC, LEGACY_ENERGY_METRIC, canonical_metric
 from ..functions.time import parse_ts
 from ..schemas import BATCH, LOG
 
 DEFAULT_BUCKETS = 64
+# Stored measurements are cut by month; text, so that its order is that of time.
+MONTH = "yyyyMM'm'"
 
 
 def series_bucket(buckets: int = DEFAULT_BUCKETS):
@@ -168,20 +171,39 @@ def load_log(spark: SparkSession, path: str, buckets_filter=None) -> DataFrame:
     return df
 
 
-def load_measurements(spark: SparkSession, path: str) -> DataFrame:
-    """Scan materialised measurements (filters on ts/device push down)."""
-    return spark.read.parquet(path)
+def measurement_bucket(device, metric, buckets: int = DEFAULT_BUCKETS):
+    """Bucket of a stored series, from columns or from literals (then a constant)."""
+    return F.pmod(F.xxhash64(device, metric), F.lit(buckets))
+
+
+def load_measurements(spark: SparkSession, path: str, device: str | None = None, metric: str = ENERGY_METRIC,
+                      start=None, end=None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Scan stored measurements.  A device (with its metric) opens only its
+    bucket, a time range only its months; inside the files, which are sorted by
+    series and time, device, metric and range skip row groups.  The legacy metric
+    name of old bad rows has its own bucket, which a device read opens as well."""
+    df = spark.read.parquet(path)
+    if device is not None:
+        names = {metric, LEGACY_ENERGY_METRIC} if metric == ENERGY_METRIC else {metric}
+        home = [measurement_bucket(F.lit(device), F.lit(name), buckets) for name in sorted(names)]
+        df = df.where(F.col("bucket").isin(home) & (F.col("device_id") == device) & F.col("metric").isin(sorted(names)))
+    for bound, lower in ((start, True), (end, False)):
+        if bound is not None:
+            month = F.date_format(F.lit(bound).cast("timestamp"), MONTH)
+            df = df.where((F.col("event_month") >= month) if lower else (F.col("event_month") <= month))
+    return df.where(time_range(start, end)).drop("bucket", "event_month")
 
 
 def write_measurements(m: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> None:
-    """(re)write the buckets present in ``m``; other buckets are untouched.
+    """(re)write the buckets present in ``m`` by month; other buckets are untouched.
 
     Range partitioning on (bucket, series, ts) -- sampled boundaries -- splits
     a hot bucket or a hot series over several tasks (a hash repartition by
     bucket would give a bucket holding a third of the rows to one task) and
     leaves files sorted by (device_id, metric, ts) for min/max skipping."""
-    (m.withColumn("bucket", F.pmod(F.xxhash64("device_id", "metric"), F.lit(buckets)))
+    (m.withColumn("bucket", measurement_bucket("device_id", "metric", buckets))
+     .withColumn("event_month", F.date_format("ts", MONTH))
      .repartitionByRange("bucket", "device_id", "metric", "ts")
-     .sortWithinPartitions("bucket", "device_id", "metric", "ts")
+     .sortWithinPartitions("bucket", "event_month", "device_id", "metric", "ts")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(path))
+     .partitionBy("bucket", "event_month").parquet(path))
