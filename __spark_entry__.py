@@ -611,7 +611,9 @@ def _oracle_sql() -> dict[str, str]:
             "CASE WHEN event_id % 2 = 0 THEN 'malformed' ELSE 'no readings' END AS reason "
             "FROM events WHERE event_type = 'error'"),
         "s2_raw_events": with_m(
-            f"SELECT num AS id, block * {TRIGGERS} // ((SELECT max(arrival_seq) // 1000 FROM m) + 1) AS batch_id, "
+            # A part without bodies starts no trigger.
+            f"SELECT num AS id, dense_rank() OVER (ORDER BY block * {TRIGGERS} // ((SELECT max(arrival_seq) // 1000 FROM m) + 1)) "
+            "- 1 AS batch_id, "
             f"device_external_id, {sql_iso('ts')} AS ts, round(value, 6) AS value FROM {numbered}"),
         "r1_ingest_stream": with_m(reading_rows),
         "w12_measurements": with_m(
