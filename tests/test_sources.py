@@ -89,14 +89,15 @@ def test_refresh_rewrites_only_touched_buckets(spark):
     for i, b in enumerate(first):
         append_log(batch_df(i, b), log, buckets=8)
     refresh(spark, log, out, range(8), buckets=8)
-    before = {p: os.path.getmtime(p) for p in glob.glob(os.path.join(out, "bucket=*", "*.parquet"))}
+    before = {p: os.path.getmtime(p) for p in glob.glob(os.path.join(out, "bucket=*", "*", "*.parquet"))}
+    assert before
     last = fx.SAMPLE[5]
     new = batch_df(5, last)
     append_log(new, log, buckets=8)
     from wattline.sources.batches import series_bucket
     touched = [r[0] for r in new.select(series_bucket(8)).distinct().collect()]
     refresh(spark, log, out, touched, buckets=8)
-    after = {p: os.path.getmtime(p) for p in glob.glob(os.path.join(out, "bucket=*", "*.parquet"))}
+    after = {p: os.path.getmtime(p) for p in glob.glob(os.path.join(out, "bucket=*", "*", "*.parquet"))}
     for p, t in before.items():
         if not any(f"bucket={b}/" in p for b in touched):
             assert after.get(p) == t  # untouched bucket files kept as they were
