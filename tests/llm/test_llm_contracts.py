@@ -270,6 +270,39 @@ def test_crf_finds_unlabelled_secrets_and_viterbi_is_best(spark):
     assert value(secrets.viterbi(e, tr)) == pytest.approx(max(value(p) for p in np.ndindex(*[3] * 6)))
 
 
+def test_crf_finds_short_secrets_and_those_of_one_character_class(spark):
+    rng = np.random.default_rng(5)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    word, kinds = lambda: pick("abcdefghij", 6), ("abcXYZ0123456789", "ABCDEFGHIJabcdefghij", "0123456789")
+    docs = [(i, " ".join([*(word() for _ in range(20)), f'{word()} {("password", "token")[i % 4 // 2]}: "{pick(kinds[i % 3], 8 + i % 5)}"' if i % 2
+                          else f"page {pick('0123456789', 3)}: {word()}", *(word() for _ in range(20))])) for i in range(300)]
+    model = secrets.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    for cue in ("password", "passphrase"):
+        for value in ("Xa7b9ZY2c", "FaBcGdHeAj", "7391640285", "Xa7b.9ZY2=c1"):
+            t = f'{word()} {word()} {cue} : "{value}" {word()} {word()}'
+            found = secrets.crf_spans(t, model)
+            at = t.index(value)
+            assert any(s <= at and at + len(value.split(".")[0]) <= e for s, e in found), (t, found)
+    assert secrets.crf_spans(" ".join(word() for _ in range(50)), model) == []
+
+
+def test_best_tags_in_blocks_equal_the_plain_recursion():
+    rng = np.random.default_rng(6)
+    t = np.where(secrets._ALLOWED, rng.normal(size=(3, 3)), secrets._BAD)
+    for n in (1, 2, 63, 64, 65, 200):
+        e = rng.normal(size=(n, 3))
+        assert secrets.best_tags(e, t, 3).tolist() == secrets.best_tags(e, t, 1000).tolist()
+    rows = ["a b c", "", "token d1e2f3a4b5c6d7", "x"]
+    known = secrets.Tokens()
+    model = {"w": rng.normal(size=(secrets.WEIGHTS, 3)).astype(np.float32), "t": t, "name": "test"}
+    toks, files = [secrets._TOKEN.findall(x) for x in rows], [secrets.file_features(x) for x in rows]
+    columns, hashes, numbers = secrets._laid_out(known, toks, files)
+    plain = sum(model["w"][f] for f in secrets.features(columns, hashes))
+    scorer = secrets._Scorer(model)
+    columns, hashes, numbers = secrets._laid_out(scorer.known, toks, files)
+    assert np.allclose(scorer.scores(columns, numbers, hashes), plain - plain[:, :1], atol=1e-4)
+
+
 def test_redaction_keeps_rows_and_columns(docs, rows):
     out = secrets.redact_documents(docs, None)
     assert out.schema == docs.schema
