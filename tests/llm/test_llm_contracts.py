@@ -130,6 +130,16 @@ def test_token_files(spark, docs, rows, empty, tmp_path, encoding):
     assert any("DELTA_BINARY_PACKED" in c.encodings for c in column) == (encoding == "delta")
 
 
+def test_added_tokens_in_another_case_are_encoded_themselves():
+    from tokenizers import Tokenizer
+    tok, enc = Tokenizer.from_file(tokenizer_path()), token_files.Encoder(tokenizer_path())
+    rows = ["<|EndOfText|>", "a <|endoftext|> B", "x<|STARTOFTEXT|>y Word <|startoftext|>", "<|Other|> <|endoftext|>. HELLO"]
+    ids, n = enc.encode(rows)
+    want = [tok.encode(t, add_special_tokens=False).ids + [token_files.END_ID] for t in rows]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert len(want[0]) == 7
+
+
 def _luhn(d):
     d = [int(x) for x in d[::-1]]
     return sum(x if k % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(d)) % 10 == 0

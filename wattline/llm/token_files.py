@@ -38,19 +38,20 @@ _REMEMBERED = 1_000_000   # pieces a worker remembers
 class _Known(dict):
     """Numbers of pieces; a new piece is noted, to be encoded with the batch's others.
 
-    A piece of ASCII letters in another case has the lower-cased piece's ids (the
-    tokenizer lower-cases), and letters followed by one mark have the letters' ids
+    An ASCII piece in another case has the lower-cased piece's ids (the tokenizer
+    lower-cases) unless that holds an added token, which may match raw text only; and letters followed by one mark have the letters' ids
     and the mark's (its splitter parts them), so those need no encoding of their own."""
 
-    def __init__(self):
+    def __init__(self, added: tuple[bytes, ...] = ()):
         super().__init__()
+        self.added = added                              # contents of added tokens, lower-cased
         self.new: list[bytes] = []                      # pieces to encode
         self.joined: list[tuple[int, int, int]] = []    # number, of letters, of mark
         self.numbers: list[int] = []                    # of the pieces to encode
         self.count = 1                                  # 0 is the end of a text
 
     def __missing__(self, p: bytes) -> int:
-        if p.isascii() and (low := p.lower()) != p:
+        if p.isascii() and (low := p.lower()) != p and not any(a in low for a in self.added):
             k = self[p] = self[low]
             return k
         if len(p) > 1 and p[-1] in b".,;:!?|" and (p[:-1].isalpha() or (not p.isascii() and p[:-1].decode().isalpha())):
@@ -73,6 +74,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = tuple(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         sep = self._ids(_SEPARATOR)
         self.separator = sep[0] if len(sep) == 1 else None
         self._reset()
@@ -81,7 +83,7 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _reset(self):
-        self.known = _Known()
+        self.known = _Known(self.added)
         self.size, self.first = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.int32)
         self.ids[0], self.size[0], self.used = END_ID, 1, 1
