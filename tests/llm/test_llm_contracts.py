@@ -366,6 +366,20 @@ def test_minhash_keep_one(spark):
     assert sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 3, 8, 9]
 
 
+def test_filters_judge_each_row_by_its_own_text(spark):
+    long = {k: " ".join(f"{k}{j}" for j in range(50)) for k in "abcdefg"}
+    rows = [(None, long["a"]), (None, long["b"]), (None, long["b"]), (None, None), (None, ""), (7, long["c"]), (7, long["d"]), (7, long["d"]),
+            (8, long["d"]), (9, long["e"]), (9, long["f"] + " x"), (3, long["f"]), (7, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    named = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    out = minhash.keep_one(docs)
+    assert out.columns == docs.columns
+    assert named(out) == sorted([(None, long["a"]), (None, long["b"]), (None, None), (None, ""), (7, long["c"]), (7, long["d"]),
+                                 (9, long["e"]), (3, long["f"]), (7, None)], key=repr)
+    bench = spark.createDataFrame([(1, long["a"]), (2, long["c"])], "item_id long, text string")
+    assert named(decontaminate.keep_uncontaminated(docs, bench)) == sorted([r for r in rows if r[1] not in (long["a"], long["c"])], key=repr)
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 2000).astype(np.uint64)

@@ -65,6 +65,11 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _judged(docs, items, window, percent).drop("th")
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int, percent: int) -> DataFrame:
+    """The columns of ``contamination`` and ``th``, the hash of the row's text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = [F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")]
     windows = stored(item_windows(items, window), "windows")
@@ -126,16 +131,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, perce
     out = beside(beside(sizes, covered), named)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_found = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+    return out.select(F.col("id").alias("doc_id"), "th", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
                       F.size(items_found).cast("long").alias("n_items"),
                       F.sha2(F.array_join(items_found, ","), 256).alias("items_sha256"),
                       ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).alias("contaminated"))
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated (rows without doc_id are judged together)."""
-    bad = contamination(docs, items, window, percent).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    """The rows of ``docs``, all columns, that are not contaminated; each is judged by its own text,
+    also without doc_id or with one that other texts share."""
+    bad = (_judged(docs, items, window, percent).where("contaminated")
+           .select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_text")).distinct())
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_bad_text"))
+    return docs.join(bad, own, "left_anti")
 
 
 ORACLE = r"""

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, broadcast_if_small, record, stored, texts
@@ -277,10 +277,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their group; of rows that
-    repeat a kept doc_id one stays (the smallest text).  Rows without doc_id stay."""
-    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return (named.withColumn("_wl_row", F.row_number().over(order)).where("_wl_row = 1").drop("_wl_row")
-            .unionByName(docs.where("doc_id is null")))
+    """The rows of ``docs``, all columns, that stand for their group: the smallest doc_id
+    (ties: one text of it) and, beside it, one of the rows without doc_id.  Rows are known by doc_id
+    and text, so unlike texts of one doc_id, or without doc_id, are judged apart.  Of exact
+    copies (same doc_id and text) one stays; rows without doc_id and without words all stay."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = stored(near_duplicates(docs.select(key.alias("doc_id"), "text"), size, percent)
+                  .groupBy(F.col("doc_id").alias("_key"))
+                  .agg(F.min("component_id").alias("group"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("_copies")),
+                  "minhash-rows")
+    ids = docs.select(key.alias("_key"), F.col("doc_id").cast("long").alias("id")).distinct()
+    named = rows.join(ids, "_key")
+    first = named.groupBy("group", F.col("id").isNull().alias("lost")).agg(F.min(F.struct("id", "_key")).alias("m"))
+    kept = stored(first.select(F.col("m._key").alias("_key")).distinct().join(rows, "_key").join(
+        ids.where("id is null").select("_key", F.lit(True).alias("lost")), "_key", "left")
+        .select("_key", ((F.col("_copies") > 1) & ~(F.coalesce("lost", F.lit(False)) & (F.col("n_shingles") == 0))).alias("_repeated")),
+        "minhash-kept")
+    keyed = docs.withColumn("_key", key)
+    once = keyed.join(kept.where("not _repeated"), "_key", "left_semi")
+    again = keyed.join(kept.where("_repeated"), "_key", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*docs.columns)
