@@ -7,6 +7,9 @@ is trained by gradient ascent on its exact likelihood, on windows of a bounded
 hash sample of documents (``max_train_docs``) labelled by the base patterns,
 with the pattern's cue words sometimes hidden so that shape alone must do.
 
+What reaches the driver is bounded: at most ``max_windows`` windows of at most
+``WINDOW_TOKENS`` tokens, each as four hashes a token.
+
 Every token of every text is decoded, and any token may begin a secret: length,
 character classes and the mix of digits and letters are features, not conditions.
 Texts are decoded many at a time, one after another with outside tokens between.
@@ -30,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, record, stored, texts, worker_state
+from .common import batches_of, forget, record, slices, stored, texts, worker_state
 
 KINDS = ("assign", "access", "hex", "crf")
 MAX_TRAIN_DOCS = 20_000
 MAX_TRAIN_WINDOWS = 4_000
 CONTEXT = 6               # tokens on each side of a training window's middle
 WEIGHTS = 1 << 14         # hashed feature space
-_REMEMBERED = 500_000     # distinct tokens a worker remembers
-_AT_ONCE = 2_000_000      # characters decoded together (a longer text goes alone)
+WINDOW_TOKENS = 128       # tokens of a training window at most; a longer one is cut into several
+_REMEMBERED = 150_000     # distinct tokens a task remembers
+_AT_ONCE = 300_000        # characters decoded together (a longer text goes alone)
 
 _CUE = re.compile("password|passwd|secret|token|api_?key", re.I | re.A)
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -167,11 +171,15 @@ def windows_of(text: str, base):
     begin = end = None
     for i in sorted(spots):
         if end is not None and i - CONTEXT > end:
-            yield toks[begin:end]
+            yield from _cut(toks[begin:end])
             begin = None
         begin = max(0, i - CONTEXT) if begin is None else begin
         end = i + CONTEXT + 1
-    yield toks[begin:end]
+    yield from _cut(toks[begin:end])
+
+
+def _cut(window):
+    return (window[i:i + WINDOW_TOKENS] for i in range(0, len(window), WINDOW_TOKENS))
 
 
 def file_features(text: str) -> tuple[str, ...]:
@@ -314,36 +322,49 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_windows: int = MAX_
         sample = sample.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
 
     def cut(batches):
-        for ids, rows in batches_of(batches, "doc_id", "text"):
+        for rows in (r for b in slices(batches, "text") for (r,) in batches_of([b], "text")):
             out = []
             for text in rows:
                 base = [(m.start(1), m.end(1)) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6] \
                     if _CUE.search(text) else []
                 base += [(s, e) for s, k, e in base_spans(text) if k]
                 for _, spans in zip(range(4), windows_of(text, base)):
-                    out.append(([text[a:b] for a, b in spans], _tags(spans, base), list(file_features(text))))
-            yield pa.RecordBatch.from_pydict({"tokens": pa.array([x[0] for x in out], pa.list_(pa.string())),
-                                              "tags": pa.array([x[1] for x in out], pa.list_(pa.int32())),
-                                              "file": pa.array([x[2] for x in out], pa.list_(pa.string()))})
+                    out.append(_example([text[a:b] for a, b in spans], _tags(spans, base), file_features(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.list_(t)) for k, t in
+                                              enumerate((pa.int64(), pa.int32(), pa.int64()))], ["hashes", "tags", "file"])
+        forget("secrets-notable")
 
-    cuts = stored(sample.mapInArrow(cut, "tokens array<string>, tags array<int>, file array<string>"), "secret-windows")
+    cuts = stored(sample.select("text").mapInArrow(cut, "hashes array<long>, tags array<int>, file array<long>"), "secret-windows")
     some = F.exists("tags", lambda x: x > 0)
     rows = [r for side in (some, ~some)
-            for r in cuts.where(side).orderBy(F.xxhash64("tokens"), "tags", "file").limit(max_windows // 2).collect()]
-    data, known = [], Tokens()
-    for k, r in enumerate(rows):
-        toks = list(r["tokens"])
-        if k % 3 == 0:  # hide the cue, so that shape and place must carry
-            toks = ["*" if _CUE.fullmatch(x) else x for x in toks]
-        if k % 4 == 1:  # another value in the secret's place, so that secrets of any length and class are learned
-            rng = np.random.default_rng(k)
-            letters = list(_VALUES[k // 4 % len(_VALUES)])
-            toks = ["".join(rng.choice(letters, rng.integers(7, 41))) if y and len(x) > 5 else x for x, y in zip(toks, r["tags"])]
-        columns, files, numbers = _laid_out(known, [toks], [r["file"]])
-        data.append((np.stack(list(features(columns, files)), 1)[numbers > 0], list(r["tags"])))
+            for r in cuts.where(side).orderBy(F.xxhash64("hashes"), "tags", "file").limit(max_windows // 2).collect()]
+    data = []
+    for r in rows:
+        n, gap = len(r["tags"]), max(map(abs, _OFFSETS))
+        at = np.append(np.zeros(gap, np.int64), np.append(np.arange(1, n + 1), np.zeros(gap, np.int64)))
+        columns = np.insert(np.array(r["hashes"], np.int64).reshape(n, 4).T, 0, Tokens().new[0], 1)[:, at]
+        files = np.repeat(np.array([r["file"]], np.int64).T, len(at), 1)
+        data.append((np.stack(list(features(columns, files)), 1)[at > 0], list(r["tags"])))
     return train(data)
 
 
+def _example(toks: list[str], tags: list[int], file) -> tuple[list[int], list[int], list[int]]:
+    """A training window as the hashes its features are made of, so that what the driver gathers does not
+    depend on how long the tokens are.  In a third of the windows (by hash) the cue is hidden, so that shape
+    and place must carry; in a quarter another value takes the secret's place, so that secrets of any
+    length and class are learned."""
+    k = _hash("\n".join(toks))
+    if k % 3 == 0:
+        toks = ["*" if _CUE.fullmatch(x) else x for x in toks]
+    if k % 4 == 1:
+        rng = np.random.default_rng(k)
+        letters = list(_VALUES[k // 4 % len(_VALUES)])
+        toks = ["".join(rng.choice(letters, rng.integers(7, 41))) if y and len(x) > 5 else x for x, y in zip(toks, tags)]
+    known = Tokens()
+    columns = known.of(np.array([known[x] for x in toks], np.int64))
+    return columns.T.ravel().tolist(), tags, [_hash(f"f{x}") for x in file]
+
+
 def _laid_out(known: Tokens, rows, files):
     """Token columns and file hashes of the token lists, with gaps around each, and the tokens' numbers."""
     gap = [0] * max(map(abs, _OFFSETS))
@@ -459,13 +480,14 @@ def scan_secrets(docs: DataFrame, model) -> DataFrame:
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]),
                             ("base_sha256", pa.string()), ("spans", pa.string()), ("n_crf", pa.int64())])
-        for ids, rows in batches_of(batches, "doc_id", "text"):
+        for ids, rows in batches_of(slices(batches, "text"), "doc_id", "text"):
             found = find_spans_of(rows, model)
             name = [[f"{KINDS[k]}:{s}:{e}" for s, k, e in x] for x in found]
             base = [[y for y in x if not y.startswith("crf:")] for x in name]
             yield record(schema, [ids, *([sum(y[1] == k for y in x) for x in found] for k in range(3)),
                                   [hashlib.sha256(",".join(x).encode()).hexdigest() for x in base],
                                   [",".join(x) for x in name], [sum(y[1] == 3 for y in x) for x in found]])
+        forget("secrets")
     return texts(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
                                        "spans string, n_crf long")
 
@@ -483,7 +505,7 @@ def redact(text: str, spans, mark: str) -> str:
 def redact_documents(docs: DataFrame, model, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets masked in ``text`` (and ``n_chars``, if present, counted anew)."""
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             k = b.schema.get_field_index("text")
             old = b.column(k).to_pylist()
             new = [t if not t else redact(t, x, mark) for t, x in zip(old, find_spans_of(old, model))]
@@ -492,4 +514,5 @@ def redact_documents(docs: DataFrame, model, mark: str = "[SECRET]") -> DataFram
             if n >= 0:
                 b = b.set_column(n, b.schema.field(n), pa.array([None if t is None else len(t) for t in new]).cast(b.schema.field(n).type))
             yield b
+        forget("secrets")
     return docs.mapInArrow(run, docs.schema)
