@@ -433,7 +433,7 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_packing(spark, docs, rows, empty):
-    got = packing.best_fit(packing.word_lengths(docs), lengths=(64, 256, 1024), shard=17).collect()
+    got = packing.best_fit(packing.token_lengths(docs, tokenizer_path()), lengths=(64, 256, 1024), shard=17).collect()
     per, bins = {}, {}
     for r in got:
         per.setdefault(r["doc_id"], []).append(r)
@@ -451,9 +451,9 @@ def test_packing(spark, docs, rows, empty):
             at += r["n_tokens"]
         assert at == b[0]["bin_used"] <= b[0]["bin_capacity"]
         assert b[0]["bin_capacity"] == min(n for n in (64, 256, 1024) if n >= at)
-    assert packing.best_fit(packing.word_lengths(empty)).count() == 0
+    assert packing.best_fit(packing.token_lengths(empty, tokenizer_path())).count() == 0
     twice = docs.unionByName(docs)
-    assert packing.best_fit(packing.word_lengths(twice)).count() == 2 * packing.best_fit(packing.word_lengths(docs)).count()
+    assert packing.best_fit(packing.token_lengths(twice, tokenizer_path())).count() == 2 * packing.best_fit(packing.token_lengths(docs, tokenizer_path())).count()
 
 
 def test_packing_is_never_worse_than_one_length():

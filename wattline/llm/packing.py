@@ -9,7 +9,7 @@ shard's opening rule.  Every opening rule (a smallest length that may be opened)
 tried, and the cheapest result after downsizing counts.  At last every bin shrinks
 to the least costly permitted length that holds its contents.
 
-Null and empty texts take one place (their end token).  Repeated rows are packed as
+Lengths are token ids of the tokenizer that ``token_files`` writes with.  Null and empty texts take one place (their end token).  Repeated rows are packed as
 often as they occur, told apart by their position among rows equal in id and text.
 Rows without doc_id are packed too.  An empty table gives an empty result.
 """
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, record, stored, texts
+from .common import batches_of, forget, record, slices, stored, texts
+from .token_files import encoder
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SHARD = 20_000           # pieces in a shard, about
+BLOCK = 100_000          # copies of one row that are numbered together
 OVERHEAD = 16            # cost of a bin beside its length
 
 
@@ -86,21 +88,29 @@ def pack(sizes: np.ndarray, lengths=LENGTHS, cost=None):
     return best[1], best[2]
 
 
-def word_lengths(docs: DataFrame) -> DataFrame:
-    """doc_id, row (number of an equal row) and n_tokens: words between white space and an end token."""
+def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, text_hash, row (number of an equal row) and n_tokens: the text's ids by the tokenizer file
+    and an end id, as ``token_files`` writes them.  Equal rows travel as one row with their count; they are
+    numbered in blocks that go to tasks of their own, so one row's copies never unroll in one task."""
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64())])
         from xxhash import xxh3_64_intdigest
-        for ids, rows in batches_of(batches, "doc_id", "text"):
-            raw = [t.encode() for t in rows]
-            yield record(schema, [ids, [xxh3_64_intdigest(t) - (1 << 63) for t in raw], [len(t.split()) + 1 for t in raw]])
+        enc = encoder(tokenizer)
+        for ids, rows in batches_of(slices(batches, "text"), "doc_id", "text"):
+            yield record(schema, [ids, [xxh3_64_intdigest(t.encode()) - (1 << 63) for t in rows], enc.lengths(rows)])
+        forget(tokenizer)
+
     same = texts(docs).mapInArrow(run, "doc_id long, text_hash long, n_tokens long").groupBy("doc_id", "text_hash", "n_tokens").count()
-    return same.select("doc_id", "text_hash", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("row"))
+    blocks = (same.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(count - 1) div {BLOCK}"))))
+              .repartition("doc_id", "text_hash", "block"))
+    last = F.least(F.lit(BLOCK), F.col("count") - F.col("block") * BLOCK) - 1
+    return (blocks.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            .select("doc_id", "text_hash", "n_tokens", (F.col("block") * BLOCK + F.col("i")).alias("row")))
 
 
 def best_fit(lengths_of: DataFrame, lengths=LENGTHS, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
     """Pack rows (doc_id, text_hash, row, n_tokens); one result row for each piece:
-    doc_id, row, piece, first_token, n_tokens, bin_id, bin_offset, bin_capacity, bin_used."""
+    doc_id, text_hash, row, piece, first_token, n_tokens, bin_id, bin_offset, bin_capacity, bin_used."""
     if list(lengths) != sorted(set(lengths)) or lengths[0] < 1:
         raise ValueError("lengths must rise")
     longest = lengths[-1]
@@ -123,11 +133,11 @@ def best_fit(lengths_of: DataFrame, lengths=LENGTHS, overhead: int = OVERHEAD, s
                 at += sizes[i]
         used = np.array([sizes[b].sum() for b in bins], np.int64)
         name = t.column("shard")[0].as_py() if len(sizes) else 0
-        return pa.table({"doc_id": t.column("doc_id"), "row": t.column("row"), "piece": t.column("piece"),
+        return pa.table({"doc_id": t.column("doc_id"), "text_hash": t.column("text_hash"), "row": t.column("row"), "piece": t.column("piece"),
                          "first_token": t.column("first_token"), "n_tokens": t.column("n_tokens"),
                          "bin_id": pa.array([f"{name}-{b}" for b in number]), "bin_offset": offset,
                          "bin_capacity": np.array([lengths[k] for k in ends], np.int64)[number], "bin_used": used[number]})
 
     return dealt.groupBy("shard").applyInArrow(
-        run, "doc_id long, row long, piece long, first_token long, n_tokens long, bin_id string, bin_offset long, "
+        run, "doc_id long, text_hash long, row long, piece long, first_token long, n_tokens long, bin_id string, bin_offset long, "
              "bin_capacity long, bin_used long")

@@ -6,9 +6,11 @@ as Parquet with a list column of ids.  The list's encoding (``dictionary`` or
 written, and doc_id is sorted over the files, so a reader that asks for some
 doc_ids, or for the metadata columns alone, fetches only those pages.
 
-Order: rows are dealt by ranges of doc_id and sorted inside each range (null ids
-first, ties by text); ``start``, the number of ids before a document, adds the
-totals of the earlier ranges to a running sum within the range.
+Order: rows are dealt by ranges of (doc_id, hash of the text) and sorted inside each
+range (null ids first, ties by hash, then text), so a doc_id that many rows share spans
+several tasks.  The task that writes a file counts ids as it goes and stores with each
+document how many come before it in its range (``offset``); ``start`` adds the totals
+of the earlier ranges, so it always follows the order of the files.
 
 A text is encoded piece by piece: the tokenizer's normaliser and splitter never
 join across ASCII white space, so each distinct piece goes through the
@@ -31,8 +33,9 @@ from ..session import materialized_root
 from .common import batches_of, record, texts, worker_state
 
 END_ID = 1
+FILES = "doc_id long, n_tokens long, ids array<int>, part int, offset long"
 _SEPARATOR = "\x01"       # one id; a text that holds it is encoded whole
-_REMEMBERED = 1_000_000   # pieces a worker remembers
+_REMEMBERED = 600_000     # pieces a worker remembers
 
 
 class _Known(dict):
@@ -126,8 +129,9 @@ class Encoder:
         take += np.arange(len(take), dtype=np.int32)
         return self.ids[take]
 
-    def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts one after another, each with its end id, and their numbers of ids."""
+    def _numbered(self, rows: list[str]):
+        """Numbers of the texts' pieces, each text's followed by 0, how many each text has, and the texts to
+        be encoded whole."""
         if len(self.known) > _REMEMBERED:
             self._reset()
         whole = [i for i, t in enumerate(rows) if self.separator is None or _SEPARATOR in t]
@@ -140,7 +144,11 @@ class Encoder:
             at.append(0)
         self._learn()
         at, counts = np.array(at, np.int32), np.array(counts)
-        n = np.add.reduceat(self.size[at], np.cumsum(counts) - counts, dtype=np.int64)
+        return at, np.add.reduceat(self.size[at], np.cumsum(counts) - counts, dtype=np.int64), whole
+
+    def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, each with its end id, and their numbers of ids."""
+        at, n, whole = self._numbered(rows)
         ids = self._gather(at)
         if whole:
             parts = np.split(ids, np.cumsum(n)[:-1])
@@ -150,6 +158,13 @@ class Encoder:
             ids = np.concatenate(parts)
         return ids, n
 
+    def lengths(self, rows: list[str]) -> np.ndarray:
+        """The texts' numbers of ids, each with its end id."""
+        _, n, whole = self._numbered(rows)
+        for i in whole:
+            n[i] = len(self._ids(rows[i])) + 1
+        return n
+
 
 def encoder(path: str) -> Encoder:
     kept = worker_state()
@@ -158,7 +173,7 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def _pieces_of(rows: list[str], most: int = 8_000_000):
+def _pieces_of(rows: list[str], most: int = 2_000_000):
     """Slices of a batch of texts, each of bounded length in all."""
     at, size = 0, 0
     for i, t in enumerate(rows):
@@ -172,23 +187,27 @@ def _pieces_of(rows: list[str], most: int = 8_000_000):
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, encoding: str = "dictionary",
                       row_group_mb: int = 32, page_kb: int = 256) -> None:
-    """Encode ``docs`` and write them below ``path`` (columns doc_id, n_tokens, ids, part)."""
+    """Encode ``docs`` and write them below ``path`` (columns ``FILES``)."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(encoding)
 
     def encode(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())),
-                            ("part", pa.int32())])
-        enc = encoder(tokenizer)
+                            ("part", pa.int32()), ("offset", pa.int64())])
+        enc, before = encoder(tokenizer), 0
         for ids, rows, part in batches_of(batches, "doc_id", "text", "part"):
             for a, b in _pieces_of(rows):
                 got, n = enc.encode(rows[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(got))
-                yield record(schema, [ids[a:b], n, lists, part[a:b]])
-
-    (texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-     .withColumn("part", F.spark_partition_id())
-     .mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, part int")
+                upto = before + np.cumsum(n)
+                yield record(schema, [ids[a:b], n, lists, part[a:b], upto - n])
+                before = int(upto[-1])
+
+    # Equal rows may stand in any order among themselves: their place in the input parts them.
+    (texts(docs).withColumn("_h", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+     .repartitionByRange("doc_id", "_h", "_row").sortWithinPartitions("doc_id", "_h", "text")
+     .select("doc_id", "text", F.spark_partition_id().alias("part"))
+     .mapInArrow(encode, FILES)
      .write.option("compression", "zstd")
      .option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
@@ -200,32 +219,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, encoding: str
 
 def read_token_files(spark, path: str, *columns: str) -> DataFrame:
     """The files' rows; a filter on doc_id skips row groups and pages."""
-    df = spark.read.schema("doc_id long, n_tokens long, ids array<int>, part int").parquet(path)
+    df = spark.read.schema(FILES).parquet(path)
     return df.select(*columns) if columns else df
 
 
 def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Add ``start``: ids before each document, over all files, in order."""
+    """Add ``start``: ids before each document (``part``, ``offset``), over all files, in order."""
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # one row per range
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.join(F.broadcast(before), "part")
-            .withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))))
+    return rows.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("offset"))
 
 
 def digests(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the files."""
     def crc(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("offset", pa.int64()),
+                            ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for b in batches:
             lists = b.column(b.schema.get_field_index("ids"))
             at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
             yield record(schema, [b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("part")),
-                                  np.diff(at).astype(np.int64),
+                                  b.column(b.schema.get_field_index("offset")), np.diff(at).astype(np.int64),
                                   [zlib.crc32(values[s:e].tobytes()) for s, e in zip(at[:-1], at[1:])]])
 
-    rows = read_token_files(spark, path, "doc_id", "part", "ids").mapInArrow(
-        crc, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    rows = read_token_files(spark, path, "doc_id", "part", "offset", "ids").mapInArrow(
+        crc, "doc_id long, part int, offset long, n_tokens long, ids_crc32 long")
     return with_starts(rows, read_token_files(spark, path, "part", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -9,13 +9,18 @@ Arguments are validated against the tool's JSON schema, and each event becomes o
 line of canonical JSON (sorted keys, no spaces).
 
 A conversation is never gathered into one task: an event's place is a pair (turn,
-depth) found by relaxing the dependencies with joins until nothing moves, and
+depth).  Turns are relaxed with joins until none moves, then depths are dealt out in
+rounds among the references that stay inside one turn.  Both take as many rounds as the
+longest chain of references that point past their call's turn, whatever else the table
+holds; references to earlier turns, the usual ones, take none.
 numbers within a conversation come from a range sort with carried counts.
 
 Defined results: an event whose conv_id is null belongs to the conversation null; a
 null turn counts as before all others; null text is null in the JSON.  A result
 without a call, a call without result, further results of one call, arguments that
-are no JSON object, unknown tools and schema violations are named in ``error``.  A
+are no JSON object (numbers beyond a double, NaN and infinities are no JSON), arguments
+nested deeper than ``MAX_DEPTH``, unknown tools and schema violations are named in
+``error``.  Lone surrogates stay as JSON escapes.  A
 call that waits for itself (a cycle) is named too; its references are then ignored.
 Repeated rows stay repeated.  Empty tables give an empty result.
 """
@@ -23,6 +28,8 @@ Repeated rows stay repeated.  Empty tables give an empty result.
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,8 +40,17 @@ from .common import batches_of, record, stored
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
+MAX_DEPTH = 100          # levels of nested arguments that are taken
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def sound(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return sound(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def _is(value, kind: str) -> bool:
@@ -84,12 +100,36 @@ def references(value) -> list[str]:
     return [r for x in value for r in references(x)] if isinstance(value, list) else []
 
 
+def _depth(value) -> int:
+    """Levels of nesting, counted without recursion."""
+    depth, level = 0, [value]
+    while level := [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]:
+        depth += 1
+    return depth
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(text)
+    return value
+
+
+def _no_number(text: str):
+    raise ValueError(text)
+
+
 def _parsed(text):
+    """(arguments, error).  NaN, infinities and numbers that overflow are no JSON."""
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_float=_finite, parse_constant=_no_number)
     except (TypeError, ValueError):
-        return None
-    return value if isinstance(value, dict) else None
+        return None, "arguments are not a JSON object"
+    except RecursionError:
+        return None, "arguments are nested too deep"
+    if not isinstance(value, dict):
+        return None, "arguments are not a JSON object"
+    return (None, "arguments are nested too deep") if _depth(value) > MAX_DEPTH else (value, "")
 
 
 def _checked(schemas: dict):
@@ -98,11 +138,12 @@ def _checked(schemas: dict):
         out = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("call_id", pa.string()), ("name", pa.string()),
                          ("args", pa.string()), ("refs", pa.list_(pa.string())), ("error", pa.string())])
         for conv, turn, call, name, args in batches_of(batches, "conv_id", "turn", "call_id", "name", "arguments"):
-            values = [_parsed(a) for a in args]
-            errors = ["arguments are not a JSON object" if v is None else f"unknown tool {n}" if n not in schemas
-                      else "; ".join(violations(v, schemas[n])) for v, n in zip(values, name)]
+            parsed = [_parsed(a) for a in args]
+            values = [v for v, _ in parsed]
+            errors = [error or (f"unknown tool {n}" if n not in schemas else sound("; ".join(violations(v, schemas[n]))))
+                      for (v, error), n in zip(parsed, name)]
             yield record(out, [conv, turn, call, name, [None if v is None else canonical(v) for v in values],
-                               [sorted(set(references(v))) for v in values], errors])
+                               [sorted({r for r in references(v) if not _LONE.search(r)}) for v in values], errors])
     return run
 
 
@@ -120,35 +161,42 @@ def _places(calls: DataFrame, results: DataFrame) -> DataFrame:
     one = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.flatten(F.collect_set("refs")).alias("refs"))
     first = results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"))
     edges = one.select("conv_id", "call_id", F.explode("refs").alias("needs"))
-    edges = stored(_beside(edges, first, "inner", "needs").distinct(), "references")
-    now = stored(one.select("conv_id", "call_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.lit(0).cast("long").alias("depth")), "places")
-    longest = edges.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0  # no acyclic chain is longer
-    rounds = 0
-    while longest:
-        src = now.select("conv_id", "call_id", F.struct("turn", "depth").alias("p"))
-        step = (_beside(edges, src, "inner", "needs")
-                .select("conv_id", "call_id", F.greatest(
-                    F.struct(F.coalesce("result_turn", F.lit(-1)).cast("long").alias("turn"), F.lit(0).cast("long").alias("depth")),
-                    F.struct(F.col("p.turn").alias("turn"), (F.col("p.depth") + 1).alias("depth"))).alias("q"))
-                .groupBy("conv_id", "call_id").agg(F.max("q").alias("q")))
-        after = F.greatest(F.struct("turn", "depth"), F.struct(F.col("q.turn").alias("turn"), (F.col("q.depth") + 1).alias("depth")))
-        moved = stored(_beside(now, step).select(
-            "conv_id", "call_id", F.col("turn").alias("old_turn"), F.col("depth").alias("old_depth"),
-            F.when(F.col("q").isNull(), F.struct("turn", "depth")).otherwise(after).alias("p"))
-            .select("conv_id", "call_id", "old_turn", "old_depth", "p.turn", "p.depth"), "places")
-        changed = moved.where("turn <> old_turn or depth <> old_depth")
-        now = moved.select("conv_id", "call_id", "turn", "depth")
-        rounds += 1
-        if not changed.limit(1).count():
+    edges = stored(_beside(edges, first, "inner", "needs").withColumn("result_turn", F.coalesce("result_turn", F.lit(-1)).cast("long"))
+                   .distinct(), "references")
+    now = stored(one.select("conv_id", "call_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn")), "places")
+    # Turns first: the latest turn of all that a call waits for.  A maximum also settles on a cycle.
+    while True:
+        step = (_beside(edges, now, "inner", "needs").groupBy("conv_id", "call_id")
+                .agg(F.max(F.greatest("turn", "result_turn")).alias("later")))
+        moved = stored(_beside(now, step).select("conv_id", "call_id", F.greatest("turn", "later").alias("turn"),
+                                                 (F.coalesce("later", F.lit(-2)) > F.col("turn")).alias("changed")), "places")
+        now = moved.select("conv_id", "call_id", "turn")
+        if not moved.where("changed").limit(1).count():
+            break
+    # Depths among calls and results of one turn: only references inside the turn count, and every cycle is among
+    # them.  Calls whose references are all placed are placed in rounds; what never comes is on or behind a cycle.
+    mine = now.select("conv_id", "call_id", F.col("turn").alias("own"))
+    tight = stored(_beside(_beside(edges, now, "inner", "needs"), mine, "inner")
+                   .where(F.greatest("turn", "result_turn") == F.col("own"))
+                   .select("conv_id", "call_id", "needs", (F.col("turn") == F.col("own")).alias("waits")), "tight")
+    start = tight.groupBy("conv_id", "call_id").agg(F.max("waits").alias("waits"))
+    placed = stored(_beside(now, start).where(~F.coalesce("waits", F.lit(False)))
+                    .select("conv_id", "call_id", F.when(F.col("waits").isNotNull(), 1).otherwise(0).cast("long").alias("depth")), "placed")
+    left = stored(start.where("waits").select("conv_id", "call_id"), "waiting")
+    n = left.count()
+    while n:
+        ready = (_beside(_beside(tight, left, "left_semi"), placed, "left", "needs").groupBy("conv_id", "call_id")
+                 .agg(F.max(F.col("waits") & F.col("depth").isNull()).alias("open"),
+                      F.max(F.when(F.col("waits"), F.col("depth") + 2).otherwise(1)).alias("depth")).where(~F.col("open")))
+        placed = stored(placed.unionByName(ready.select("conv_id", "call_id", "depth")), "placed")
+        left = stored(_beside(left, placed.select("conv_id", "call_id"), "left_anti"), "waiting")
+        n, before = left.count(), n
+        if n == before:
             break
-        if rounds > 2 * longest + 2:  # a depth beyond any acyclic chain's: on or behind a cycle
-            loose = now.where(F.col("depth") > 2 * longest).select("conv_id", "call_id", F.lit(True).alias("cyclic"))
-            own = one.select("conv_id", "call_id", F.coalesce("turn", F.lit(-1)).alias("own"))
-            return (_beside(_beside(now, loose), own, "inner")
-                    .select("conv_id", "call_id", F.when(F.col("cyclic"), F.col("own")).otherwise(F.col("turn")).alias("turn"),
-                            F.when(F.col("cyclic"), F.lit(0)).otherwise(F.col("depth")).cast("long").alias("depth"),
-                            F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
-    return now.withColumn("cyclic", F.lit(False))
+    own = one.select("conv_id", "call_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("own"))
+    return (_beside(_beside(now, placed), own, "inner")
+            .select("conv_id", "call_id", F.when(F.col("depth").isNull(), F.col("own")).otherwise(F.col("turn")).alias("turn"),
+                    F.coalesce("depth", F.lit(0)).alias("depth"), F.col("depth").isNull().alias("cyclic")))
 
 
 def numbered(events: DataFrame, group: str, order: list[str]) -> DataFrame:
