@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm import decontaminate, minhash, packing, secrets, toxicity
 from wattline.llm.common import stored, table
+from wattline.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(packing.word_lengths(docs))
+    return packing.best_fit(packing.token_lengths(docs, tokenizer_path()))
 
 
 STAGES = [
