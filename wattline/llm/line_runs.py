@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -148,9 +149,9 @@ def _batch_of(lowest, highest, batches: int):
     """Number of a document's batch: ranges of doc_id, the highest first; no doc_id is in the last."""
     if lowest is None:
         return F.lit(0)
-    width = -(-(highest - lowest + 1) // batches)
-    return F.coalesce(F.floor((F.lit(highest).cast("decimal(20,0)") - F.col("doc_id")) / F.lit(width).cast("decimal(20,0)")).cast("int"),
-                      F.lit(batches))
+    width = -(-(highest - lowest + 1) // batches)  # may pass a long, so in decimals
+    place = (F.lit(Decimal(highest)) - F.col("doc_id")) / F.lit(Decimal(width))
+    return F.coalesce(F.floor(place).cast("int"), F.lit(batches))
 
 
 def frequent_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, line_runs, merkle, minhash, packing, pii, secrets, spotsigs, token_files, tool_calls, toxicity
+from . import decontaminate, hard_negatives, hmm, line_runs, merkle, minhash, packing, pii, secrets, spotsigs, token_files, tool_calls, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_tool_calls(conversations.where("role is null or role <> 'assistant'"), calls, results, tool_calls.SCHEMAS)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.every_third())
 
@@ -78,9 +82,10 @@ def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (op1_hidden_markov, op2_token_files, op3_personal_data, op4_decontamination, op5_spotsigs,
                                     op6_best_fit, op7_secrets, op8_minhash, op9_toxicity, op10_tool_calls,
-                                    op12_merkle_manifest, op13_line_runs)}
+                                    op11_hard_negatives, op12_merkle_manifest, op13_line_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.ORACLE, "op12_merkle_manifest": merkle.ORACLE,
+    return {"op4_decontamination": decontaminate.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE,
+            "op12_merkle_manifest": merkle.ORACLE,
             "op13_line_runs": line_runs.ORACLE}
