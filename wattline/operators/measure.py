@@ -29,13 +29,15 @@ Two delta definitions:
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import with_keys
 from ..functions.text import (canonical_metric, canonical_unit, canonical_value,
                               is_bad_flag, is_normal_flag, normalize_key)
-from ..schemas import MEASUREMENT_COLUMNS, SERIES
+from ..schemas import SERIES
 from .dominance import dominance_lookup, series_rank
 from ..session import materialize
 from .scan import Scan, sliced_scan
@@ -150,13 +152,24 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
     Readings without timestamp, metric or value cannot be placed in a series;
     they are listed by ``invalid_readings`` instead.
     """
+    n = normalize(readings)
+    return derive_placed(n.where(placeable(n)), delta_mode, slice_seconds, arrival_slice_bits, materialize_steps)
+
+
+def derive_placed(n: DataFrame, delta_mode: str = "event_time", slice_seconds: int = DEFAULT_SLICE_SECONDS,
+                  arrival_slice_bits: int = DEFAULT_ARRIVAL_SLICE_BITS, materialize_steps: bool = True,
+                  keep: Sequence[str] = (), source: str | None = None) -> DataFrame:
+    """``derive_measurements`` of readings that are normalised and placeable.
+
+    ``keep`` names further columns to hand through; ``source`` names a column for the
+    arrival key of the reading that a delta was last taken against by event time (event
+    mode: the previous good original; arrival mode: the writer that repaired the row)."""
     if delta_mode not in ("event_time", "arrival"):
         raise ValueError(f"unknown delta_mode {delta_mode!r}")
     arrival = delta_mode == "arrival"
-    n = normalize(readings)
-    n = n.where(placeable(n)).withColumn("ord", arrival_key("arrival_seq", "reading_id"))
+    n = n.withColumn("ord", arrival_key("arrival_seq", "reading_id"))
     tgs = _time_groups(n, slice_seconds, arrival)
-    keep = [*SERIES, "ts", "o_ord", "prev", "late_min"] + (["writer"] if arrival else [])
+    shared = [*SERIES, "ts", "o_ord", "prev", "late_min"] + (["writer"] if arrival else [])
     rows = n
     if arrival:
         # The per-series arrival rank (for the dominance lookup) depends only
@@ -169,7 +182,7 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
         arrived_before = Scan("_pmax", F.when(~F.col("is_bad"), F.struct(
             F.unix_micros("ts").alias("tmic"), F.col("ord"), F.col("value"))), "max", "before")
         rows = series_rank(n, SERIES, ["arrival_seq", "reading_id"], arrival_slice_bits, [arrived_before])
-    m = rows.join(tgs.select(*keep), on=SERIES + ["ts"], how="inner")
+    m = rows.join(tgs.select(*shared), on=SERIES + ["ts"], how="inner")
     m = (m.withColumn("is_duplicate", F.col("ord") != F.col("o_ord"))
           .withColumn("is_late", F.coalesce(F.col("late_min") < F.col("ord"), F.lit(False))))
 
@@ -196,6 +209,10 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
         delta_raw = F.when(prev_value.isNotNull(), F.greatest(F.lit(0.0), F.col("value") - prev_value))
 
     m = m.withColumn("_delta_raw", delta_raw)
+    more = [F.col(c) for c in keep]
+    if source is not None:
+        taken = F.when(has_writer, F.col("writer.w_ord")) if arrival else F.col("prev.o_ord")
+        more.append(taken.alias(source))
     out = m.select(
         "arrival_seq", "reading_id", "building_id", "building_name", "device_id",
         "device_external_id", "device_name", "ts", "metric", "value", "unit",
@@ -205,6 +222,6 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
         F.col("reading_id").alias("raw_event_id"),
         F.when(~F.col("is_duplicate"), F.col("_delta_raw")).alias("delta"),
         F.col("ingest_time").alias("created_at"),
-        F.when(F.col("is_late") | F.col("is_duplicate"), F.col("ingest_time")).alias("updated_at"),
+        F.when(F.col("is_late") | F.col("is_duplicate"), F.col("ingest_time")).alias("updated_at"), *more,
     )
-    return out.select(*MEASUREMENT_COLUMNS)
+    return out

@@ -44,11 +44,28 @@ READINGS = T.StructType([
 # The reading log (S3): readings with their partition columns.
 LOG = T.StructType([*READINGS, T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.LongType())])
 
-MEASUREMENT_COLUMNS = [
-    "arrival_seq", "reading_id", "building_id", "building_name", "device_id",
-    "device_external_id", "device_name", "ts", "metric", "value", "unit",
-    "is_normal", "is_reset", "is_duplicate", "is_late", "is_bad",
-    "raw_event_id", "delta", "created_at", "updated_at",
-]
+MEASUREMENT = T.StructType([
+    T.StructField("arrival_seq", T.LongType()),
+    T.StructField("reading_id", T.LongType()),
+    T.StructField("building_id", T.StringType()),
+    T.StructField("building_name", T.StringType()),
+    T.StructField("device_id", T.StringType()),
+    T.StructField("device_external_id", T.StringType()),
+    T.StructField("device_name", T.StringType()),
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("metric", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("unit", T.StringType()),
+    T.StructField("is_normal", T.BooleanType()),
+    T.StructField("is_reset", T.BooleanType()),
+    T.StructField("is_duplicate", T.BooleanType()),
+    T.StructField("is_late", T.BooleanType()),
+    T.StructField("is_bad", T.BooleanType()),
+    T.StructField("raw_event_id", T.LongType()),
+    T.StructField("delta", T.DoubleType()),
+    T.StructField("created_at", T.TimestampType()),
+    T.StructField("updated_at", T.TimestampType()),
+])
+MEASUREMENT_COLUMNS = MEASUREMENT.names
 
 SERIES = ["device_id", "metric"]

@@ -3,13 +3,13 @@
 Layout (all Parquet, no table format with MERGE needed):
 
 * ``raw``:  one row per reading (S2), partitioned by ``batch_id``;
-* ``log``:  flat readings with their arrival order (S3), partitioned by
-  ``bucket`` (hash of the series key) and ``batch_id``;
-* ``measurements``: derived rows (W12), partitioned by ``bucket`` and month.
+* ``log``:  flat readings with their arrival order (S3), in levelled segments
+  (``segments.py``) sorted by ``bucket`` (hash of the series key);
+* ``measurements``: derived rows (W12), partitioned by ``bucket`` and month when they
+  are written once, and by bucket and time slice, in generations, when a stream keeps
+  them (``streaming/generations.py``).
 
-Writes go to their own ``batch_id`` (or ``bucket``) partitions with dynamic
-partition overwrite, so replaying a batch rewrites the same files instead of
-appending twice, and a refresh (S5/R2) rewrites only the buckets it touched.
+A replayed batch replaces its own segment or generation instead of appending twice.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from ..functions.keys import device_key
 from ..functions.filters import time_range
 from ..functions.text import ENERGY_METRIC, LEGACY_ENERGY_METRIC, canonical_metric
 from ..functions.time import parse_ts
-from ..schemas import BATCH, LOG
+from ..schemas import BATCH
+from .segments import append_segment, live_segments, read_segments
 
 DEFAULT_BUCKETS = 64
 # Stored measurements are cut by month; text, so that its order is that of time.
@@ -155,17 +156,18 @@ def append_rejected(batches: DataFrame, batch_id: int, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
-def append_log(readings: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> None:
-    """S3: append flat readings to the log, partitioned by series bucket and
-    batch; a replayed batch overwrites its own partitions."""
-    (readings.withColumn("bucket", series_bucket(buckets))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket", "batch_id").parquet(path))
+def append_log(readings: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS, batch_id: int | None = None) -> DataFrame:
+    """S3: append the flat readings of one batch to the log as a segment
+    (``segments.append_segment``) and return them; a replayed batch replaces its own."""
+    if batch_id is None:
+        batch_id = readings.agg(F.max("batch_id")).first()[0]
+    return append_segment(readings.withColumn("bucket", series_bucket(buckets)), path, batch_id)
 
 
 def load_log(spark: SparkSession, path: str, buckets_filter=None) -> DataFrame:
-    """Scan the reading log (empty when nothing was appended); a bucket list prunes partitions."""
-    df = spark.read.schema(LOG).parquet(path)
+    """Scan the reading log (empty when nothing was appended): its live segments only.  Files are
+    sorted by bucket, so a bucket list skips row groups."""
+    df = read_segments(spark, path, live_segments(spark, path))
     if buckets_filter is not None:
         df = df.where(F.col("bucket").isin(list(buckets_filter)))
     return df
@@ -181,7 +183,11 @@ def load_measurements(spark: SparkSession, path: str, device: str | None = None,
     """Scan stored measurements.  A device (with its metric) opens only its
     bucket, a time range only its months; inside the files, which are sorted by
     series and time, device, metric and range skip row groups.  The legacy metric
-    name of old bad rows has its own bucket, which a device read opens as well."""
+    name of old bad rows has its own bucket, which a device read opens as well.  A table
+    that a stream keeps (``streaming.generations``) is read through its manifest."""
+    from ..streaming.generations import current, load_slices
+    if current(spark, path) is not None:
+        return load_slices(spark, path, device, metric, start, end)
     df = spark.read.parquet(path)
     if device is not None:
         names = {metric, LEGACY_ENERGY_METRIC} if metric == ENERGY_METRIC else {metric}

@@ -1,5 +1,5 @@
 """Continuous ingest (R1) with incremental refresh (R2); duplicate and late flags
-on a stream (R3, R4) come from the refresh, which recomputes touched series.
+on a stream (R3, R4) come from the refresh, which derives touched slices.
 
 The reference applies every request at once and repairs the successor of any
 late reading however old, so there is no watermark to bound state: a late
@@ -8,10 +8,10 @@ reading can change a delta computed long ago.  The streaming job therefore
 1. reads new batch files with an explicit schema (file source, exactly once
    through the checkpoint);
 2. in ``foreachBatch`` flattens them, numbers their readings on from the count of
-   the batches before and overwrites that batch's log partitions (a replay
-   rewrites with the same numbers, never duplicates);
-3. re-derives only the series buckets the micro-batch touched -- partition
-   pruning on the log -- and overwrites those buckets of the measurement table.
+   the batches before and appends them to the log as one segment (a replay
+   repeats the same numbers, never duplicates);
+3. takes them into the measurement table: only the time slices they touch are
+   derived and written, as a new generation (``generations.py``).
 
 Flags are kept on every reading (nothing is dropped as a duplicate), and
 lateness is measured against the running maximum of good originals, as in the
@@ -28,14 +28,16 @@ from ..operators.measure import derive_measurements
 from ..schemas import BATCH
 from ..sources.batches import (DEFAULT_BUCKETS, append_log, append_raw, append_rejected, load_log, parse_batches,
                                with_origin, write_measurements)
+from ..sources.segments import rows_before
+from .generations import SLICE_HOURS, refresh_slices
 
 MAX_FILES_PER_TRIGGER = 1000
 
 
 def refresh(spark: SparkSession, log_path: str, out_path: str, touched_buckets,
             delta_mode: str = "event_time", buckets: int = DEFAULT_BUCKETS) -> None:
-    """Re-derive the touched buckets from the whole log history of those
-    buckets and overwrite them in the measurement table."""
+    """Rebuild whole buckets of a table of months (``write_measurements``) from the whole log, for
+    example after its rules changed; a stream's own table is kept by ``refresh_slices``."""
     touched = sorted(set(int(b) for b in touched_buckets))
     if not touched:
         return
@@ -44,50 +46,26 @@ def refresh(spark: SparkSession, log_path: str, out_path: str, touched_buckets,
     write_measurements(m, out_path, buckets)
 
 
-def numbers_path(log_path: str) -> str:
-    """Table with one row per micro-batch: the first number and count of its readings."""
-    return log_path.rstrip("/") + "_numbers"
-
-
-def first_number(spark: SparkSession, log_path: str, batch_id: int) -> int:
-    """How many readings the micro-batches before ``batch_id`` took, read from the
-    row of the last of them, so a replay gets the same numbers."""
-    path = numbers_path(log_path)
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return 0
-    last = (spark.read.schema("first_id long, n long, batch_id long").parquet(path)
-            .where(F.col("batch_id") < int(batch_id)).agg(F.max_by(F.col("first_id") + F.col("n"), "batch_id"))).first()[0]
-    return last or 0
-
-
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, log_path: str,
                   out_path: str | None, raw_path: str | None, delta_mode: str,
-                  buckets: int, rejected_path: str | None = None) -> None:
-    """Body of ``foreachBatch``: S1 -> S3 -> S2, R2 for one micro-batch.  Raw rows
-    and touched buckets come from the log partitions just written."""
+                  buckets: int, rejected_path: str | None = None, hours: int = SLICE_HOURS) -> dict:
+    """Body of ``foreachBatch``: S1 -> S3 -> S2, R2 for one micro-batch.  Raw rows and the
+    refresh read the log segment just written.  Returns what the refresh read and wrote."""
     batch_id = int(batch_id)
     if rejected_path:
         append_rejected(batch, batch_id, rejected_path)
-    first = first_number(spark, log_path, batch_id)
-    append_log(parse_batches(batch, batch_id, first), log_path, buckets)
-    taken = load_log(spark, log_path).where(F.col("batch_id") == batch_id)
-    # Bounded driver read: at most ``buckets`` rows of two numbers.
-    per_bucket = taken.groupBy("bucket").count().collect()
-    (spark.createDataFrame([(first, sum(r["count"] for r in per_bucket), batch_id)], "first_id long, n long, batch_id long")
-     .coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(numbers_path(log_path)))
+    taken = append_log(parse_batches(batch, batch_id, rows_before(spark, log_path, batch_id)), log_path, buckets, batch_id)
     if raw_path:
         append_raw(taken, raw_path)
-    if out_path:
-        refresh(spark, log_path, out_path, [r["bucket"] for r in per_bucket], delta_mode, buckets)
+    return refresh_slices(spark, taken, out_path, batch_id, delta_mode, buckets, hours) if out_path else {}
 
 
 def ingest_stream(spark: SparkSession, in_path: str, log_path: str, checkpoint: str,
                   out_path: str | None = None, raw_path: str | None = None,
                   delta_mode: str = "event_time", buckets: int = DEFAULT_BUCKETS,
                   available_now: bool = True, processing_time: str | None = None,
-                  rejected_path: str | None = None, max_files: int = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
+                  rejected_path: str | None = None, max_files: int = MAX_FILES_PER_TRIGGER,
+                  hours: int = SLICE_HOURS) -> StreamingQuery:
     """Start the ingest stream over JSON-Lines batch files in ``in_path``.
 
     ``checkpoint`` must be a shared folder (pass one under the session's
@@ -102,7 +80,7 @@ def ingest_stream(spark: SparkSession, in_path: str, log_path: str, checkpoint:
                       .option("maxFilesPerTrigger", max_files).json(in_path))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(spark, batch, batch_id, log_path, out_path, raw_path, delta_mode, buckets, rejected_path)
+        process_batch(spark, batch, batch_id, log_path, out_path, raw_path, delta_mode, buckets, rejected_path, hours)
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
