@@ -21,7 +21,7 @@ from wattline.functions.keys import KEY_NAMESPACE, dedupe_key
 from wattline.functions.text import (ENERGY_METRIC, canonical_metric, canonical_unit, canonical_value, is_bad_flag,
                                      is_normal_flag, payload_json)
 from wattline.functions.time import calendar_range, date_time_label, iso_utc, time_label
-from wattline.operators.asof import asof_backward, asof_forward, existing
+from wattline.operators.asof import arrived_before, asof_backward, asof_forward
 from wattline.operators.dims import resolve_dimension
 from wattline.operators.measure import derive_measurements, normalize, placeable
 from wattline.operators.pivot import overlay_bad, pivot_labels
@@ -29,10 +29,11 @@ from wattline.operators.rolling import rolling
 from wattline.plans import charts, queries as q
 from wattline.plans.oracle import ENERGY as SQL_ENERGY, bucket as sql_bucket, iso as sql_iso, uuid5_sql, with_m
 from wattline.session import ensure_checkpoint_dir, materialize
-from wattline.sources.batches import (load_log, load_measurements, read_batches, read_bodies, rejected_bodies,
+from wattline.sources.batches import (append_log, load_log, load_measurements, read_batches, read_bodies, rejected_bodies,
                                       write_batches, write_measurements)
 from wattline.sources.tables import readings_from_events, table
-from wattline.streaming.ingest import events_as_batches, ingest_stream
+from wattline.streaming.ingest import events_as_batches, ingest_stream, process_batch
+from wattline.streaming.late_flag import FLAGS as LATE_FLAGS, late_flag_stream
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -251,10 +252,9 @@ def _h4(spark, sf):
 
 
 def _j1(spark, sf):
-    """The readings that came late against everything stored before, of any quality."""
+    """Every reading against everything that arrived before it, of any quality."""
     n = _placed(spark, sf)
-    came_late = F.col("arrival_seq") > F.col("reading_id")
-    return existing(n.where(came_late), n.where(~came_late)).select("reading_id")
+    return arrived_before(n, n).select("reading_id")
 
 
 def _asof(fn, log):
@@ -388,6 +388,8 @@ def _s1_quarantine(spark, sf):
 
 
 TRIGGERS = 5
+# Parts of the stored table at the sizes of the driver's tables: four buckets, slices of five days.
+STORED = {"buckets": 4, "hours": 120}
 
 
 def _ingested(spark, sf, measure=True):
@@ -398,14 +400,41 @@ def _ingested(spark, sf, measure=True):
     for k in range(TRIGGERS):
         write_batches(batches.where(F.floor(F.col("block") * TRIGGERS / (last + 1)) == k), src, mode="append")
         ingest_stream(spark, src, f"{root}/log", f"{root}/checkpoint", raw_path=f"{root}/raw",
-                      out_path=f"{root}/measurements" if measure else None, max_files=last + 1).awaitTermination()
+                      out_path=f"{root}/measurements" if measure else None, max_files=last + 1, **STORED).awaitTermination()
     return root
 
 
+def _r2(spark, sf):
+    """The batches of ``events`` in five triggers with late repairs between them; the third and the last
+    are delivered twice.  Deltas are those of the arrival order."""
+    root = _scratch(spark, "refresh")
+    batches = materialize(_batches(spark, sf), "batches")
+    last = batches.agg(F.max("block")).first()[0]
+    for k in range(TRIGGERS):
+        write_batches(batches.where(F.floor(F.col("block") * TRIGGERS / (last + 1)) == k), f"{root}/inbox/{k}")
+    for k in (0, 1, 2, 2, 3, 4, 4):
+        process_batch(spark, read_bodies(spark, f"{root}/inbox/{k}").drop("batch_id"), k, f"{root}/log", f"{root}/measurements", None,
+                      "arrival", **STORED)
+    m = load_measurements(spark, f"{root}/measurements")
+    return m.select("reading_id", "is_duplicate", "is_late", "is_reset", _r("delta").alias("delta"))
+
+
 def _r1(spark, sf):
     return _reading_rows(load_measurements(spark, f"{_ingested(spark, sf)}/measurements"))
 
 
+def _r4(spark, sf):
+    """Late flags from per-series state; the log grows in five triggers and the stream follows it."""
+    root = _scratch(spark, "late")
+    r = readings_from_events(spark, sf)
+    last = r.agg(F.max("arrival_seq")).first()[0]
+    for k in range(TRIGGERS):
+        part = r.where(F.floor(F.col("arrival_seq") * TRIGGERS / (last + 1)) == k)
+        append_log(part.withColumn("batch_id", F.lit(k).cast("long")), f"{root}/log", STORED["buckets"], k)
+        late_flag_stream(spark, f"{root}/log", f"{root}/flags", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(LATE_FLAGS).parquet(f"{root}/flags").select("device_id", "metric", "reading_id", "is_late")
+
+
 def _s4(spark, sf):
     """One device and range of the stored table (bucket and months pruned)."""
     path = _scratch(spark, "measurements")
@@ -457,6 +486,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "s2_raw_events": _s2,
         "s4_device_range": _s4,
         "r1_ingest_stream": _r1,
+        "r2_refresh": _r2,
+        "r4_late_flag_stream": _r4,
         "w12_measurements": _w12,
         "w7_arrival_measurements": _w7,
         "c_normalize_keys": _normalize,
@@ -616,6 +647,10 @@ def _oracle_sql() -> dict[str, str]:
             "- 1 AS batch_id, "
             f"device_external_id, {sql_iso('ts')} AS ts, round(value, 6) AS value FROM {numbered}"),
         "r1_ingest_stream": with_m(reading_rows),
+        "r4_late_flag_stream": with_m("SELECT device_id, metric, reading_id, is_late FROM m"),
+        "r2_refresh": with_m(
+            f"SELECT num AS reading_id, am.is_duplicate, am.is_late, coalesce(d_raw = 0, false) AS is_reset, "
+            f"round(CASE WHEN NOT am.is_duplicate THEN d_raw END, 6) AS delta FROM am JOIN {numbered} n USING (reading_id)", arrival=True),
         "w12_measurements": with_m(
             f"SELECT arrival_seq, reading_id, building_id, building_name, device_id, device_external_id, "
             f"device_name, {sql_iso('ts')} AS ts, metric, round(value, 6) AS value, unit, {FLAG_SQL}, raw_event_id, "
@@ -697,8 +732,8 @@ def _oracle_sql() -> dict[str, str]:
             f", {a1} SELECT label AS building, {sql_iso('ts')} AS ts, strftime(ts, '%H:%M:%S') AS tsLabel, "
             "round(coalesce(delta, 0), 6) AS delta FROM a1"),
         "j1_existing": with_m(
-            "SELECT reading_id FROM c WHERE arrival_seq > reading_id AND EXISTS (SELECT 1 FROM c s WHERE "
-            "s.arrival_seq = s.reading_id AND s.device_id = c.device_id AND s.metric = c.metric AND s.ts = c.ts)"),
+            "SELECT reading_id FROM c WHERE EXISTS (SELECT 1 FROM c s WHERE s.device_id = c.device_id AND s.metric = c.metric "
+            "AND s.ts = c.ts AND (s.arrival_seq < c.arrival_seq OR s.arrival_seq = c.arrival_seq AND s.reading_id < c.reading_id))"),
         "j2_asof_backward": with_m(
             "SELECT p.reading_id, h.reading_id AS match_id, round(h.value, 6) AS match_value FROM m p "
             "LEFT JOIN LATERAL (SELECT reading_id, value FROM m g WHERE g.device_id = p.device_id "

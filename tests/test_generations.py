@@ -137,7 +137,7 @@ def test_log_of_many_batches_is_few_segments(spark, monkeypatch):
     append_log(batches[3], path, 4, batch_id=3)    # and of an old one
     assert sorted(r.reading_id for r in load_log(spark, path).collect()) == list(range(20))
     assert len({os.path.dirname(f) for f in load_log(spark, path).inputFiles()}) == 2
-    folders = [d for level in os.listdir(path) if level.startswith("level=") for d in os.listdir(os.path.join(path, level))]
+    folders = [d for level in os.listdir(path) if level.startswith("level-") for d in os.listdir(os.path.join(path, level))]
     assert len(folders) <= 6  # live ones and those that the version before still names
 
 
@@ -157,3 +157,42 @@ def test_a_thousand_triggers_leave_a_bounded_number_of_segments():
 def test_large_segments_are_not_merged_again():
     big = [{"level": 1, "rows": 60} for _ in range(8)]
     assert due(big, 8, 400) == [] and len(due(big, 8, 480)) == 8
+
+
+# -- existence probe -----------------------------------------------------------
+
+def test_probe_of_the_stored_table_reads_only_parts_that_may_hold_a_key(spark, monkeypatch):
+    import wattline.streaming.generations as g
+    from wattline.operators.measure import normalize
+    path = tempfile.mkdtemp(prefix="wl-probe-")
+    stored = [(f"d{d}", 1440 * day + 10 * i, float(i), "kals" if i == 3 else "kWh") for d in range(3) for day in range(4) for i in range(40)]
+    first, batch = batches_of(spark, [stored, [("d1", 1440 * 2 + 30, 5.0, "kWh"), ("d1", 1440 * 2 + 30, 6.0, "kWh"), ("d2", 1440 + 5, 1.0, "kWh"),
+                                               ("d9", 0, 1.0, "kWh"), ("d0", 1440 * 9, 1.0, "kWh"), ("D0 ", 10, 1.0, "Wh")]])
+    refresh_slices(spark, first, path, 0, buckets=2, hours=24)
+    asked, read = [], g.Store.rows
+    monkeypatch.setattr(g.Store, "rows", lambda self, parts: asked.append(list(parts)) or read(self, parts))
+    probes = normalize(batch)
+    got = sorted((r.device_external_id, r.value) for r in g.existing_stored(spark, probes, path).collect())
+    assert got == [("D0 ", 0.001), ("d1", 5.0), ("d1", 6.0)]
+    assert len(asked[0]) == 2  # d2's and d9's keys are in no filter; d0's ninth day is not stored
+    assert g.existing_stored(spark, probes, tempfile.mkdtemp()).count() == 0
+
+
+def test_filters_miss_nothing_and_rarely_err(spark):
+    import wattline.streaming.generations as g
+    path = tempfile.mkdtemp(prefix="wl-bloom-")
+    rows = [("d", 2 * i, 0.0, "kWh") for i in range(3000)]
+    refresh_slices(spark, batches_of(spark, [rows])[0], path, 0, buckets=1, hours=24 * 365)
+    from wattline.operators.measure import normalize
+    both = normalize(batches_of(spark, [[("d", i, 0.0, "kWh") for i in range(6000)]])[0])
+    assert g.existing_stored(spark, both, path).count() == 3000
+    from pyspark.sql import functions as F
+    store = g.current(spark, path)
+    keys = both.select("device_id", "metric", "ts").withColumn("blocks", g._blocks_of(F.lit(3000)))
+    bits = {}
+    for r in store.filters(store.parts).collect():
+        bits[r["block"]] = r["bits"]
+    hits = {}
+    for r in g._spots(keys).collect():
+        hits[r["ts"]] = hits.get(r["ts"], True) and bool(bits.get(r["block"], b"\0" * 4096)[r["bit"] // 8] >> (r["bit"] % 8) & 1)
+    assert sum(hits.values()) < 3000 + 100

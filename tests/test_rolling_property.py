@@ -46,3 +46,34 @@ def test_rolling_matches_queue(spark, rows, mode, width):
             assert got[k] is None, k
         else:
             assert abs(got[k] - v) < 1e-9, (k, got[k], v)
+
+
+def test_a_frame_of_a_hundred_thousand_rows_is_linear(spark):
+    """Every frame holds up to 10^5 rows; summing each anew would be 5 * 10^9 additions."""
+    import time
+
+    import numpy as np
+    from pyspark.sql import functions as F
+    n = 100_000
+    df = spark.range(n).select(F.lit("x").alias("label"), F.timestamp_micros(F.col("id") * 250_000).alias("ts"),
+                               (F.col("id") % 997 / 7).alias("value"), (F.col("id") % 13 / 3).alias("delta"), "id")
+    began = time.time()
+    got = {r["id"]: r["value"] for r in rolling(df, "rolling_sum", 24 * 60, by=["label"], order=["id"]).where("id % 9973 = 0 or id > 99990").collect()}
+    assert time.time() - began < 60
+    sums = np.cumsum([i % 13 / 3 for i in range(n)])
+    assert got and all(abs(v - sums[i]) < 1e-6 for i, v in got.items())
+
+
+def test_values_that_left_the_frame_leave_no_trace(spark):
+    """Infinities, NaN and huge values count while they are in the frame and not after it."""
+    import math
+    import datetime as dt
+    values = [0.1, math.inf, 0.2, math.nan, 0.3, -math.inf, 1e20, 0.7, None, 1e15, 2.5, 0.1]
+    at = dt.datetime(2024, 1, 1)
+    rows = [("x", at + dt.timedelta(minutes=10 * i), v, v, i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "label string, ts timestamp, value double, delta double, id long")
+    got = {r["id"]: r["value"] for r in rolling(df, "rolling_avg", 10, by=["label"], order=["id"]).collect()}
+    for i in range(len(values)):
+        inside = [v for v in values[max(0, i - 1):i + 1] if v is not None]
+        want = sum(inside) / len(inside) if inside else None
+        assert (got[i] is None) if want is None else (math.isnan(got[i]) if math.isnan(want) else got[i] == want or abs(got[i] - want) < 1e-12 * abs(want))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SERIES
+from .measure import arrival_key
 from .scan import Scan, sliced_scan
 
 SLICE_SECONDS = 3600
@@ -28,6 +29,14 @@ def flag_existing(batch: DataFrame, log: DataFrame) -> DataFrame:
                  .withColumn("exists_in_log", F.coalesce("exists_in_log", F.lit(False))))
 
 
+def arrived_before(batch: DataFrame, log: DataFrame) -> DataFrame:
+    """J1 for readings that are in the log themselves: batch rows (``arrival_seq``,
+    ``reading_id``) whose (device, metric, ts) an earlier arrival of any quality holds.
+    The log is cut to the first arrival of each key by partial aggregates."""
+    first = log.groupBy(*KEYS).agg(F.min(arrival_key("arrival_seq", "reading_id")).alias("_first"))
+    return batch.join(first, on=KEYS).where(F.col("_first") < arrival_key("arrival_seq", "reading_id")).drop("_first")
+
+
 def _union_scan(probes: DataFrame, log: DataFrame, log_filter, side: str, how: str,
                 slice_seconds: int) -> DataFrame:
     contrib = F.struct(F.unix_micros("ts").alias("tmic"), "arrival_seq", "reading_id", "value")

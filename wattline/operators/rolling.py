@@ -2,8 +2,13 @@
 
 Trailing frame ``t - width <= t' <= t`` per label.  Rows that share a ts are
 taken one by one in input order, like a streaming queue: a row does not see
-peers that come after it.  That is ``RANGE`` minus the later peers, both
-computed by windows on one partitioning.
+peers that come after it.
+
+Linear frames: Spark sums a sliding ``RANGE`` frame anew for every row, so dense
+readings under a long window cost rows times frame.  Here every row gets the
+prefix sums up to itself, and those up to its frame's lower edge come from an
+as-of scan over the same partitions (the last point of time before the edge);
+the frame's sum is their difference.  Both scans are growing frames: one pass.
 
 Skew: a label can be one huge series, so rows are cut into time slices; each
 row also lands, as a read-only *halo* copy, in each following slice whose
@@ -42,7 +47,6 @@ def rolling(df: DataFrame, mode: str, minutes=DEFAULT_MINUTES, by: Sequence[str]
     width = window_micros(minutes)
     slice_w = slice_micros or max(8 * width, 86_400_000_000)
     base = (F.col("value") if mode == "rolling_avg" else F.coalesce(F.col("delta"), F.lit(0.0)))
-    cnt = F.col("_b").isNotNull().cast("long")
 
     t = (df.withColumn("_t", F.unix_micros(F.col(ts_col)))
            .withColumn("_b", base)
@@ -57,27 +61,59 @@ def rolling(df: DataFrame, mode: str, minutes=DEFAULT_MINUTES, by: Sequence[str]
           .withColumn("_slice", F.col("_s0") + F.col("_off")))
 
     part = by + ["_slice"]
-    frame = Window.partitionBy(*part).orderBy("_t").rangeBetween(-width, 0)
-    # Later peers as a prefix of the descending order: a growing frame, which
-    # Spark evaluates in one pass (``unboundedFollowing`` is summed anew per row).
-    peers = (Window.partitionBy(*part, "_t").orderBy(*[F.col(c).desc() for c in (*order, "_off")])
-             .rowsBetween(Window.unboundedPreceding, -1)) if order else None
-    t = t.withColumn("_sum", F.sum("_b").over(frame)).withColumn("_cnt", F.sum(cnt).over(frame))
-    if peers is not None:
-        t = (t.withColumn("_psum", F.sum("_b").over(peers))
-              .withColumn("_pcnt", F.sum(cnt).over(peers)))
-        later = F.coalesce(F.col("_pcnt"), F.lit(0)) > 0
-        s = F.when(later, F.col("_sum") - F.coalesce(F.col("_psum"), F.lit(0.0))).otherwise(F.col("_sum"))
-        c = F.col("_cnt") - F.coalesce(F.col("_pcnt"), F.lit(0))
-    else:
-        s, c = F.col("_sum"), F.col("_cnt")
-    if mode == "rolling_avg":
-        rolled = F.when(c > 0, s / c)
-    else:
-        rolled = F.coalesce(s, F.lit(0.0))
-    return (t.where(F.col("_off") == 0)
-             .withColumn("value", rolled)
-             .drop("_t", "_b", "_s0", "_off", "_slice", "_sum", "_cnt", "_psum", "_pcnt"))
+    t = _with_prefix(t, part, list(order))
+    # The rows as points of time, each with the sums up to it, and for every row of the slice itself a
+    # probe at its frame's lower edge, which stands before the points of its time.
+    point = F.struct(F.col("_t").alias("at"), F.lit(1).alias("kind"))
+    probe = F.struct((F.col("_t") - F.lit(width)).alias("at"), F.lit(0).alias("kind"))
+    t = t.withColumn("_e", F.explode(F.when(F.col("_off") == 0, F.array(point, probe)).otherwise(F.array(point))))
+    earlier = (Window.partitionBy(*part).orderBy("_e.at", "_e.kind", *order, "_off")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("_edge", F.last(F.when(F.col("_e.kind") == 1, F.col("_upto")), ignorenulls=True).over(earlier))
+    t = t.where("_e.kind = 0")
+
+    def inside(name: str) -> Column:
+        return F.col(f"_upto.{name}") - F.coalesce(F.col(f"_edge.{name}"), F.lit(0))
+
+    c = inside("n")
+    total = _total({k: inside(k) for k in _PREFIX})
+    rolled = F.when(c > 0, total / c) if mode == "rolling_avg" else F.when(c > 0, total).otherwise(F.lit(0.0))
+    return t.withColumn("value", rolled).drop("_t", "_b", "_s0", "_off", "_slice", "_upto", "_edge", "_e")
+
+
+# Prefix sums are exact, so a value that has left the frame leaves no trace in it: values below 1e14 are
+# decimals of 14 places, those below 1e28 whole decimals, and infinities and NaN are counted.  Only
+# values beyond are summed as doubles (beside a count, so that they do not blur frames without any).
+_LARGE, _HUGE = 1e14, 1e28
+_PREFIX = ("n", "plain", "large", "huge", "n_huge", "n_up", "n_down", "n_nan")
+
+
+def _with_prefix(t: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+    """Add ``_upto``: sums over the partition's rows up to each row (with all its peers when no
+    order tells them apart).  Growing frames, so one pass."""
+    w = Window.partitionBy(*part)
+    w = (w.orderBy("_t", *order, "_off").rowsBetween(Window.unboundedPreceding, 0) if order
+         else w.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
+    b = F.col("_b").cast("double")
+    nan, up, down = F.isnan(b), b == float("inf"), b == float("-inf")
+    size = F.abs(b)
+    huge = ~nan & (size >= _HUGE) & ~up & ~down
+    one = lambda cond: F.count(F.when(cond, 1)).over(w)
+    exact = lambda cond, kind: F.coalesce(F.sum(F.when(cond, b.cast(kind))).over(w), F.lit(0).cast(kind))
+    return t.withColumn("_upto", F.struct(
+        F.count("_b").over(w).alias("n"),
+        exact(~nan & (size < _LARGE), "decimal(38,14)").alias("plain"),
+        exact(~nan & (size >= _LARGE) & (size < _HUGE), "decimal(38,0)").alias("large"),
+        F.coalesce(F.sum(F.when(huge, b)).over(w), F.lit(0.0)).alias("huge"),
+        one(huge).alias("n_huge"), one(up).alias("n_up"), one(down).alias("n_down"), one(nan).alias("n_nan")))
+
+
+def _total(x: dict[str, Column]) -> Column:
+    """The frame's sum as a double from its differences of prefix sums."""
+    finite = (x["plain"].cast("double") + x["large"].cast("double")
+              + F.when(x["n_huge"] > 0, x["huge"]).otherwise(F.lit(0.0)))
+    return (F.when((x["n_nan"] > 0) | ((x["n_up"] > 0) & (x["n_down"] > 0)), F.lit(float("nan")))
+            .when(x["n_up"] > 0, F.lit(float("inf"))).when(x["n_down"] > 0, F.lit(float("-inf"))).otherwise(finite))
 
 
 def mode_value(mode: str) -> Column:

@@ -58,7 +58,7 @@ def append_segment(readings: DataFrame, path: str, batch_id: int, fan: int = FAN
     if (manifest.versions() or [batch_id])[-1] > batch_id:
         return read_segments(spark, path, manifest.load()[1]["segments"]).where(F.col("batch_id") == batch_id)
     segments = manifest.load(before=batch_id)[1].get("segments", [])
-    name = f"level=0/batch={batch_id}"
+    name = f"level-0/batch-{batch_id}"
     _write(readings, f"{path}/{name}")
     own = read_segments(spark, path, [{"name": name}])
     rows, written = own.count(), [name]
@@ -82,7 +82,7 @@ def merged(spark: SparkSession, path: str, segments: list[dict], fan: int, max_r
     """The segments after all merges that are due; ``written`` takes the folders these write."""
     while side := due(segments, fan, max_rows):
         level, first, last = side[0]["level"] + 1, side[0]["first"], side[-1]["last"]
-        name = f"level={level}/batches={first}-{last}"
+        name = f"level-{level}/batches-{first}-{last}"
         _write(read_segments(spark, path, side), f"{path}/{name}")
         new = {"name": name, "level": level, "first": first, "last": last, "rows": sum(s["rows"] for s in side)}
         at = segments.index(side[0])

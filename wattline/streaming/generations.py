@@ -50,6 +50,7 @@ _ANY = f"struct<{_READING}, f_seq: long, f_id: long, f_value: double, f_bad: boo
 STATES = (f"bucket long, device_id string, metric string, slice long, has_orig boolean, orig {_ORIG}, any {_ANY}, "
           f"c_orig {_ORIG}, c_any {_ANY}")
 HEADS = f"bucket long, device_id string, metric string, last_slice long, orig {_ORIG}, any {_ANY}"
+FILTERS = "bucket long, slice long, block long, bits binary"
 ROWS = T.StructType([*MEASUREMENT, T.StructField("bucket", T.LongType()), T.StructField("slice", T.LongType())])
 
 
@@ -90,9 +91,13 @@ class Store:
         return self._read(HEADS, [self.folder("heads", b) for b in buckets if b in self.heads])
 
 
+    def filters(self, parts) -> DataFrame:
+        return self._read(FILTERS, [self.folder("filters", b, s) for b, s in parts])
+
+
 def folders_of(content: dict) -> list[str]:
     store = Store(None, "", content)
-    return [*(store.folder(kind, *part) for part in store.parts for kind in ("rows", "states")),
+    return [*(store.folder(kind, *part) for part in store.parts for kind in ("rows", "states", "filters")),
             *(store.folder("heads", b) for b in store.heads)]
 
 
@@ -136,22 +141,77 @@ def own_states(rows: DataFrame) -> DataFrame:
     return with_last.groupBy(*PAIR).agg(F.max("orig").alias("orig"), F.max("any").alias("any"))
 
 
+# -- existence probe -----------------------------------------------------------
+
+BLOCK_BITS = 32_768   # of one bitmap
+KEY_BITS, PROBES = 12, 3
+
+
+def _blocks_of(rows: Column) -> Column:
+    """Bitmaps in the filter of a part with so many rows."""
+    return F.ceil(rows * KEY_BITS / BLOCK_BITS).cast("long")
+
+
+def _spots(keyed: DataFrame) -> DataFrame:
+    """The bits of a key in the filter of its part (``blocks`` bitmaps): block, bit."""
+    h = F.xxhash64("device_id", "metric", "ts")
+    return (keyed.withColumn("spot", F.explode(F.array(*[F.pmod(F.xxhash64(h, F.lit(k)), F.col("blocks") * BLOCK_BITS) for k in range(PROBES)])))
+            .withColumn("block", F.floor(F.col("spot") / BLOCK_BITS).cast("long")).withColumn("bit", F.col("spot") % BLOCK_BITS).drop("spot"))
+
+
+def _with_blocks(keyed: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
+    """Keys of the named parts with their filter's number of bitmaps (one row per part is sent along)."""
+    parts = keyed.sparkSession.createDataFrame([(*p, n) for p, n in sizes.items()], "bucket long, slice long, n long")
+    return keyed.join(F.broadcast(parts.select("bucket", "slice", _blocks_of(F.col("n")).alias("blocks"))), ["bucket", "slice"])
+
+
+def _write_filters(rows: DataFrame, sizes: dict[tuple[int, int], int], path: str) -> None:
+    """One Bloom filter per part over its keys (device, metric, ts), as bitmaps."""
+    spots = _spots(_with_blocks(rows.select("bucket", "slice", *SERIES, "ts"), sizes))
+    _write(spots.groupBy("bucket", "slice", "block").agg(F.bitmap_construct_agg("bit").alias("bits")), path, ["bucket", "slice"], ["block"])
+
+
+def existing_stored(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
+    """J1 against the stored table: the rows of ``batch`` (series, ts) that it holds already.
+
+    Only parts that the batch falls into are asked, by their filters first; rows are read
+    from those parts alone whose filter may hold a key, and compared exactly."""
+    store = current(spark, path)
+    if store is None:
+        return batch.limit(0)
+    keys = materialize(batch.select(*SERIES, "ts").distinct().withColumn("bucket", measurement_bucket("device_id", "metric", store.buckets))
+                       .withColumn("slice", slice_of("ts", store.hours)), "probed-keys")
+    asked = [p for p in sorted((r["bucket"], r["slice"]) for r in keys.select("bucket", "slice").distinct().collect()) if p in store.parts]
+    if not asked:
+        return batch.limit(0)
+    spots = _spots(_with_blocks(keys, {p: store.parts[p][1] for p in asked}))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    lit = F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1
+    may = (spots.join(store.filters(asked), ["bucket", "slice", "block"]).groupBy(*PAIR, "ts")
+           .agg(F.sum(lit.cast("int")).alias("n")).where(F.col("n") == PROBES))
+    may = materialize(may.select(*PAIR, "ts"), "possible-keys")
+    parts = sorted((r["bucket"], r["slice"]) for r in may.select("bucket", "slice").distinct().collect())
+    held = store.rows(parts).select(*SERIES, "ts").join(may.select(*SERIES, "ts"), [*SERIES, "ts"], "left_semi")
+    return batch.join(held, [*SERIES, "ts"], "left_semi")
+
+
 # -- refresh -----------------------------------------------------------------
 
 def _same(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
     return left.join(right, list(keys), how)
 
 
-def _ahead(store: Store, late: DataFrame) -> DataFrame:
+def _ahead(store: Store, late: DataFrame) -> DataFrame | None:
     """States after each late pair (``late``: pair, ``last_slice``) up to the first with a good
-    original: pair keys of the late slice as ``from_slice``, and the state.
+    original, with the late slice as ``from_slice`` and the carry; None without late pairs.
 
     The states are asked for 1, 4, 16, ... slices ahead until every pair has met one, so
     how much is read depends on how far the next good original is, not on the history."""
-    late = materialize(late.select(*PAIR, "last_slice"), "late-pairs")
     asked = {(r["bucket"], r["slice"]) for r in late.select("bucket", "slice").distinct().collect()}  # parts, not rows
-    reach, found = 1, None
-    while asked:
+    if not asked:
+        return None
+    late, reach = materialize(late.select(*PAIR, "last_slice"), "late-pairs"), 1
+    while True:
         wanted = {b: [s for b2, s in asked if b2 == b] for b in {b for b, _ in asked}}
         parts = [(b, s) for b, s in sorted(store.parts) if any(a < s <= a + reach for a in wanted.get(b, ()))]
         ahead = store.states(parts).withColumnRenamed("slice", "to_slice")
@@ -161,10 +221,8 @@ def _ahead(store: Store, late: DataFrame) -> DataFrame:
                  .withColumnsRenamed({"slice": "from_slice", "to_slice": "slice"}))
         open_ = _same(late, first, PAIR).where(F.col("until").isNull() & (F.col("last_slice") > F.col("slice") + reach))
         if not open_.limit(1).count():
-            return found.select(*PAIR, "from_slice", "has_orig", "orig", "any", "c_orig", "c_any")
+            return materialize(found.select(*PAIR, "from_slice", "c_orig", "c_any"), "slices-ahead")
         reach *= 4
-    return store.states([]).withColumn("from_slice", F.lit(None).cast("long")).select(
-        *PAIR, "from_slice", "has_orig", "orig", "any", "c_orig", "c_any")
 
 
 def _seed_rows(carried: DataFrame) -> DataFrame:
@@ -200,9 +258,9 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
                                "ts", "metric", "value", "unit", "is_normal", "is_bad", "ingest_time").withColumn("bucket", measurement_bucket("device_id", "metric", store.buckets))
                       .withColumn("slice", slice_of("ts", store.hours)), "new-readings")
     pairs = materialize(new.groupBy(*PAIR).agg(F.max("ts").alias("max_ts"), F.min("arrival_seq").alias("first_seq")), "new-pairs")
-    first_seq = pairs.agg(F.min("first_seq")).first()[0]
-    mine = sorted((r["bucket"], r["slice"]) for r in pairs.select("bucket", "slice").distinct().collect())  # parts, not rows
-    if first_seq is None:
+    seen = {(r["bucket"], r["slice"]): r["seq"] for r in pairs.groupBy("bucket", "slice").agg(F.min("first_seq").alias("seq")).collect()}
+    mine = sorted(seen)  # parts, not rows
+    if not mine:
         manifest.commit(batch_id, store.content(), folders_of)
         return {"rows_read": 0, "parts_read": 0, "parts_written": 0}
     heads = store.series_heads(sorted({b for b, _ in mine}))
@@ -211,19 +269,20 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
     own = materialize(_same(_same(pairs, heads.withColumnsRenamed({"orig": "h_orig", "any": "h_any"}), ["bucket", *SERIES]), known, PAIR), "touched")
     # A late reading before its slice's last good original meets the next one inside the slice.
     beyond = F.col("s_orig").isNull() | (F.col("max_ts") >= F.col("s_orig.ts"))
-    ahead = materialize(_ahead(store, own.where((F.col("slice") < F.col("last_slice")) & beyond)), "slices-ahead")
+    ahead = _ahead(store, own.where((F.col("slice") < F.col("last_slice")) & beyond))
     # The carry into a touched slice: its own, that of the next one where it is new among older
     # slices, or the head's where it lies past it.
-    nearest = ahead.groupBy(*SERIES, "bucket", F.col("from_slice").alias("slice")).agg(
-        F.min_by(F.struct("c_orig", "c_any"), "slice").alias("next"))
-    carried = (_same(own, nearest, PAIR)
-               .select(*PAIR, F.when(F.col("known"), F.col("s_c_orig")).when(F.col("slice") > F.col("last_slice"), F.col("h_orig"))
-                       .otherwise(F.col("next.c_orig")).alias("c_orig"),
-                       F.when(F.col("known"), F.col("s_c_any")).when(F.col("slice") > F.col("last_slice"), F.col("h_any"))
-                       .otherwise(F.col("next.c_any")).alias("c_any"))
-               .unionByName(ahead.select(*PAIR, "c_orig", "c_any")))
-    region = materialize(carried.dropDuplicates(PAIR), "region")
-    opened = sorted((r["bucket"], r["slice"]) for r in region.select("bucket", "slice").distinct().collect())  # parts, not rows
+    own_carry = [F.when(F.col("known"), F.col(f"s_c_{x}")).when(F.col("slice") > F.col("last_slice"), F.col(f"h_{x}")) for x in ("orig", "any")]
+    if ahead is None:
+        region, opened = own.select(*PAIR, own_carry[0].alias("c_orig"), own_carry[1].alias("c_any")), mine
+    else:
+        nearest = ahead.groupBy("bucket", *SERIES, F.col("from_slice").alias("slice")).agg(
+            F.min_by(F.struct("c_orig", "c_any"), "slice").alias("next"))
+        carried = (_same(own, nearest, PAIR)
+                   .select(*PAIR, own_carry[0].otherwise(F.col("next.c_orig")).alias("c_orig"), own_carry[1].otherwise(F.col("next.c_any")).alias("c_any"))
+                   .unionByName(ahead.select(*PAIR, "c_orig", "c_any")))
+        region = materialize(carried.dropDuplicates(PAIR), "region")
+        opened = sorted((r["bucket"], r["slice"]) for r in region.select("bucket", "slice").distinct().collect())  # parts, not rows
     stored = store.rows([p for p in opened if p in store.parts])
     inside = region.select(*PAIR, F.lit(True).alias("_in"))
     marked = _same(stored, inside, PAIR)
@@ -237,7 +296,7 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
               .unionByName(seeds.withColumn("_kind", F.lit(2)), allowMissingColumns=True))
     derived = derive_placed(united, delta_mode, keep=["_kind", "bucket", "slice", *(f"s_{c}" for c in flags)], source="_source")
     fresh = F.col("_kind") == 0
-    taken = fresh | (F.col("_source") >= F.lit(first_seq).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)"))
+    taken = fresh | (F.col("_source") >= F.lit(min(seen.values())).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)"))
     changed = derived.where("_kind < 2").select(
         *[F.when(F.coalesce(taken, F.lit(False)), F.col(c)).otherwise(F.col(f"s_{c}")).alias(c) if c in ("delta", "is_reset")
           else F.when(fresh, F.col(c)).otherwise(F.col(f"s_{c}")).alias(c) if c in flags else F.col(c) for c in MEASUREMENT_COLUMNS],
@@ -247,9 +306,10 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
     _write(changed.unionByName(rest), root, ["bucket", "slice"], [*SERIES, "ts"])
     written = spark.read.schema(ROWS).parquet(*[f"{root}/p_bucket={b}/p_slice={s}" for b, s in opened])
     read = [p for p in opened if p in store.parts]
-    _write_states(store, batch_id, written, region, opened)
-    _write_heads(store, batch_id, own)
     counts = {(r["bucket"], r["slice"]): r["count"] for r in written.groupBy("bucket", "slice").count().collect()}  # parts
+    _write_states(store, batch_id, written, region, opened)
+    _write_heads(store, batch_id, own, sorted({b for b, _ in mine}))
+    _write_filters(written, counts, f"{store.path}/filters/generation={batch_id}")
     stats = {"rows_read": sum(store.parts[p][1] for p in read), "parts_read": len(read), "parts_written": len(opened)}
     store.parts.update({p: [batch_id, counts[p]] for p in opened})
     store.heads.update({b: batch_id for b, _ in opened})
@@ -268,9 +328,8 @@ def _write_states(store: Store, generation: int, written: DataFrame, region: Dat
     _write(fresh.unionByName(kept), f"{store.path}/states/generation={generation}", ["bucket", "slice"], SERIES)
 
 
-def _write_heads(store: Store, generation: int, own: DataFrame) -> None:
+def _write_heads(store: Store, generation: int, own: DataFrame, buckets: list[int]) -> None:
     """Heads of the touched buckets: those of the touched series moved on by their new states."""
-    buckets = sorted({r["bucket"] for r in own.select("bucket").distinct().collect()})
     opened = [f"{store.path}/states/generation={generation}"]
     states = store.spark.read.schema(STATES).option("recursiveFileLookup", "true").parquet(*opened)
     moved = (_same(states, own.select("bucket", *SERIES).distinct(), ["bucket", *SERIES], "left_semi").groupBy("bucket", *SERIES)
