@@ -26,12 +26,13 @@ from wattline.operators.dims import resolve_dimension
 from wattline.operators.measure import derive_measurements, normalize, placeable
 from wattline.operators.pivot import overlay_bad, pivot_labels
 from wattline.operators.rolling import rolling
-from wattline.plans import charts, queries as q
+from wattline.plans import charts, queries as q, rollup
 from wattline.plans.oracle import ENERGY as SQL_ENERGY, bucket as sql_bucket, iso as sql_iso, uuid5_sql, with_m
 from wattline.session import ensure_checkpoint_dir, materialize
 from wattline.sources.batches import (append_log, load_log, load_measurements, read_batches, read_bodies, rejected_bodies,
                                       write_batches, write_measurements)
 from wattline.sources.tables import readings_from_events, table
+from wattline.streaming.generations import refresh_slices
 from wattline.streaming.ingest import events_as_batches, ingest_stream, process_batch
 from wattline.streaming.late_flag import FLAGS as LATE_FLAGS, late_flag_stream
 
@@ -423,6 +424,31 @@ def _r1(spark, sf):
     return _reading_rows(load_measurements(spark, f"{_ingested(spark, sf)}/measurements"))
 
 
+def _kept(spark, sf, triggers=3):
+    """Path of a stored table that took the readings in several refreshes, late ones across them."""
+    path = _scratch(spark, "kept")
+    r = readings_from_events(spark, sf)
+    last = r.agg(F.max("arrival_seq")).first()[0]
+    for k in range(triggers):
+        refresh_slices(spark, r.where(F.floor(F.col("arrival_seq") * triggers / (last + 1)) == k), path, k, **STORED)
+    return path
+
+
+def _rollup(spark, sf):
+    """Aggregates and totals from the rollup of the stored table, after late repairs."""
+    path = _kept(spark, sf)
+    wide = {"all": rollup.aggregated(spark, path), "building": rollup.aggregated(spark, path, BUILDING),
+            "range": rollup.aggregated(spark, path, start=RANGE_START, end=RANGE_END, minutes=30), "bad": rollup.bad_points(spark, path)}
+    totals = {"total": {}, "total building": {"building": BUILDING}, "total device": {"building": BUILDING, "device": DEVICE},
+              "total range": {"start": RANGE_START, "end": RANGE_END}}
+    rows = [_agg_out(df).withColumn("kind", F.lit(k)) for k, df in wide.items()]
+    none = F.lit(None)
+    rows += [rollup.sum_deltas(spark, path, **args).select(
+        none.cast("string").alias("ts"), none.cast("string").alias("label"), none.cast("double").alias("value"), _r("sum_delta").alias("delta"),
+        F.lit(k).alias("kind")) for k, args in totals.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _r4(spark, sf):
     """Late flags from per-series state; the log grows in five triggers and the stream follows it."""
     root = _scratch(spark, "late")
@@ -523,6 +549,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f5_legacy_in_overlay": _f5,
         "f5b_legacy_in_aggregate": _f5b,
         "a7_scopes": _a7,
+        "a_rollup": _rollup,
         "c2_spellings": _c2,
         "c15_display": _c15,
         "c16_payload_text": _c16,
@@ -766,6 +793,18 @@ def _oracle_sql() -> dict[str, str]:
             "SELECT 'aggregate device', 0 UNION ALL SELECT 'bad all', count(*) FROM a3 UNION ALL SELECT 'bad building', 0 "
             f"UNION ALL SELECT 'total all wins', round(coalesce(sum(delta), 0), 6) FROM m WHERE {GOOD} UNION ALL "
             f"SELECT 'total device', round(coalesce(sum(delta), 0), 6) FROM m WHERE {GOOD} AND device_id = '{DEVICE}'"),
+        "a_rollup": with_m(" UNION ALL ".join([
+            "SELECT *, 'all' AS kind FROM (" + _sql_agg(GOOD, ", building_id, building_name", "building_name") + ")",
+            "SELECT *, 'building' FROM (" + _sql_agg(f"{GOOD} AND building_id = '{BUILDING}'", "", "'Total'") + ")",
+            "SELECT *, 'range' FROM (" + f"SELECT {sql_iso('b')} AS ts, building_name AS label, round(avg(value), 6) AS value, "
+            f"round(sum(coalesce(delta, 0)), 6) AS delta FROM (SELECT *, {sql_bucket('ts', 30)} AS b FROM m "
+            f"WHERE {GOOD} AND {rng}) GROUP BY b, building_id, building_name)",
+            "SELECT *, 'bad' FROM (" + _sql_agg(
+                "(metric = 'energy_kwh_total' OR (metric = 'energy' AND is_bad)) AND is_bad AND NOT is_duplicate",
+                ", building_id, building_name", "building_name") + ")",
+            *[f"SELECT NULL, NULL, NULL, round(coalesce(sum(delta), 0), 6), '{k}' FROM m WHERE {GOOD}{more}" for k, more in (
+                ("total", ""), ("total building", f" AND building_id = '{BUILDING}'"), ("total device", f" AND device_id = '{DEVICE}'"),
+                ("total range", f" AND {rng}"))]])),
         "c2_spellings": (
             "WITH s AS (SELECT event_id, value, lower(trim(mt)) AS mk, lower(trim(ut)) AS uk, mt, ut FROM (SELECT *, "
             f"({METRICS})[event_id % {len(METRICS)} + 1] AS mt, ({UNITS})[event_id // {len(METRICS)} % {len(UNITS)} + 1] AS ut "

@@ -196,3 +196,31 @@ def test_filters_miss_nothing_and_rarely_err(spark):
     for r in g._spots(keys).collect():
         hits[r["ts"]] = hits.get(r["ts"], True) and bool(bits.get(r["block"], b"\0" * 4096)[r["bit"] // 8] >> (r["bit"] % 8) & 1)
     assert sum(hits.values()) < 3000 + 100
+
+
+# -- rollup ----------------------------------------------------------------------
+
+def test_rollup_answers_as_the_rows_do_after_late_repairs(spark):
+    from wattline.plans import queries as q, rollup
+    path = tempfile.mkdtemp(prefix="wl-rollup-")
+    batches = batches_of(spark, random_parts(11, 2, 60, 8))
+    for k, b in enumerate(batches):
+        refresh_slices(spark, b, path, k, buckets=2, hours=24)
+    m = derive_measurements(batches[0].unionByName(batches[1])).cache()
+    b1 = m.first()["building_id"]
+    rows = lambda df: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()]
+    ranges = [(None, None), (DAY + dt.timedelta(minutes=31), DAY + dt.timedelta(days=3, minutes=59, seconds=59)),
+              (DAY, DAY + dt.timedelta(days=2) - dt.timedelta(microseconds=1)), (DAY + dt.timedelta(hours=2, minutes=1), DAY + dt.timedelta(hours=2, minutes=9))]
+    for start, end in ranges:
+        for minutes in (60, 7):
+            want = q.aggregated(m, start=start, end=end, minutes=minutes)
+            assert rows(rollup.aggregated(spark, path, start=start, end=end, minutes=minutes).select(*want.columns)) == rows(want)
+        want = q.bad_points(m, start=start, end=end, minutes=30)
+        assert rows(rollup.bad_points(spark, path, start=start, end=end, minutes=30).select(*want.columns)) == rows(want)
+        assert rows(rollup.sum_deltas(spark, path, start=start, end=end)) == rows(q.sum_deltas(m, start=start, end=end))
+    want = q.aggregated(m, b1)
+    assert rows(rollup.aggregated(spark, path, b1).select(*want.columns)) == rows(want)
+    assert rollup.aggregated(spark, path, b1, "x").count() == 0 and rollup.bad_points(spark, path, b1).count() == 0
+    device = m.first()["device_id"]
+    for args in ({"building": b1}, {"building": b1, "device": device}, {"building": "none"}):
+        assert rows(rollup.sum_deltas(spark, path, **args)) == rows(q.sum_deltas(m, **args))

@@ -21,7 +21,8 @@ and for every series a head: its last slice, and both over all slices.  A refres
 2. derives the new readings together with the stored rows of the touched slices and the
    carried rows (``derive_placed``, either delta mode);
 3. keeps a stored row's delta unless the reading it is taken against now is a new one;
-4. writes the touched parts, their states and heads as a generation, and switches.
+4. writes the touched parts, their states, heads, key filters (for ``existing_stored``) and
+   rollup (for ``plans.rollup``) as a generation, and switches.
 
 It reads and writes touched parts, their states, and the heads of touched buckets:
 slices and series, not history.  A replay of the last micro-batch starts from the
@@ -36,6 +37,7 @@ from pyspark.sql import types as T
 
 from ..functions.filters import time_range
 from ..functions.text import ENERGY_METRIC, LEGACY_ENERGY_METRIC
+from ..functions.time import bucket
 from ..operators.measure import arrival_key, derive_placed, normalize, placeable
 from ..schemas import MEASUREMENT, MEASUREMENT_COLUMNS, SERIES
 from ..session import materialize
@@ -50,6 +52,9 @@ _ANY = f"struct<{_READING}, f_seq: long, f_id: long, f_value: double, f_bad: boo
 STATES = (f"bucket long, device_id string, metric string, slice long, has_orig boolean, orig {_ORIG}, any {_ANY}, "
           f"c_orig {_ORIG}, c_any {_ANY}")
 HEADS = f"bucket long, device_id string, metric string, last_slice long, orig {_ORIG}, any {_ANY}"
+ROLLUP = ("bucket long, slice long, ts timestamp, building_id string, building_name string, device_id string, metric string, "
+          "is_bad boolean, n long, sum_value double, sum_delta double")
+ROLLUP_MINUTES = 15
 FILTERS = "bucket long, slice long, block long, bits binary"
 ROWS = T.StructType([*MEASUREMENT, T.StructField("bucket", T.LongType()), T.StructField("slice", T.LongType())])
 
@@ -91,13 +96,26 @@ class Store:
         return self._read(HEADS, [self.folder("heads", b) for b in buckets if b in self.heads])
 
 
+    def rollup(self, parts) -> DataFrame:
+        return self._read(ROLLUP, [self.folder("rollup", b, s) for b, s in parts])
+
+    def parts_of(self, device: str | None = None, metrics=(), start=None, end=None) -> list[tuple[int, int]]:
+        """Live parts that a device (with its metrics) and a range of time can be in."""
+        parts = sorted(self.parts)
+        if device is not None:
+            homes = self.spark.range(1).select(*[measurement_bucket(F.lit(device), F.lit(n), self.buckets) for n in metrics]).first()
+            parts = [p for p in parts if p[0] in set(homes)]
+        low, high = self.spark.range(1).select(*[F.lit(None).cast("long") if x is None else slice_of(F.lit(x).cast("timestamp"), self.hours)
+                                                 for x in (start, end)]).first()
+        return [(b, s) for b, s in parts if (low is None or s >= low) and (high is None or s <= high)]
+
     def filters(self, parts) -> DataFrame:
         return self._read(FILTERS, [self.folder("filters", b, s) for b, s in parts])
 
 
 def folders_of(content: dict) -> list[str]:
     store = Store(None, "", content)
-    return [*(store.folder(kind, *part) for part in store.parts for kind in ("rows", "states", "filters")),
+    return [*(store.folder(kind, *part) for part in store.parts for kind in ("rows", "states", "filters", "rollup")),
             *(store.folder("heads", b) for b in store.heads)]
 
 
@@ -111,15 +129,8 @@ def load_slices(spark: SparkSession, path: str, device: str | None = None, metri
     """S4 over the sliced store: a device (with its metric) opens its bucket only, a time
     range only its slices."""
     store = current(spark, path)
-    parts = sorted(store.parts)
-    if device is not None:
-        names = sorted({metric, LEGACY_ENERGY_METRIC} if metric == ENERGY_METRIC else {metric})
-        homes = spark.range(1).select(*[measurement_bucket(F.lit(device), F.lit(n), store.buckets) for n in names]).first()
-        parts = [p for p in parts if p[0] in set(homes)]
-    bounds = spark.range(1).select(*[F.lit(None).cast("long") if x is None else slice_of(F.lit(x).cast("timestamp"), store.hours)
-                                     for x in (start, end)]).first()
-    parts = [(b, s) for b, s in parts if (bounds[0] is None or s >= bounds[0]) and (bounds[1] is None or s <= bounds[1])]
-    df = store.rows(parts)
+    names = sorted({metric, LEGACY_ENERGY_METRIC} if metric == ENERGY_METRIC else {metric})
+    df = store.rows(store.parts_of(device, names, start, end))
     if device is not None:
         df = df.where((F.col("device_id") == device) & F.col("metric").isin(names))
     return df.where(time_range(start, end)).select(*MEASUREMENT_COLUMNS)
@@ -141,6 +152,14 @@ def own_states(rows: DataFrame) -> DataFrame:
     return with_last.groupBy(*PAIR).agg(F.max("orig").alias("orig"), F.max("any").alias("any"))
 
 
+def rolled_up(rows: DataFrame) -> DataFrame:
+    """Mergeable sums and counts of originals by quarter of an hour, building, device, metric and
+    quality (``ROLLUP``); sums over them give every bucket that is a multiple and every total."""
+    return (rows.where(~F.col("is_duplicate")).groupBy("bucket", "slice", bucket("ts", ROLLUP_MINUTES).alias("ts"), "building_id",
+                                                       "building_name", "device_id", "metric", "is_bad")
+            .agg(F.count("value").alias("n"), F.sum("value").alias("sum_value"), F.sum(F.coalesce("delta", F.lit(0.0))).alias("sum_delta")))
+
+
 # -- existence probe -----------------------------------------------------------
 
 BLOCK_BITS = 32_768   # of one bitmap
@@ -310,6 +329,7 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
     _write_states(store, batch_id, written, region, opened)
     _write_heads(store, batch_id, own, sorted({b for b, _ in mine}))
     _write_filters(written, counts, f"{store.path}/filters/generation={batch_id}")
+    _write(rolled_up(written), f"{store.path}/rollup/generation={batch_id}", ["bucket", "slice"], ["ts", "building_id", "device_id"])
     stats = {"rows_read": sum(store.parts[p][1] for p in read), "parts_read": len(read), "parts_written": len(opened)}
     store.parts.update({p: [batch_id, counts[p]] for p in opened})
     store.heads.update({b: batch_id for b, _ in opened})
