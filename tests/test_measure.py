@@ -59,12 +59,12 @@ def test_good_after_bad_at_same_ts_is_duplicate(spark, mode):
 
 SAMPLE_TABLE = {
     # rows, good originals, normalised, reset, duplicate, late, bad, total delta
-    "meter-n1": (12, 11, 3, 2, 1, 1, 0, 529.99),
-    "meter-n2": (10, 9, 0, 0, 0, 0, 1, 30.0),
-    "meter-s1": (11, 11, 11, 0, 0, 0, 0, 20.0),
-    "meter-s2": (10, 10, 0, 0, 0, 0, 0, 13.5),
-    "meter-e1": (12, 12, 0, 2, 0, 1, 0, 48.0),
-    "meter-e2": (10, 9, 0, 0, 0, 0, 1, 18.0),
+    "pump": (10, 9, 0, 1, 1, 1, 0, 30.0),
+    "press": (4, 4, 4, 1, 0, 0, 0, 5.0),
+    "crane": (4, 3, 0, 0, 0, 0, 1, 11.0),
+    "gate": (3, 3, 0, 0, 0, 0, 0, 2.0),
+    "oven": (4, 4, 0, 0, 0, 1, 0, 90.0),
+    "belt": (3, 2, 0, 0, 0, 0, 1, 4.0),
 }
 
 
@@ -83,33 +83,36 @@ def test_sample_per_device(sample):
     assert got == SAMPLE_TABLE
 
 
-def test_sample_meter_n1_deltas(sample):
-    d = [r[0] for r in sample.where("device_external_id = 'meter-n1' AND NOT is_duplicate")
+def test_sample_pump_deltas(sample):
+    d = [r[0] for r in sample.where("device_external_id = 'pump' AND NOT is_duplicate")
          .orderBy("ts").select(F.round("delta", 6)).collect()]
-    assert d == [None, 5.2, 5.3, 4.6, 4.9, 5.3, 1.7, 3.0, 0.0, 0.0, 499.99]
+    assert d == [None, 4.0, 5.0, 3.0, 3.0, 5.0, 6.0, 0.0, 4.0]  # 07:20 came late, 07:40 is repaired, 08:20 starts over
 
 
 def test_sample_totals_and_buckets(sample):
+    import uuid
+
+    from wattline.functions.keys import KEY_NAMESPACE
     ids = {r[1]: r[0] for r in q.buildings(sample).collect()}
-    assert [r[1] for r in q.buildings(sample).collect()] == ["East Campus", "North Campus", "South Campus"]
-    assert ids["North Campus"] == "36e43e35-3a25-5057-85e9-69d3fb4df778"
+    assert [r[1] for r in q.buildings(sample).collect()] == ["Depot", "Mill", "Quay"]
+    assert ids["Quay"] == str(uuid.uuid5(uuid.UUID(KEY_NAMESPACE), "building:quay"))
     tot = {n: round(q.sum_deltas(sample, i).first()[0], 6) for n, i in ids.items()}
-    assert tot == {"North Campus": 559.99, "South Campus": 33.5, "East Campus": 66.0}
-    assert round(q.sum_deltas(sample).first()[0], 6) == 659.49
+    assert tot == {"Mill": 35.0, "Quay": 13.0, "Depot": 94.0}
+    assert round(q.sum_deltas(sample).first()[0], 6) == 142.0
     b = {(r.label, r.ts.hour): (r.n, round(r.value, 4), round(r.delta, 4)) for r in
          q.aggregated(sample).join(sample.where("NOT is_bad AND NOT is_duplicate")
                                    .groupBy(F.col("building_name").alias("label"), F.date_trunc("hour", "ts").alias("ts"))
                                    .count().withColumnRenamed("count", "n"), ["label", "ts"]).collect()}
-    assert b[("North Campus", 8)] == (6, 5.6333, 18.1)
-    assert b[("North Campus", 10)] == (4, 133.0025, 507.99)
-    assert b[("South Campus", 9)] == (6, 8.5833, 11.0)
-    assert b[("East Campus", 9)] == (7, 15.5714, 22.0)
-    assert b[("East Campus", 12)] == (2, 17.0, 4.0)
+    assert b[("Mill", 6)] == (5, 3.3, 10.5)
+    assert b[("Mill", 8)] == (3, 12.0, 10.0)
+    assert b[("Quay", 7)] == (2, 9.0, 5.5)
+    assert b[("Depot", 6)] == (2, 52.5, 0.0)
+    assert b[("Depot", 9)] == (1, 190.0, 40.0)
 
 
 def test_sample_bad_overlay(sample):
     got = [(r.label, r.ts.hour, r.value, r.delta) for r in q.bad_points(sample).collect()]
-    assert got == [("East Campus", 10, 999.0, 991.0), ("North Campus", 11, 100.0, 78.0)]
+    assert got == [("Depot", 6, 900.0, 895.0), ("Quay", 8, 50.0, 36.0)]
     assert q.bad_points(sample, building="x").count() == 0
 
 

@@ -140,22 +140,22 @@ def test_bad_points_bounds(spark):
 
 def test_charts(spark):
     m = derive_measurements(fx.readings(spark, fx.SAMPLE))
-    h3 = charts.all_buildings_chart(m, show_bad=True, labels=["North Campus", "South Campus", "East Campus"])
-    assert h3.columns[:4] == ["ts", "East Campus", "North Campus", "South Campus"]
+    h3 = charts.all_buildings_chart(m, show_bad=True, labels=["Mill", "Quay", "Depot"])
+    assert h3.columns[:4] == ["ts", "Depot", "Mill", "Quay"]
     r = {x.ts.hour: x for x in h3.collect()}
-    assert r[11]["bad_North Campus"] == 100.0 and r[10]["bad_East Campus"] == 999.0
-    bid = [x.id for x in q.buildings(m).collect() if x.name == "North Campus"][0]
-    h2 = charts.building_chart(m, bid, mode="delta", labels=["meter-n1", "meter-n2"])
-    assert set(h2.columns) >= {"meter-n1", "meter-n2", "bad_meter-n1"}
+    assert r[8]["bad_Quay"] == 50.0 and r[6]["bad_Depot"] == 900.0
+    bid = [x.id for x in q.buildings(m).collect() if x.name == "Mill"][0]
+    h2 = charts.building_chart(m, bid, mode="delta", labels=["press", "pump"])
+    assert set(h2.columns) >= {"press", "pump", "bad_press"}
     long = charts.building_chart(m, bid, mode="delta")
-    assert {x.label for x in long.collect()} == {"meter-n1", "meter-n2"}
+    assert {x.label for x in long.collect()} == {"press", "pump"}
     assert charts.all_buildings_chart(m, show_bad=True).columns == ["ts", "label", "value", "tsLabel", "bad_value"]
-    dev = m.where("device_external_id = 'meter-n2'").first()["device_id"]
+    dev = m.where("device_external_id = 'crane'").first()["device_id"]
     h1 = charts.device_chart(m, dev, mode="raw", show_bad=True).collect()
-    assert sum(x.badValue is not None for x in h1) == 1 and len(h1) == 10
-    assert len(charts.device_chart(m, dev).collect()) == 9
+    assert sum(x.badValue is not None for x in h1) == 1 and len(h1) == 4
+    assert len(charts.device_chart(m, dev).collect()) == 3
     h4 = charts.series_per_building(m, mode="delta").collect()
-    assert {x.building for x in h4} == {"North Campus", "South Campus", "East Campus"}
+    assert {x.building for x in h4} == {"Mill", "Quay", "Depot"}
 
 
 def test_asof_lookups(spark):

@@ -32,13 +32,13 @@ def test_read_batches_keeps_order_and_skips_corrupt(spark):
     for i, b in enumerate(fx.SAMPLE):
         write_batch(folder, i, b, corrupt=(i == 0))
     r = read_batches(spark, folder)
-    assert r.count() == 65
+    assert r.count() == fx.ROWS
     first = r.orderBy("arrival_seq").first()
-    assert first.device_external_id == "meter-n1" and first.value == 0.0
+    assert first.device_external_id == "pump" and first.value == 0.0
     m = derive_measurements(r)
     expected = derive_measurements(fx.readings(spark, fx.SAMPLE))
     assert as_rows(m) == as_rows(expected)
-    assert r.where(F.col("raw_payload").isNotNull()).count() == 65
+    assert r.where(F.col("raw_payload").isNotNull()).count() == fx.ROWS
 
 
 def test_stream_in_two_runs_equals_one_shot(spark):
@@ -60,7 +60,7 @@ def test_stream_in_two_runs_equals_one_shot(spark):
         drop(i, b)
     ingest_stream(spark, inbox, log, ck, out_path=out).awaitTermination()
     got = load_measurements(spark, out)
-    assert got.count() == 65
+    assert got.count() == fx.ROWS
     expected = derive_measurements(fx.readings(spark, fx.SAMPLE))
     key = ["device_external_id", "ts", "is_duplicate"]
     a = sorted((r.device_external_id, r.ts, r.is_duplicate, r.is_late, r.is_reset, r.delta) for r in got.select(*key, "is_late", "is_reset", "delta").collect())
