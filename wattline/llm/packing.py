@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, forget, record, slices, stored, texts
+from .common import batches_of, record, slices, stored, texts
 from .token_files import encoder
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -96,9 +96,8 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64())])
         from xxhash import xxh3_64_intdigest
         enc = encoder(tokenizer)
-        for ids, rows in batches_of(slices(batches, "text"), "doc_id", "text"):
+        for ids, rows in batches_of(slices(batches, "text", 4_000_000), "doc_id", "text"):
             yield record(schema, [ids, [xxh3_64_intdigest(t.encode()) - (1 << 63) for t in rows], enc.lengths(rows)])
-        forget(tokenizer)
 
     same = texts(docs).mapInArrow(run, "doc_id long, text_hash long, n_tokens long").groupBy("doc_id", "text_hash", "n_tokens").count()
     blocks = (same.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(count - 1) div {BLOCK}"))))
