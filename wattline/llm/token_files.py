@@ -173,7 +173,7 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def _pieces_of(rows: list[str], most: int = 2_000_000):
+def _pieces_of(rows: list[str], most: int = 4_000_000):
     """Slices of a batch of texts, each of bounded length in all."""
     at, size = 0, 0
     for i, t in enumerate(rows):
