@@ -432,15 +432,33 @@ def test_toxicity(spark, docs, empty):
     assert kept.schema == docs.schema and kept.count() == docs.count()
 
 
+def test_starts_follow_the_files_for_shared_and_missing_ids(spark, tmp_path):
+    """Rows of one doc_id, without any, and equal ones: offsets are those of the files read back in order."""
+    rows = [(7, "word " * k) for k in (3, 1, 9, 2, 8, 4, 7, 5)] + [(None, "a b"), (None, "c"), (None, None), (3, "x y z")] + [(9, "same text")] * 40
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, start long, part int, offset long")
+    token_files.write_token_files(df.repartition(5), str(tmp_path / "t"), tokenizer_path())
+    files = spark.read.parquet(str(tmp_path / "t")).collect()
+    at, want = 0, []
+    for r in sorted(files, key=lambda r: (r["part"], r["offset"])):
+        ids = np.array(r["ids"], "<u4")
+        want.append((r["doc_id"], at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert [r[0] for r in want] == sorted((r[0] for r in want), key=lambda x: (x is not None, x or 0))
+    got = sorted((tuple(r) for r in token_files.digests(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1])
+    assert got == want and len(got) == len(rows)
+
+
 def test_packing(spark, docs, rows, empty):
     got = packing.best_fit(packing.token_lengths(docs, tokenizer_path()), lengths=(64, 256, 1024), shard=17).collect()
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_path())
     per, bins = {}, {}
     for r in got:
         per.setdefault(r["doc_id"], []).append(r)
         bins.setdefault(r["bin_id"], []).append(r)
     for i, t in rows:
         p = sorted(per[i], key=lambda r: r["piece"])
-        n = len((t or "").encode().split()) + 1
+        n = len(tok.encode(t or "", add_special_tokens=False).ids) + 1
         assert sum(r["n_tokens"] for r in p) == n
         assert [r["first_token"] for r in p] == [1024 * k for k in range(len(p))]
     for b in bins.values():
@@ -456,6 +474,16 @@ def test_packing(spark, docs, rows, empty):
     assert packing.best_fit(packing.token_lengths(twice, tokenizer_path())).count() == 2 * packing.best_fit(packing.token_lengths(docs, tokenizer_path())).count()
 
 
+def test_packing_tells_rows_of_one_id_apart_and_unrolls_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    rows = [(5, f"text {k}") for k in range(4)] + [(None, "")] * 8 + [(5, "text 0")]
+    lengths = packing.token_lengths(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path())
+    got = packing.best_fit(lengths, lengths=(4, 16)).collect()
+    keys = [(r["doc_id"], r["text_hash"], r["row"], r["piece"]) for r in got]
+    assert len(keys) == len(set(keys)) == 13
+    assert sorted(r["row"] for r in got if r["doc_id"] is None) == list(range(8))
+
+
 def test_packing_is_never_worse_than_one_length():
     rng = np.random.default_rng(3)
     lengths = (8, 16, 32)
