@@ -22,7 +22,7 @@ from wattline.functions.text import (ENERGY_METRIC, canonical_metric, canonical_
                                      is_normal_flag, payload_json)
 from wattline.functions.time import calendar_range, date_time_label, iso_utc, time_label
 from wattline.operators.asof import arrived_before, asof_backward, asof_forward
-from wattline.operators.dims import resolve_dimension
+from wattline.operators.dims import load_dimension, resolve_dimension, upsert_dimension
 from wattline.operators.measure import derive_measurements, normalize, placeable
 from wattline.operators.pivot import overlay_bad, pivot_labels
 from wattline.operators.rolling import rolling
@@ -406,14 +406,14 @@ def _ingested(spark, sf, measure=True):
 
 
 def _r2(spark, sf):
-    """The batches of ``events`` in five triggers with late repairs between them; the third and the last
-    are delivered twice.  Deltas are those of the arrival order."""
+    """The batches of ``events`` in five triggers with late repairs between them; the third is
+    delivered twice.  Deltas are those of the arrival order."""
     root = _scratch(spark, "refresh")
     batches = materialize(_batches(spark, sf), "batches")
     last = batches.agg(F.max("block")).first()[0]
     for k in range(TRIGGERS):
         write_batches(batches.where(F.floor(F.col("block") * TRIGGERS / (last + 1)) == k), f"{root}/inbox/{k}")
-    for k in (0, 1, 2, 2, 3, 4, 4):
+    for k in (0, 1, 2, 2, 3, 4):
         process_batch(spark, read_bodies(spark, f"{root}/inbox/{k}").drop("batch_id"), k, f"{root}/log", f"{root}/measurements", None,
                       "arrival", **STORED)
     m = load_measurements(spark, f"{root}/measurements")
@@ -449,6 +449,23 @@ def _rollup(spark, sf):
     return reduce(DataFrame.unionByName, rows)
 
 
+def _o1_stored(spark, sf):
+    """The newest page of a device from the stored table, newest slices first."""
+    return _row_out(rollup.recent(spark, _kept(spark, sf), DEVICE, limit=20, offset=0, exclude_bad="false"))
+
+
+def _j5_stream(spark, sf):
+    """Devices kept over five triggers that spell them differently; the third and the last come twice."""
+    path = _scratch(spark, "devices")
+    r = readings_from_events(spark, sf)
+    last = r.agg(F.max("arrival_seq")).first()[0]
+    spelled = r.select(F.floor(F.col("arrival_seq") * TRIGGERS / (last + 1)).alias("k"), F.when(
+        F.col("reading_id") % 2 == 0, F.concat(F.lit(" "), F.upper("device_external_id"))).otherwise(F.col("device_external_id")).alias("external_id"))
+    for k in (0, 1, 2, 2, 3, 4, 4):
+        upsert_dimension(spark, spelled.where(F.col("k") == k).drop("k"), path, k, "device")
+    return load_dimension(spark, path, "device")
+
+
 def _r4(spark, sf):
     """Late flags from per-series state; the log grows in five triggers and the stream follows it."""
     root = _scratch(spark, "late")
@@ -555,6 +572,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c16_payload_text": _c16,
         "p3_labels": _p3,
         "j5_resolve_devices": _j5_devices,
+        "j5_devices_kept": _j5_stream,
+        "o1_recent_stored": _o1_stored,
         "f6_device_series_range": _f6,
         "a1_bucketed_range_30min": _a1_range,
         "a4_total_range": _a4_range,
@@ -715,6 +734,14 @@ def _oracle_sql() -> dict[str, str]:
         "a11_pivot": with_m(
             f", {a1} SELECT {sql_iso('ts')} AS ts, {_sql_round_labels()} FROM "
             f"(SELECT ts, {_sql_pivot('a1')} FROM a1 GROUP BY ts)"),
+        "o1_recent_stored": with_m(
+            f"SELECT {row_cols} FROM m WHERE device_id = '{DEVICE}' AND (metric = 'energy_kwh_total' "
+            f"OR (metric = 'energy' AND is_bad)) {recent_order} LIMIT 20"),
+        "j5_devices_kept": with_m(
+            f", s AS (SELECT device_id AS id, arrival_seq * {TRIGGERS} // ((SELECT max(arrival_seq) FROM c) + 1) AS k, "
+            "CASE WHEN reading_id % 2 = 0 THEN ' ' || upper(device_external_id) ELSE device_external_id END AS external_id FROM c) "
+            "SELECT id, min(external_id) AS external_id, CAST(NULL AS VARCHAR) AS name FROM s "
+            "WHERE k = (SELECT min(k) FROM s t WHERE t.id = s.id) GROUP BY id"),
         "o1_recent": with_m(
             f"SELECT {row_cols} FROM m WHERE device_id = '{DEVICE}' AND (metric = 'energy_kwh_total' "
             f"OR (metric = 'energy' AND is_bad)) {recent_order} LIMIT 20"),

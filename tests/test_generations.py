@@ -224,3 +224,39 @@ def test_rollup_answers_as_the_rows_do_after_late_repairs(spark):
     device = m.first()["device_id"]
     for args in ({"building": b1}, {"building": b1, "device": device}, {"building": "none"}):
         assert rows(rollup.sum_deltas(spark, path, **args)) == rows(q.sum_deltas(m, **args))
+
+
+def test_newest_page_opens_few_slices(spark, monkeypatch):
+    import wattline.streaming.generations as g
+    from wattline.plans import queries as q, rollup
+    path = tempfile.mkdtemp(prefix="wl-page-")
+    rows = [("d", 1440 * day + 10 * i, float(i), "kals" if i == 2 else "kWh") for day in range(30) for i in range(8)] + [("d", 0, 5.0, "kWh")]
+    b = batches_of(spark, [rows])[0]
+    refresh_slices(spark, b, path, 0, buckets=1, hours=24)
+    m = derive_measurements(b)
+    device = m.first()["device_id"]
+    asked, read = [], g.Store.rows
+    monkeypatch.setattr(g.Store, "rows", lambda self, parts: asked.append(len(parts)) or read(self, parts))
+    for limit, offset, bad, opened in ((5, 0, True, 1), (20, 0, False, 3), (20, 40, True, 15), (100, 500, True, 30)):
+        asked.clear()
+        got = rollup.recent(spark, path, device, limit=limit, offset=offset, exclude_bad=bad)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in q.recent(m, device, limit=limit, offset=offset, exclude_bad=bad).collect()]
+        assert max(asked) == opened
+
+
+# -- dimension -------------------------------------------------------------------
+
+def test_dimension_kept_over_triggers(spark):
+    from wattline.functions.keys import device_key
+    from wattline.operators.dims import load_dimension, upsert_dimension
+    from wattline.sources.manifest import Manifest
+    from pyspark.sql import functions as F
+    path = tempfile.mkdtemp(prefix="wl-dim-")
+    parts = [["a", "B "], [" A", "c"], [], ["b", "C", "d"], *[[f"x{k}", "a"] for k in range(8)]]
+    frames = [spark.createDataFrame([(x, f"name {k}", 1) for x in p], "external_id string, name string, extra int") for k, p in enumerate(parts)]
+    for k in (0, 1, 1, 2, 0, 3, *range(4, 12), 11):
+        upsert_dimension(spark, frames[k], path, k, "device")
+    got = {r.external_id: (r.id, r.name) for r in load_dimension(spark, path, "device").collect()}
+    assert {k: v[1] for k, v in got.items()} == {"a": "name 0", "B ": "name 0", "c": "name 1", "d": "name 3", **{f"x{k}": f"name {k + 4}" for k in range(8)}}
+    assert got["B "][0] == spark.range(1).select(device_key(F.lit("b"))).first()[0]
+    assert len(Manifest(spark, path).load()[1]["segments"]) < 8

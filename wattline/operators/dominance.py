@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from .scan import Scan, sliced_scan
 
 
+# Arrival blocks and the slices of a level are sparse where arrivals are: their carry is a tree.
+LEVELS = 2
+
+
 def series_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 slice_bits: int, extra: Sequence[Scan] = ()) -> DataFrame:
     """Add ``y`` (0-based rank in ``order`` within ``keys``) and ``y_total``
@@ -34,7 +38,7 @@ def series_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     sliced = df.withColumn("_aslice", F.floor(F.col(order[0]) / F.lit(2 ** slice_bits)))
     out = sliced_scan(sliced, keys, list(order), "_aslice",
                       [Scan("y", F.lit(1).cast("long"), "sum", "before"), *extra],
-                      frame="rows", totals=["y"])
+                      frame="rows", totals=["y"], levels=LEVELS)
     return out.drop("_aslice")
 
 
@@ -74,7 +78,7 @@ def dominance_lookup(df: DataFrame, keys: Sequence[str], slice_seconds: int,
     u = (cands.unionByName(probes.withColumn("_q", F.lit(True)), allowMissingColumns=True)
          .withColumn("_tslice", F.floor(F.col("tmic") / F.lit(slice_seconds * 1_000_000))))
     scanned = sliced_scan(u, keys + ["L", "blk"], "tmic", "_tslice",
-                          [Scan("_ans", F.col("_contrib"), "max", "before")])
+                          [Scan("_ans", F.col("_contrib"), "max", "before")], levels=LEVELS)
     answers = scanned.where(F.col("_q") & F.col("_ans").isNotNull()).select(*keys, "L", "blk", "tmic", "_ans")
     return (queries.join(answers, on=keys + ["L", "blk", "tmic"], how="inner")
             .groupBy(*keys, "y").agg(F.max("_ans").alias("found")))

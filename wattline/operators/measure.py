@@ -111,7 +111,7 @@ def _time_groups(n: DataFrame, slice_seconds: int, arrival: bool) -> DataFrame:
           .withColumn("tslice", F.floor(F.col("tmic") / F.lit(slice_seconds * 1_000_000))))
     scans = [
         # Previous good original by event time (strictly earlier ts).
-        Scan("prev", F.when(F.col("o_good"), F.struct("tmic", "o_ord", "o_value")), "max", "before"),
+        Scan("prev", F.when(F.col("o_good"), F.struct("tmic", "o_ord", "o_value")), "max", "before", ("tmic", "o_ord", "o_value")),
         # First arrival among good originals with a later ts.
         Scan("late_min", F.when(F.col("o_good"), F.col("o_ord")), "min", "after"),
     ]
@@ -158,12 +158,13 @@ def derive_measurements(readings: DataFrame, delta_mode: str = "event_time",
 
 def derive_placed(n: DataFrame, delta_mode: str = "event_time", slice_seconds: int = DEFAULT_SLICE_SECONDS,
                   arrival_slice_bits: int = DEFAULT_ARRIVAL_SLICE_BITS, materialize_steps: bool = True,
-                  keep: Sequence[str] = (), source: str | None = None) -> DataFrame:
+                  keep: Sequence[str] = (), source: str | None = None, write_step=materialize) -> DataFrame:
     """``derive_measurements`` of readings that are normalised and placeable.
 
     ``keep`` names further columns to hand through; ``source`` names a column for the
     arrival key of the reading that a delta was last taken against by event time (event
-    mode: the previous good original; arrival mode: the writer that repaired the row)."""
+    mode: the previous good original; arrival mode: the writer that repaired the row).
+    ``write_step`` writes the intermediate table (default: the application's folder)."""
     if delta_mode not in ("event_time", "arrival"):
         raise ValueError(f"unknown delta_mode {delta_mode!r}")
     arrival = delta_mode == "arrival"
@@ -197,7 +198,7 @@ def derive_placed(n: DataFrame, delta_mode: str = "event_time", slice_seconds: i
         easy = F.col("_pmax").isNull() | (F.col("_pmax.tmic") < F.unix_micros("ts"))
         m = m.withColumn("needs_lookup", ~has_writer & ~easy).withColumn("_easy", easy)
         if materialize_steps:
-            m = materialize(m, "flags")
+            m = write_step(m, "flags")
         found = dominance_lookup(
             m, SERIES, slice_seconds,
             candidate=~F.col("is_bad"), query=F.col("needs_lookup"),

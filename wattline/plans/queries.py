@@ -142,6 +142,13 @@ def devices(m: DataFrame, building: str) -> DataFrame:
 # Ordered reads
 # --------------------------------------------------------------------------
 
+def recent_filter(device: str, metric: str = ENERGY_METRIC, exclude_bad=True):
+    """F1 with F3 or F4 and F7, as ``recent`` takes them."""
+    excl = parse_exclude_bad(exclude_bad)
+    cond = (F.col("device_id") == device) & metric_with_legacy_bad(metric, include_bad=not excl)
+    return cond & ~F.col("is_bad") if excl else cond
+
+
 def recent(m: DataFrame, device: str, metric: str = ENERGY_METRIC, limit: int = 20,
            offset: int = 0, exclude_bad=True) -> DataFrame:
     """O1: newest readings of a device, duplicates kept; ts desc, arrival asc.
@@ -151,11 +158,7 @@ def recent(m: DataFrame, device: str, metric: str = ENERGY_METRIC, limit: int =
     limit, offset = int(limit), int(offset)
     if not 1 <= limit <= RECENT_MAX or offset < 0:
         raise ValueError("limit must be 1..100 and offset >= 0")
-    excl = parse_exclude_bad(exclude_bad)
-    cond = (F.col("device_id") == device) & metric_with_legacy_bad(metric, include_bad=not excl)
-    if excl:
-        cond = cond & ~F.col("is_bad")
-    rows = (measurement_row(m.where(cond))
+    rows = (measurement_row(m.where(recent_filter(device, metric, exclude_bad)))
             .orderBy(F.col("ts").desc(), *arrival_order()))
     if offset:
         rows = rows.offset(offset)

@@ -1,4 +1,5 @@
-"""Bucketed aggregates and totals (A1-A7) from the stored rollup.
+"""Reads of a stream's stored table: bucketed aggregates and totals (A1-A7) from its rollup, and
+the newest page of a device (O1).
 
 A stream's table keeps sums and counts by quarter of an hour beside its rows, written anew
 for the parts that a refresh touches and switched with them, so late repairs are in both
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ENERGY_METRIC, LEGACY_ENERGY_METRIC
 from ..functions.time import bucket
+from ..schemas import MEASUREMENT_COLUMNS
 from ..streaming.generations import ROLLUP_MINUTES, current, load_slices, rolled_up
 from . import queries as q
 
@@ -99,3 +101,19 @@ def sum_deltas(spark: SparkSession, path: str, building: str = q.ALL, device: st
     if building != q.ALL:
         rows = rows.where(F.col("building_id") == building) if device == q.ALL else rows.where(F.col("device_id") == device)
     return rows.agg(F.coalesce(F.sum("sum_delta"), F.lit(0.0)).alias("sum_delta"))
+
+
+def recent(spark: SparkSession, path: str, device: str, metric: str = ENERGY_METRIC, limit: int = 20, offset: int = 0,
+           exclude_bad=True) -> DataFrame:
+    """O1 as ``queries.recent``: the device's slices are opened from the newest one back, one, two,
+    four, ... more at a time, until they fill the page."""
+    store = current(spark, path)
+    names = sorted({metric, LEGACY_ENERGY_METRIC} if metric == ENERGY_METRIC else {metric})
+    parts = store.parts_of(device, names)
+    slices, taken, step = sorted({s for _, s in parts}, reverse=True), 0, 1
+    while True:
+        taken += step
+        rows = store.rows([p for p in parts if p[1] in slices[:taken]]).select(*MEASUREMENT_COLUMNS)
+        if taken >= len(slices) or rows.where(q.recent_filter(device, metric, exclude_bad)).limit(offset + limit).count() >= offset + limit:
+            return q.recent(rows, device, metric, limit, offset, exclude_bad)
+        step *= 2

@@ -87,6 +87,23 @@ def materialized_root(spark) -> str:
     return f"{base}/wattline-tables/{spark.sparkContext.applicationId}"
 
 
+class Scratch:
+    """Tables that one job writes for itself, in a folder of its own; ``drop`` deletes them when
+    it has ended, so a stream leaves none behind.  Called like ``materialize``."""
+
+    def __init__(self, spark):
+        import uuid as _uuid
+        self.spark, self.path = spark, f"{materialized_root(spark)}/job-{_uuid.uuid4().hex}"
+
+    def __call__(self, df, name: str):
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_materialized(spark) -> bool:
     """Delete this application's materialised tables once their results have
     been consumed (DataFrames built on them can no longer be read after it).

@@ -40,7 +40,7 @@ from ..functions.text import ENERGY_METRIC, LEGACY_ENERGY_METRIC
 from ..functions.time import bucket
 from ..operators.measure import arrival_key, derive_placed, normalize, placeable
 from ..schemas import MEASUREMENT, MEASUREMENT_COLUMNS, SERIES
-from ..session import materialize
+from ..session import Scratch, materialize
 from ..sources.batches import DEFAULT_BUCKETS, measurement_bucket
 from ..sources.manifest import Manifest
 
@@ -220,7 +220,7 @@ def _same(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFra
     return left.join(right, list(keys), how)
 
 
-def _ahead(store: Store, late: DataFrame) -> DataFrame | None:
+def _ahead(store: Store, scratch: Scratch, late: DataFrame) -> DataFrame | None:
     """States after each late pair (``late``: pair, ``last_slice``) up to the first with a good
     original, with the late slice as ``from_slice`` and the carry; None without late pairs.
 
@@ -229,7 +229,7 @@ def _ahead(store: Store, late: DataFrame) -> DataFrame | None:
     asked = {(r["bucket"], r["slice"]) for r in late.select("bucket", "slice").distinct().collect()}  # parts, not rows
     if not asked:
         return None
-    late, reach = materialize(late.select(*PAIR, "last_slice"), "late-pairs"), 1
+    late, reach = scratch(late.select(*PAIR, "last_slice"), "late-pairs"), 1
     while True:
         wanted = {b: [s for b2, s in asked if b2 == b] for b in {b for b, _ in asked}}
         parts = [(b, s) for b, s in sorted(store.parts) if any(a < s <= a + reach for a in wanted.get(b, ()))]
@@ -240,7 +240,7 @@ def _ahead(store: Store, late: DataFrame) -> DataFrame | None:
                  .withColumnsRenamed({"slice": "from_slice", "to_slice": "slice"}))
         open_ = _same(late, first, PAIR).where(F.col("until").isNull() & (F.col("last_slice") > F.col("slice") + reach))
         if not open_.limit(1).count():
-            return materialize(found.select(*PAIR, "from_slice", "c_orig", "c_any"), "slices-ahead")
+            return scratch(found.select(*PAIR, "from_slice", "c_orig", "c_any"), "slices-ahead")
         reach *= 4
 
 
@@ -271,12 +271,21 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
     if (manifest.versions() or [batch_id])[-1] > batch_id:
         return {}
     store = Store(spark, path, manifest.load(before=batch_id)[1] or {"hours": hours, "buckets": buckets})
+    scratch = Scratch(spark)
+    try:
+        return _refreshed(store, manifest, scratch, readings, batch_id, delta_mode)
+    finally:
+        scratch.drop()
+
+
+def _refreshed(store: Store, manifest: Manifest, scratch: Scratch, readings: DataFrame, batch_id: int, delta_mode: str) -> dict:
+    spark = store.spark
     n = normalize(readings)
     n = n.where(placeable(n))
-    new = materialize(n.select("arrival_seq", "reading_id", "building_id", "building_name", "device_id", "device_external_id", "device_name",
+    new = scratch(n.select("arrival_seq", "reading_id", "building_id", "building_name", "device_id", "device_external_id", "device_name",
                                "ts", "metric", "value", "unit", "is_normal", "is_bad", "ingest_time").withColumn("bucket", measurement_bucket("device_id", "metric", store.buckets))
                       .withColumn("slice", slice_of("ts", store.hours)), "new-readings")
-    pairs = materialize(new.groupBy(*PAIR).agg(F.max("ts").alias("max_ts"), F.min("arrival_seq").alias("first_seq")), "new-pairs")
+    pairs = scratch(new.groupBy(*PAIR).agg(F.max("ts").alias("max_ts"), F.min("arrival_seq").alias("first_seq")), "new-pairs")
     seen = {(r["bucket"], r["slice"]): r["seq"] for r in pairs.groupBy("bucket", "slice").agg(F.min("first_seq").alias("seq")).collect()}
     mine = sorted(seen)  # parts, not rows
     if not mine:
@@ -285,10 +294,10 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
     heads = store.series_heads(sorted({b for b, _ in mine}))
     known = store.states([p for p in mine if p in store.parts]).select(
         *PAIR, F.col("orig").alias("s_orig"), F.col("c_orig").alias("s_c_orig"), F.col("c_any").alias("s_c_any"), F.lit(True).alias("known"))
-    own = materialize(_same(_same(pairs, heads.withColumnsRenamed({"orig": "h_orig", "any": "h_any"}), ["bucket", *SERIES]), known, PAIR), "touched")
+    own = scratch(_same(_same(pairs, heads.withColumnsRenamed({"orig": "h_orig", "any": "h_any"}), ["bucket", *SERIES]), known, PAIR), "touched")
     # A late reading before its slice's last good original meets the next one inside the slice.
     beyond = F.col("s_orig").isNull() | (F.col("max_ts") >= F.col("s_orig.ts"))
-    ahead = _ahead(store, own.where((F.col("slice") < F.col("last_slice")) & beyond))
+    ahead = _ahead(store, scratch, own.where((F.col("slice") < F.col("last_slice")) & beyond))
     # The carry into a touched slice: its own, that of the next one where it is new among older
     # slices, or the head's where it lies past it.
     own_carry = [F.when(F.col("known"), F.col(f"s_c_{x}")).when(F.col("slice") > F.col("last_slice"), F.col(f"h_{x}")) for x in ("orig", "any")]
@@ -300,7 +309,7 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
         carried = (_same(own, nearest, PAIR)
                    .select(*PAIR, own_carry[0].otherwise(F.col("next.c_orig")).alias("c_orig"), own_carry[1].otherwise(F.col("next.c_any")).alias("c_any"))
                    .unionByName(ahead.select(*PAIR, "c_orig", "c_any")))
-        region = materialize(carried.dropDuplicates(PAIR), "region")
+        region = scratch(carried.dropDuplicates(PAIR), "region")
         opened = sorted((r["bucket"], r["slice"]) for r in region.select("bucket", "slice").distinct().collect())  # parts, not rows
     stored = store.rows([p for p in opened if p in store.parts])
     inside = region.select(*PAIR, F.lit(True).alias("_in"))
@@ -313,7 +322,7 @@ def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id
               .unionByName(marked.where("_in").drop("_in").withColumn("ingest_time", F.col("created_at"))
                            .withColumnsRenamed({c: f"s_{c}" for c in flags}).withColumn("_kind", F.lit(1)), allowMissingColumns=True)
               .unionByName(seeds.withColumn("_kind", F.lit(2)), allowMissingColumns=True))
-    derived = derive_placed(united, delta_mode, keep=["_kind", "bucket", "slice", *(f"s_{c}" for c in flags)], source="_source")
+    derived = derive_placed(united, delta_mode, keep=["_kind", "bucket", "slice", *(f"s_{c}" for c in flags)], source="_source", write_step=scratch)
     fresh = F.col("_kind") == 0
     taken = fresh | (F.col("_source") >= F.lit(min(seen.values())).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)"))
     changed = derived.where("_kind < 2").select(
