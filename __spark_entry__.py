@@ -33,7 +33,7 @@ from wattline.sources.batches import (append_log, load_log, load_measurements, r
                                       write_batches, write_measurements)
 from wattline.sources.tables import readings_from_events, table
 from wattline.streaming.generations import refresh_slices
-from wattline.streaming.ingest import events_as_batches, ingest_stream, process_batch
+from wattline.streaming.ingest import events_as_batches, ingest_stream
 from wattline.streaming.late_flag import FLAGS as LATE_FLAGS, late_flag_stream
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -405,18 +405,19 @@ def _ingested(spark, sf, measure=True):
     return root
 
 
+def _kept(spark, sf, triggers=2, mode="event_time", again=()):
+    """Path of a stored table that took the readings in several refreshes, late ones across them."""
+    path = _scratch(spark, "kept")
+    r = readings_from_events(spark, sf)
+    last = r.agg(F.max("arrival_seq")).first()[0]
+    for k in sorted([*range(triggers), *again]):
+        refresh_slices(spark, r.where(F.floor(F.col("arrival_seq") * triggers / (last + 1)) == k), path, k, mode, **STORED)
+    return path
+
+
 def _r2(spark, sf):
-    """The batches of ``events`` in five triggers with late repairs between them; the third is
-    delivered twice.  Deltas are those of the arrival order."""
-    root = _scratch(spark, "refresh")
-    batches = materialize(_batches(spark, sf), "batches")
-    last = batches.agg(F.max("block")).first()[0]
-    for k in range(TRIGGERS):
-        write_batches(batches.where(F.floor(F.col("block") * TRIGGERS / (last + 1)) == k), f"{root}/inbox/{k}")
-    for k in (0, 1, 2, 2, 3, 4):
-        process_batch(spark, read_bodies(spark, f"{root}/inbox/{k}").drop("batch_id"), k, f"{root}/log", f"{root}/measurements", None,
-                      "arrival", **STORED)
-    m = load_measurements(spark, f"{root}/measurements")
+    """The readings in five refreshes with late repairs between them, the third one twice; deltas of the arrival order."""
+    m = load_measurements(spark, _kept(spark, sf, TRIGGERS, "arrival", again=(2,)))
     return m.select("reading_id", "is_duplicate", "is_late", "is_reset", _r("delta").alias("delta"))
 
 
@@ -424,16 +425,6 @@ def _r1(spark, sf):
     return _reading_rows(load_measurements(spark, f"{_ingested(spark, sf)}/measurements"))
 
 
-def _kept(spark, sf, triggers=3):
-    """Path of a stored table that took the readings in several refreshes, late ones across them."""
-    path = _scratch(spark, "kept")
-    r = readings_from_events(spark, sf)
-    last = r.agg(F.max("arrival_seq")).first()[0]
-    for k in range(triggers):
-        refresh_slices(spark, r.where(F.floor(F.col("arrival_seq") * triggers / (last + 1)) == k), path, k, **STORED)
-    return path
-
-
 def _rollup(spark, sf):
     """Aggregates and totals from the rollup of the stored table, after late repairs."""
     path = _kept(spark, sf)
@@ -695,8 +686,8 @@ def _oracle_sql() -> dict[str, str]:
         "r1_ingest_stream": with_m(reading_rows),
         "r4_late_flag_stream": with_m("SELECT device_id, metric, reading_id, is_late FROM m"),
         "r2_refresh": with_m(
-            f"SELECT num AS reading_id, am.is_duplicate, am.is_late, coalesce(d_raw = 0, false) AS is_reset, "
-            f"round(CASE WHEN NOT am.is_duplicate THEN d_raw END, 6) AS delta FROM am JOIN {numbered} n USING (reading_id)", arrival=True),
+            "SELECT reading_id, is_duplicate, is_late, coalesce(d_raw = 0, false) AS is_reset, "
+            "round(CASE WHEN NOT is_duplicate THEN d_raw END, 6) AS delta FROM am", arrival=True),
         "w12_measurements": with_m(
             f"SELECT arrival_seq, reading_id, building_id, building_name, device_id, device_external_id, "
             f"device_name, {sql_iso('ts')} AS ts, metric, round(value, 6) AS value, unit, {FLAG_SQL}, raw_event_id, "
