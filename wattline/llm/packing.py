@@ -28,6 +28,7 @@ from .token_files import encoder
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SHARD = 20_000           # pieces in a shard, about
+REMEMBERED = 300_000     # pieces a worker remembers beside what other stages hold
 BLOCK = 100_000          # copies of one row that are numbered together
 OVERHEAD = 16            # cost of a bin beside its length
 
@@ -95,7 +96,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64())])
         from xxhash import xxh3_64_intdigest
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, REMEMBERED)
         for ids, rows in batches_of(slices(batches, "text", 4_000_000), "doc_id", "text"):
             yield record(schema, [ids, [xxh3_64_intdigest(t.encode()) - (1 << 63) for t in rows], enc.lengths(rows)])
 

@@ -72,11 +72,11 @@ class _Known(dict):
 class Encoder:
     """Text to numpy ids through the tokenizers library, remembering pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = _REMEMBERED):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.added = tuple(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         sep = self._ids(_SEPARATOR)
         self.separator = sep[0] if len(sep) == 1 else None
@@ -132,7 +132,7 @@ class Encoder:
     def _numbered(self, rows: list[str]):
         """Numbers of the texts' pieces, each text's followed by 0, how many each text has, and the texts to
         be encoded whole."""
-        if len(self.known) > _REMEMBERED:
+        if len(self.known) > self.remembered:
             self._reset()
         whole = [i for i, t in enumerate(rows) if self.separator is None or _SEPARATOR in t]
         skip = set(whole)
@@ -166,11 +166,12 @@ class Encoder:
         return n
 
 
-def encoder(path: str) -> Encoder:
-    kept = worker_state()
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+def encoder(path: str, remembered: int = _REMEMBERED) -> Encoder:
+    """The worker's encoder for a tokenizer file and a number of pieces to remember."""
+    kept, name = worker_state(), f"{path}/{remembered}"
+    if name not in kept:
+        kept[name] = Encoder(path, remembered)
+    return kept[name]
 
 
 def _pieces_of(rows: list[str], most: int = 4_000_000):
