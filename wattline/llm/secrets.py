@@ -41,8 +41,8 @@ MAX_TRAIN_WINDOWS = 4_000
 CONTEXT = 6               # tokens on each side of a training window's middle
 WEIGHTS = 1 << 14         # hashed feature space
 WINDOW_TOKENS = 128       # tokens of a training window at most; a longer one is cut into several
-_REMEMBERED = 150_000     # distinct tokens a task remembers
-_AT_ONCE = 300_000        # characters decoded together (a longer text goes alone)
+_REMEMBERED = 300_000     # distinct tokens a task remembers
+_AT_ONCE = 800_000        # characters decoded together (a longer text goes alone)
 
 _CUE = re.compile("password|passwd|secret|token|api_?key", re.I | re.A)
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -480,7 +480,7 @@ def scan_secrets(docs: DataFrame, model) -> DataFrame:
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:3]),
                             ("base_sha256", pa.string()), ("spans", pa.string()), ("n_crf", pa.int64())])
-        for ids, rows in batches_of(slices(batches, "text"), "doc_id", "text"):
+        for ids, rows in batches_of(slices(batches, "text", 2_000_000), "doc_id", "text"):
             found = find_spans_of(rows, model)
             name = [[f"{KINDS[k]}:{s}:{e}" for s, k, e in x] for x in found]
             base = [[y for y in x if not y.startswith("crf:")] for x in name]
@@ -505,7 +505,7 @@ def redact(text: str, spans, mark: str) -> str:
 def redact_documents(docs: DataFrame, model, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets masked in ``text`` (and ``n_chars``, if present, counted anew)."""
     def run(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2_000_000):
             k = b.schema.get_field_index("text")
             old = b.column(k).to_pylist()
             new = [t if not t else redact(t, x, mark) for t, x in zip(old, find_spans_of(old, model))]
