@@ -57,6 +57,7 @@ def test_parse_exclude_bad():
     assert parse_exclude_bad(" No ") is False
     assert parse_exclude_bad("FALSE") is False
     assert parse_exclude_bad("0") is False
+    assert parse_exclude_bad(0) is True
     assert parse_exclude_bad(False) is False
 
 
