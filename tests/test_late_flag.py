@@ -42,3 +42,26 @@ def test_state_in_any_split_equals_the_plain_rule():
         b, high, ahead, _ = flagged(rows[cut:], high, set(ahead))
         assert a + b == plain(rows)
         assert high is None or all(x > high for x in ahead)
+
+
+def test_one_call_takes_a_shard_of_series_and_keeps_state_per_series():
+    import pandas as pd
+    from wattline.streaming.late_flag import LateFlag
+
+    class Kept(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+    p, rng = LateFlag(), random.Random(3)
+    p.series = Kept()
+    rows = [(f"d{rng.randrange(4)}", k, rng.randrange(9), rng.random() < 0.4) for k in range(60)]
+    got = {}
+    for part in (rows[:25], rows[25:]):
+        shuffled = rng.sample(part, len(part))
+        frames = [pd.DataFrame([(d, "m", k, k, at, bad) for d, k, at, bad in some],
+                               columns=["device_id", "metric", "arrival_seq", "reading_id", "at", "is_bad"]) for some in (shuffled[:9], shuffled[9:])]
+        out = list(p.handleInputRows((0,), iter(frames), None))
+        assert len(out) == 1
+        got.update(zip(out[0]["reading_id"].tolist(), zip(out[0]["device_id"], out[0]["is_late"])))
+    for d in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == d]
+        assert [got[k] for _, k, _, _ in mine] == [(d, late) for late in plain([(at, bad) for _, _, at, bad in mine])]
+    assert set(p.series) == {(d, "m") for d in {r[0] for r in rows}}

@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.measure import normalize, placeable
 from ..schemas import LOG, SERIES
 
+SHARDS = 1024  # of the series; fixed for a checkpoint
 FLAGS = "device_id string, metric string, reading_id long, is_late boolean, kept long"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,33 +46,40 @@ def flagged(rows, high: int | None, ahead: set[int]):
 
 
 class LateFlag(StatefulProcessor):
+    """One shard of series at a time: a call and its data frames cost more than the few rows that a
+    series has in a micro-batch.  State is kept per series, in a map; only series with rows are read."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.high = handle.getValueState("high", "at long")
-        self.ahead = handle.getMapState("ahead", "at long", "n int")
+        self.series = handle.getMapState("series", "device_id string, metric string", "high long, ahead array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mine = pd.concat(list(rows)).sort_values(["arrival_seq", "reading_id"])  # one series of one micro-batch, four numbers a row
-        before = {k[0] for k in self.ahead.keys()}
-        high = self.high.get()[0] if self.high.exists() else None
-        late, top, after, kept = flagged(zip(mine["at"].tolist(), mine["is_bad"].tolist()), high, set(before))
-        if top is not None and top != high:
-            self.high.update((top,))
-        for at in before - after:
-            self.ahead.removeKey((at,))
-        for at in after - before:
-            self.ahead.updateValue((at,), (1,))
-        yield pd.DataFrame({"device_id": key[0], "metric": key[1], "reading_id": mine["reading_id"].to_numpy(), "is_late": late, "kept": kept})
+        # One shard of one micro-batch.
+        mine = pd.concat(list(rows)).sort_values([*SERIES, "arrival_seq", "reading_id"], ignore_index=True)
+        first = (mine[SERIES] != mine[SERIES].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        devices, metrics, at, bad = (mine[c].tolist() for c in (*SERIES, "at", "is_bad"))
+        late, kept = [], []
+        for start, end in zip(first, [*first[1:], len(mine)]):
+            name = (devices[start], metrics[start])
+            stored = self.series.getValue(name)
+            high, before = (stored[0], set(stored[1])) if stored else (None, set())
+            flags, top, after, counts = flagged(zip(at[start:end], bad[start:end]), high, set(before))
+            if top != high or after != before:
+                self.series.updateValue(name, (top, sorted(after)))
+            late += flags
+            kept += counts
+        yield pd.DataFrame({"device_id": devices, "metric": metrics, "reading_id": mine["reading_id"].to_numpy(), "is_late": late, "kept": kept})
 
     def close(self) -> None:
         pass
 
 
-def late_flags(readings: DataFrame) -> DataFrame:
+def late_flags(readings: DataFrame, shards: int = SHARDS) -> DataFrame:
     """A stream of readings (``READINGS`` columns) to device_id, metric, reading_id, is_late and
     ``kept``, the bad times its series' state held after it.  Needs the RocksDB state store."""
     n = normalize(readings)
-    n = n.where(placeable(n)).select(*SERIES, "arrival_seq", "reading_id", F.unix_micros("ts").alias("at"), "is_bad")
-    return n.groupBy(*SERIES).transformWithStateInPandas(LateFlag(), FLAGS, "Append", "None")
+    n = n.where(placeable(n)).select(F.pmod(F.xxhash64(*SERIES), F.lit(shards)).alias("shard"), *SERIES, "arrival_seq", "reading_id",
+                                     F.unix_micros("ts").alias("at"), "is_bad")
+    return n.groupBy("shard").transformWithStateInPandas(LateFlag(), FLAGS, "Append", "None")
 
 
 def late_flag_stream(spark: SparkSession, log_path: str, out_path: str, checkpoint: str, available_now: bool = True,
