@@ -363,6 +363,16 @@ def _batches(spark, sf) -> DataFrame:
     return events_as_batches(readings_from_events(spark, sf))
 
 
+FILE_BLOCKS = 32
+
+
+def _deliver(batches, path, mode="overwrite"):
+    """Write bodies as files of many arrival blocks, in the order of blocks: the number of files to
+    list, read and commit stays small beside the readings."""
+    write_batches(batches.withColumn("file", F.floor(F.col("block") / FILE_BLOCKS)), path, "file",
+                  ("block", "device.external_id", "part"), mode)
+
+
 def _reading_rows(m):
     return m.select("reading_id", "arrival_seq", "raw_event_id", "device_external_id", iso_utc("ts").alias("ts"),
                     _r("value").alias("value"), *FLAGS, _r("delta").alias("delta"))
@@ -370,7 +380,7 @@ def _reading_rows(m):
 
 def _s1(spark, sf):
     path = _scratch(spark, "batches")
-    write_batches(_batches(spark, sf), path)
+    _deliver(_batches(spark, sf), path)
     return _reading_rows(derive_measurements(read_batches(spark, path)))
 
 
@@ -399,7 +409,7 @@ def _ingested(spark, sf, measure=True):
     batches = materialize(_batches(spark, sf), "batches")
     last = batches.agg(F.max("block")).first()[0]
     for k in range(TRIGGERS):
-        write_batches(batches.where(F.floor(F.col("block") * TRIGGERS / (last + 1)) == k), src, mode="append")
+        _deliver(batches.where(F.floor(F.col("block") * TRIGGERS / (last + 1)) == k), src, "append")
         ingest_stream(spark, src, f"{root}/log", f"{root}/checkpoint", raw_path=f"{root}/raw",
                       out_path=f"{root}/measurements" if measure else None, max_files=last + 1, **STORED).awaitTermination()
     return root

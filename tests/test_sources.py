@@ -248,3 +248,22 @@ def test_checkpoint_folder_is_required_on_a_cluster():
     unset = N(conf=N(get=lambda key, default: default), sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(unset)
+
+
+def test_delivered_files_hold_many_blocks_in_their_order(spark):
+    """Files do not grow with the blocks, and the numbers are those of one file a block."""
+    import glob
+    import __spark_entry__ as E
+    from wattline.sources.batches import read_batches, write_batches
+    rows = [(b, p, {"name": "B"}, {"external_id": f"d{d}", "name": None},
+             [{"timestamp": "2024-01-01T00:00:00Z", "metric": "energy", "value": float(100 * b + 10 * d + p), "unit": "kWh"}] * (1 + p))
+            for b in range(100) for d in range(2) for p in range(2)]
+    reading = "struct<timestamp: string, metric: string, value: double, unit: string>"
+    batches = spark.createDataFrame(rows, f"block long, part int, building struct<name: string>, device struct<external_id: string, name: string>, "
+                                          f"readings array<{reading}>")
+    one, many = tempfile.mkdtemp(prefix="wl-file-"), tempfile.mkdtemp(prefix="wl-file-")
+    write_batches(batches, one)
+    E._deliver(batches, many)
+    assert len(glob.glob(f"{one}/*/*.json")) == 100 and len(glob.glob(f"{many}/*/*.json")) == 4
+    numbers = lambda path: sorted((r.reading_id, r.value) for r in read_batches(spark, path).collect())
+    assert numbers(many) == numbers(one) and len(numbers(one)) == 600

@@ -29,7 +29,9 @@ def _folders(content: dict):
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    (rows.select(*LOG.names).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    """Devices are dealt over the files, a large one over several by AQE; ranges of the order would
+    run the whole plan (parsing, numbering) once more to sample it."""
+    (rows.select(*LOG.names).hint("rebalance", *ORDER[:2]).sortWithinPartitions(*ORDER)
      .write.mode("overwrite").parquet(path))
 
 
