@@ -123,6 +123,44 @@ def test_old_generations_go_when_no_reader_can_still_need_them(spark):
     assert Manifest(spark, path).versions() == [2, 3]
 
 
+def test_a_part_and_a_segment_are_written_by_one_run_of_their_plan(spark):
+    """Each row is made once: no sampling run of the whole plan before the write."""
+    from pyspark.sql import functions as F
+    from wattline.schemas import LOG
+    from wattline.sources import segments
+    from wattline.streaming import generations as g
+    made = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        made.add(1)
+        return n
+    counted = F.udf(count, "long").asNondeterministic()
+    df = spark.range(0, 500, 1, 4).select((F.col("id") % 3).alias("bucket"), F.lit(0).cast("long").alias("slice"), counted("id").alias("n"))
+    path = tempfile.mkdtemp(prefix="wl-once-")
+    g._write(df, f"{path}/parts", ["bucket", "slice"], ["n"])
+    assert made.value == 500
+    back = spark.read.schema("bucket long, slice long, n long").parquet(f"{path}/parts/p_bucket=1/p_slice=0")
+    assert sorted(r.n for r in back.collect()) == list(range(1, 500, 3))
+    log = spark.range(0, 500, 1, 4).select(*[(counted("id") if f.name == "reading_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in LOG])
+    segments._write(log, f"{path}/log")
+    assert made.value == 1000 and spark.read.parquet(f"{path}/log").count() == 500
+
+
+def test_states_are_made_from_the_derived_rows_only(spark, monkeypatch):
+    """Series of a touched part that a trigger does not touch keep their states; their rows are not grouped again."""
+    import wattline.streaming.generations as g
+    path = tempfile.mkdtemp(prefix="wl-states-")
+    batches = batches_of(spark, [[(f"d{d}", 10 * i, float(i), "kWh") for d in range(6) for i in range(5)], [("d3", 55, 9.0, "kWh")]])
+    grouped, own = [], g.own_states
+    monkeypatch.setattr(g, "own_states", lambda rows: grouped.append(rows.count()) or own(rows))
+    for k, b in enumerate(batches):
+        refresh_slices(spark, b, path, k, buckets=1, hours=24)
+    assert grouped == [30, 6]
+    assert rows_of(load_measurements(spark, path)) == whole(spark, batches, "event_time")
+    store = current(spark, path)
+    assert store.states(store.parts).count() == 6 and {r["orig"]["value"] for r in store.states(store.parts).collect()} == {4.0, 9.0}
+
+
 # -- the log -----------------------------------------------------------------
 
 def test_log_of_many_batches_is_few_segments(spark, monkeypatch):

@@ -142,14 +142,22 @@ def own_states(rows: DataFrame) -> DataFrame:
     """bucket, series, slice, orig, any of measurement rows.  Copies at one time are
     combined in the tasks that read them; then a slice's times are."""
     good = ~F.col("is_bad")
-    at = F.struct("ts", "arrival_seq", "reading_id", "value")
+    key = arrival_key("arrival_seq", "reading_id")
+    orig, last = F.when(good & ~F.col("is_duplicate"), key), F.when(good, key)
+    # Plain columns: a struct in the buffer would make Spark sort all rows for the aggregate.
+    reading = ("arrival_seq", "reading_id", "value")
     times = rows.groupBy(*PAIR, "ts").agg(
-        F.max(F.when(good & ~F.col("is_duplicate"), at)).alias("orig"), F.max(F.when(good, at)).alias("last"),
-        F.min_by(F.struct(F.col("arrival_seq").alias("f_seq"), F.col("reading_id").alias("f_id"), F.col("value").alias("f_value"),
-                          F.col("is_bad").alias("f_bad")), arrival_key("arrival_seq", "reading_id")).alias("_f"))
-    with_last = times.select(*PAIR, "orig", F.when(F.col("last").isNotNull(), F.struct(
-        "last.ts", "last.arrival_seq", "last.reading_id", "last.value", "_f.f_seq", "_f.f_id", "_f.f_value", "_f.f_bad")).alias("any"))
-    return with_last.groupBy(*PAIR).agg(F.max("orig").alias("orig"), F.max("any").alias("any"))
+        *[F.max_by(c, orig).alias(f"o_{c}") for c in reading], *[F.max_by(c, last).alias(f"l_{c}") for c in reading],
+        *[F.min_by(c, key).alias(f"f_{c}") for c in (*reading, "is_bad")])
+    o_at, l_at = F.when(F.col("o_reading_id").isNotNull(), F.col("ts")), F.when(F.col("l_reading_id").isNotNull(), F.col("ts"))
+    firsts = [f"f_{c}" for c in (*reading, "is_bad")]
+    one = times.groupBy(*PAIR).agg(
+        F.max(o_at).alias("o_ts"), *[F.max_by(f"o_{c}", o_at).alias(f"o_{c}") for c in reading],
+        F.max(l_at).alias("l_ts"), *[F.max_by(c, l_at).alias(c) for c in (*[f"l_{c}" for c in reading], *firsts)])
+    return one.select(
+        *PAIR, F.when(F.col("o_ts").isNotNull(), F.struct(*[F.col(f"o_{c}").alias(c) for c in ("ts", *reading)])).alias("orig"),
+        F.when(F.col("l_ts").isNotNull(), F.struct(*[F.col(f"l_{c}").alias(c) for c in ("ts", *reading)], *[
+            F.col(c).alias(a) for c, a in zip(firsts, ("f_seq", "f_id", "f_value", "f_bad"))])).alias("any"))
 
 
 def rolled_up(rows: DataFrame) -> DataFrame:
@@ -185,9 +193,22 @@ def _with_blocks(keyed: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFra
 
 
 def _write_filters(rows: DataFrame, sizes: dict[tuple[int, int], int], path: str) -> None:
-    """One Bloom filter per part over its keys (device, metric, ts), as bitmaps."""
-    spots = _spots(_with_blocks(rows.select("bucket", "slice", *SERIES, "ts"), sizes))
-    _write(spots.groupBy("bucket", "slice", "block").agg(F.bitmap_construct_agg("bit").alias("bits")), path, ["bucket", "slice"], ["block"])
+    """One Bloom filter per part over its keys (device, metric, ts), as bitmaps.
+
+    A bitmap is named by one number while it is built (parts are counted, their bitmaps numbered on):
+    the aggregate sorts three rows a key, and one number is sorted by radix."""
+    total, at = 0, []
+    for (b, s), n in sizes.items():
+        blocks = -(-n * KEY_BITS // BLOCK_BITS)
+        at.append((b, s, blocks, total))
+        total += blocks
+    parts = F.broadcast(rows.sparkSession.createDataFrame(at, "bucket long, slice long, blocks long, first long"))
+    spots = _spots(rows.select("bucket", "slice", *SERIES, "ts").join(parts, ["bucket", "slice"]))
+    built = (spots.select((F.col("first") + F.col("block")).alias("number"), "bit").groupBy("number")
+             .agg(F.bitmap_construct_agg("bit").alias("bits")))
+    named = parts.select("bucket", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "first")
+    _write(built.join(F.broadcast(named.withColumn("number", F.col("first") + F.col("block")).drop("first")), "number")
+           .select("bucket", "slice", "block", "bits"), path, ["bucket", "slice"], ["block"])
 
 
 def existing_stored(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
@@ -258,9 +279,12 @@ def _seed_rows(carried: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, by: list[str], order: list[str]) -> None:
-    """One folder per part.  Ranges of the order split a part that is large over several tasks."""
-    (rows.withColumns({f"p_{c}": F.col(c) for c in by}).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-     .write.mode("overwrite").partitionBy(*[f"p_{c}" for c in by]).parquet(path))
+    """One folder per part, its files in order.  Parts are dealt whole, and AQE splits a part that is
+    large over several tasks; ranges of the order would run the whole plan once more to sample it.
+    The order begins with the folder columns themselves, so that the write adds no sort of its own."""
+    folders = [f"p_{c}" for c in by]
+    (rows.withColumns({f"p_{c}": F.col(c) for c in by}).hint("rebalance", *folders).sortWithinPartitions(*folders, *order)
+     .write.mode("overwrite").partitionBy(*folders).parquet(path))
 
 
 def refresh_slices(spark: SparkSession, readings: DataFrame, path: str, batch_id: int, delta_mode: str = "event_time",
@@ -322,7 +346,8 @@ def _refreshed(store: Store, manifest: Manifest, scratch: Scratch, readings: Dat
               .unionByName(marked.where("_in").drop("_in").withColumn("ingest_time", F.col("created_at"))
                            .withColumnsRenamed({c: f"s_{c}" for c in flags}).withColumn("_kind", F.lit(1)), allowMissingColumns=True)
               .unionByName(seeds.withColumn("_kind", F.lit(2)), allowMissingColumns=True))
-    derived = derive_placed(united, delta_mode, keep=["_kind", "bucket", "slice", *(f"s_{c}" for c in flags)], source="_source", write_step=scratch)
+    # Written once: the derivation reads it in several branches, each of which would repeat the joins above.
+    derived = derive_placed(scratch(united, "united"), delta_mode, keep=["_kind", "bucket", "slice", *(f"s_{c}" for c in flags)], source="_source", write_step=scratch)
     fresh = F.col("_kind") == 0
     taken = fresh | (F.col("_source") >= F.lit(min(seen.values())).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)"))
     changed = derived.where("_kind < 2").select(
@@ -331,8 +356,10 @@ def _refreshed(store: Store, manifest: Manifest, scratch: Scratch, readings: Dat
         "bucket", "slice")
     rest = marked.where("_in is null").select(*MEASUREMENT_COLUMNS, "bucket", "slice")
     root = f"{store.path}/rows/generation={batch_id}"
-    _write(changed.unionByName(rest), root, ["bucket", "slice"], [*SERIES, "ts"])
-    written = spark.read.schema(ROWS).parquet(*[f"{root}/p_bucket={b}/p_slice={s}" for b, s in opened])
+    _write(changed.withColumn("derived", F.lit(True)).unionByName(rest.withColumn("derived", F.lit(False))), root,
+           ["bucket", "slice"], [*SERIES, "ts"])
+    written = spark.read.schema(T.StructType([*ROWS, T.StructField("derived", T.BooleanType())])).option(
+        "recursiveFileLookup", "true").parquet(root)
     read = [p for p in opened if p in store.parts]
     counts = {(r["bucket"], r["slice"]): r["count"] for r in written.groupBy("bucket", "slice").count().collect()}  # parts
     _write_states(store, batch_id, written, region, opened)
@@ -347,9 +374,9 @@ def _refreshed(store: Store, manifest: Manifest, scratch: Scratch, readings: Dat
 
 
 def _write_states(store: Store, generation: int, written: DataFrame, region: DataFrame, opened) -> None:
-    """States of the touched slices, anew from their rows and the carry; those of other series are copied."""
+    """States of the touched slices, anew from their rows (those derived) and the carry; those of other series are copied."""
     earlier = Window.partitionBy("bucket", *SERIES).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    inside = _same(own_states(written), region.select(*PAIR, F.col("c_orig").alias("o_orig"), F.col("c_any").alias("o_any")), PAIR, "inner")
+    inside = _same(own_states(written.where("derived")), region.select(*PAIR, F.col("c_orig").alias("o_orig"), F.col("c_any").alias("o_any")), PAIR, "inner")
     fresh = inside.select(*PAIR, F.col("orig").isNotNull().alias("has_orig"), "orig", "any",
                           F.greatest("o_orig", F.max("orig").over(earlier)).alias("c_orig"),
                           F.greatest("o_any", F.max("any").over(earlier)).alias("c_any"))
