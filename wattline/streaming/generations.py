@@ -45,6 +45,7 @@ from ..sources.batches import DEFAULT_BUCKETS, measurement_bucket
 from ..sources.manifest import Manifest
 
 SLICE_HOURS = 24
+SCAN_HOURS = 24  # of a window in the derivation: hourly readings have a summary a day, not one each
 PAIR = ["bucket", *SERIES, "slice"]
 _READING = "ts: timestamp, arrival_seq: long, reading_id: long, value: double"
 _ORIG = f"struct<{_READING}>"
@@ -142,22 +143,14 @@ def own_states(rows: DataFrame) -> DataFrame:
     """bucket, series, slice, orig, any of measurement rows.  Copies at one time are
     combined in the tasks that read them; then a slice's times are."""
     good = ~F.col("is_bad")
-    key = arrival_key("arrival_seq", "reading_id")
-    orig, last = F.when(good & ~F.col("is_duplicate"), key), F.when(good, key)
-    # Plain columns: a struct in the buffer would make Spark sort all rows for the aggregate.
-    reading = ("arrival_seq", "reading_id", "value")
+    at = F.struct("ts", "arrival_seq", "reading_id", "value")
     times = rows.groupBy(*PAIR, "ts").agg(
-        *[F.max_by(c, orig).alias(f"o_{c}") for c in reading], *[F.max_by(c, last).alias(f"l_{c}") for c in reading],
-        *[F.min_by(c, key).alias(f"f_{c}") for c in (*reading, "is_bad")])
-    o_at, l_at = F.when(F.col("o_reading_id").isNotNull(), F.col("ts")), F.when(F.col("l_reading_id").isNotNull(), F.col("ts"))
-    firsts = [f"f_{c}" for c in (*reading, "is_bad")]
-    one = times.groupBy(*PAIR).agg(
-        F.max(o_at).alias("o_ts"), *[F.max_by(f"o_{c}", o_at).alias(f"o_{c}") for c in reading],
-        F.max(l_at).alias("l_ts"), *[F.max_by(c, l_at).alias(c) for c in (*[f"l_{c}" for c in reading], *firsts)])
-    return one.select(
-        *PAIR, F.when(F.col("o_ts").isNotNull(), F.struct(*[F.col(f"o_{c}").alias(c) for c in ("ts", *reading)])).alias("orig"),
-        F.when(F.col("l_ts").isNotNull(), F.struct(*[F.col(f"l_{c}").alias(c) for c in ("ts", *reading)], *[
-            F.col(c).alias(a) for c, a in zip(firsts, ("f_seq", "f_id", "f_value", "f_bad"))])).alias("any"))
+        F.max(F.when(good & ~F.col("is_duplicate"), at)).alias("orig"), F.max(F.when(good, at)).alias("last"),
+        F.min_by(F.struct(F.col("arrival_seq").alias("f_seq"), F.col("reading_id").alias("f_id"), F.col("value").alias("f_value"),
+                          F.col("is_bad").alias("f_bad")), arrival_key("arrival_seq", "reading_id")).alias("_f"))
+    with_last = times.select(*PAIR, "orig", F.when(F.col("last").isNotNull(), F.struct(
+        "last.ts", "last.arrival_seq", "last.reading_id", "last.value", "_f.f_seq", "_f.f_id", "_f.f_value", "_f.f_bad")).alias("any"))
+    return with_last.groupBy(*PAIR).agg(F.max("orig").alias("orig"), F.max("any").alias("any"))
 
 
 def rolled_up(rows: DataFrame) -> DataFrame:
@@ -347,7 +340,7 @@ def _refreshed(store: Store, manifest: Manifest, scratch: Scratch, readings: Dat
                            .withColumnsRenamed({c: f"s_{c}" for c in flags}).withColumn("_kind", F.lit(1)), allowMissingColumns=True)
               .unionByName(seeds.withColumn("_kind", F.lit(2)), allowMissingColumns=True))
     # Written once: the derivation reads it in several branches, each of which would repeat the joins above.
-    derived = derive_placed(scratch(united, "united"), delta_mode, keep=["_kind", "bucket", "slice", *(f"s_{c}" for c in flags)], source="_source", write_step=scratch)
+    derived = derive_placed(scratch(united, "united"), delta_mode, SCAN_HOURS * 3600, keep=["_kind", "bucket", "slice", *(f"s_{c}" for c in flags)], source="_source", write_step=scratch)
     fresh = F.col("_kind") == 0
     taken = fresh | (F.col("_source") >= F.lit(min(seen.values())).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)"))
     changed = derived.where("_kind < 2").select(
