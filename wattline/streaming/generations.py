@@ -197,11 +197,9 @@ def _write_filters(rows: DataFrame, sizes: dict[tuple[int, int], int], path: str
         total += blocks
     parts = F.broadcast(rows.sparkSession.createDataFrame(at, "bucket long, slice long, blocks long, first long"))
     spots = _spots(rows.select("bucket", "slice", *SERIES, "ts").join(parts, ["bucket", "slice"]))
-    built = (spots.select((F.col("first") + F.col("block")).alias("number"), "bit").groupBy("number")
-             .agg(F.bitmap_construct_agg("bit").alias("bits")))
-    named = parts.select("bucket", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "first")
-    _write(built.join(F.broadcast(named.withColumn("number", F.col("first") + F.col("block")).drop("first")), "number")
-           .select("bucket", "slice", "block", "bits"), path, ["bucket", "slice"], ["block"])
+    built = (spots.select((F.col("first") + F.col("block")).alias("number"), "bucket", "slice", "block", "bit").groupBy("number")
+             .agg(*[F.min(c).alias(c) for c in ("bucket", "slice", "block")], F.bitmap_construct_agg("bit").alias("bits")))
+    _write(built.drop("number"), path, ["bucket", "slice"], ["block"])
 
 
 def existing_stored(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
