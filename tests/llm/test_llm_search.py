@@ -257,6 +257,71 @@ def test_hard_negatives_over_several_chunks_equal_the_sql(spark, tmp_path):
     assert mined(spark.read.parquet(str(tmp_path / "embeddings")).repartition(4)) == sorted(con.execute(hn.ORACLE).fetchall())
 
 
+def test_anchors_meet_rows_without_a_join_or_broadcast(spark, monkeypatch):
+    """The anchors' copies for the tasks were estimated at their size in the stored file and broadcast through the driver."""
+    plans = []
+    write = hn.stored
+    monkeypatch.setattr(hn, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0.4, 1, 24).astype(np.float32)], i % 3) for i in range(300)]
+    far = hn._best_rows(hn.chunks_of(hn.prepared(vectors(spark, rows)), 64), hn.prepared(vectors(spark, rows)).select(
+        "vec_id", "label", "v", F.col("vec_id").alias("anchor"), F.array(F.lit(-hn._LONG)).alias("low"), F.array(F.lit(hn._LONG)).alias("high")), 5, True)
+    assert far.count() == 300
+    plans.append(("met", far._jdf.queryExecution().executedPlan().toString()))
+    assert not any("Join" in plan or "Broadcast" in plan for _, plan in plans)
+
+
+@pytest.mark.parametrize("held, down, across", [(16, 5, 5), (8, 2, 9), (1000, 8, 1)])
+def test_hard_negatives_over_a_grid(spark, monkeypatch, held, down, across):
+    rng = np.random.default_rng(held)
+    rows = [(i, [float(x) for x in rng.normal(0.4, 1, 12 if i % 5 else 3).astype(np.float32)], int(rng.integers(0, 4))) for i in range(0, 3000, 5 if held > 99 else 10)]
+    rows += [(i, [float(x) * 1e12 for x in rng.normal(0.4, 1, 12).astype(np.float32)], int(rng.integers(0, 4))) for i in range(4000, 4100, 5)]
+    rows += [(i, [math.floor(x) * 40.0 for x in rng.normal(0.4, 3, 12)], 1) for i in range(5001, 5040)]  # many ties, other types
+    monkeypatch.setattr(hn, "ANCHORS", 4)
+    monkeypatch.setattr(hn, "_HELD", held)
+    monkeypatch.setattr(hn, "_TILE", 3)
+    monkeypatch.setattr(hn, "_grid", lambda *a: (down, across))
+    chunked = hn.chunks_of
+    monkeypatch.setattr(hn, "chunks_of", lambda df: chunked(df, 16))
+    want = plain_negatives(rows)
+    assert len(want) > 50
+    assert mined(vectors(spark, rows).repartition(3)) == want
+
+
+@pytest.mark.parametrize("chunks, rows, blocks, anchors, tasks", [
+    (0, 0, 0, 0, 12), (1, 3, 1, 1, 200), (1202, 615384, 14, 12308, 25), (1202, 615384, 14, 12308, 600), (4, 2000, 3, 2000, 200),
+    (60000, 30_000_000, 700, 600_000, 200)])
+def test_the_grid_follows_the_tables(chunks, rows, blocks, anchors, tasks):
+    down, across = hn._grid(chunks, rows, blocks, anchors, tasks)
+    assert 1 <= down <= max(1, chunks) and 1 <= across <= max(1, blocks)
+    assert down * across >= min(tasks, chunks * blocks)
+    assert anchors / across <= hn._HELD or across == blocks
+    assert down * across <= tasks + across  # copies of a block do not grow with the table
+
+
+def test_best_rows_count_an_id_once():
+    rng = np.random.default_rng(9)
+    best, all_rows = hn._Best(6, 3), {}
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        slot, score, ids = rng.integers(0, 6, n), rng.integers(-9, 9, n), rng.integers(0, 12, n)
+        best.add(slot, score, ids)
+        for k, s, i in zip(slot.tolist(), score.tolist(), ids.tolist()):
+            mine = all_rows.setdefault(k, {})
+            mine[i] = max(s, mine.get(i, s))
+        for k in range(6):
+            want = sorted((-s, i) for i, s in all_rows.get(k, {}).items())[:3]
+            assert [(-s, i) for s, i in zip(best.score[k].tolist(), best.ids[k].tolist())][:best.count[k]] == want
+            assert best.floor[k] == (-want[2][0] if len(want) == 3 else -math.inf)
+
+
+@pytest.mark.parametrize("most", [200, 40_000, 1 << 24, 1 << 40])
+def test_packed_rows_come_back(most):
+    rows = np.array([[-most, 3, most], [0, 1, -1]], float)
+    back = hn._ints(hn._packed(rows), 2, 3)
+    assert back.tolist() == rows.tolist() and (back.dtype == object) == (most >= hn._SMALL)
+
+
 @pytest.mark.parametrize("dim", [1, 7, 64, 100])
 def test_intervals_hold_the_exact_score(dim):
     rng = np.random.default_rng(dim)
